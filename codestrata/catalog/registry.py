@@ -1,7 +1,7 @@
 """All registered queries: name -> (callable, SQL for the checking engine or None)."""
 from importlib import import_module
 
-FAMILIES = ["intake_queries"]
+FAMILIES = ["compare_queries", "graph_queries", "intake_queries"]
 
 
 def collect() -> dict:

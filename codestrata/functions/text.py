@@ -2,6 +2,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Secret-bearing text. Each entry is (pattern, group layout); a three-group pattern keeps its first and
 # third group and masks the second, a plain pattern is masked whole.
 PRIVATE_KEY = (r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----[\s\S]*?"
@@ -27,11 +29,6 @@ def newline_count(content: Column) -> Column:
     return F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit("")))
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it many times in ``body``."""
-    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
-
-
 def replace_matches(content: Column, pattern: str, rewrite) -> Column:
     """Rewrite every match of a pattern; texts without a match are only tested."""
     return let(content, lambda c: F.when(c.rlike(pattern), _rewritten(c, pattern, rewrite)).otherwise(c))

@@ -4,19 +4,19 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import paths, prefix, text
+from ..functions.binding import let
 
 
 def unsafe_member(name: Column) -> Column:
     """Backslash, NUL, absolute, drive-letter or parent-directory names."""
-    return (name.contains("\\") | name.contains("\u0000") | name.startswith("/") | name.rlike("^[A-Za-z]:")
-            | F.array_contains(F.split(name, "/"), ".."))
+    return name.rlike(r"[\\\u0000]|^/|^[A-Za-z]:|(^|/)\.\.(/|$)")
 
 
 def clean_member(name: Column) -> Column:
     """Snapshot path of an archive member: the leading folder is dropped; null when nothing is left."""
-    parts = F.filter(F.split(name, "/"), lambda p: ~p.isin("", "."))
-    return F.when(~unsafe_member(name) & (F.size(parts) > 1),
-                  F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), "/"))
+    def rest(parts: Column) -> Column:
+        return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "/"))
+    return let(name, lambda n: F.when(~unsafe_member(n), let(F.filter(F.split(n, "/"), lambda p: ~p.isin("", ".")), rest)))
 
 
 def scan_directory(spark: SparkSession, root: str, analysis_id: str) -> DataFrame:
