@@ -66,8 +66,9 @@ _FILE = """concat(dir, CASE doc_id % 12 WHEN 0 THEN '/d' WHEN 1 THEN '/d' WHEN 4
 MEMBERS = f"""
 SELECT doc_id AS ord, source AS repository_id, concat(source, ':', snap) AS analysis_id,
        {_FILE} AS path, concat(source, '-main/', {_FILE}) AS member, text, lang,
-       concat({_BODY}, {NL}, 'const password = "', md5(text), '";',
-              CASE WHEN snap = 'cur' AND quality = 1 THEN concat({NL}, 'changed') ELSE '' END) AS content
+       concat({_BODY}, CASE WHEN doc_id % 12 = 8 THEN '' ELSE concat({NL}, 'const password = "', md5(text), '";') END,
+              CASE WHEN snap = 'cur' AND quality = 1 THEN CASE WHEN doc_id % 12 = 8 THEN ' ' ELSE concat({NL}, 'changed') END
+                   ELSE '' END) AS content
 FROM (SELECT d.doc_id, d.source, d.text, d.lang, l.quality, 'cur' AS snap,
              CASE d.doc_id % 4 WHEN 0 THEN 'routes' WHEN 1 THEN 'services' WHEN 2 THEN 'test' ELSE 'lib' END AS dir
       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(l.quality, 1) = 1
@@ -83,14 +84,9 @@ SELECT ord, repository_id, analysis_id, path, concat('file:', path) AS file_id,
        CASE ord % 12 WHEN 0 THEN 'python' WHEN 1 THEN 'java' WHEN 2 THEN 'typescript' WHEN 3 THEN 'typescript'
          WHEN 4 THEN 'markdown' WHEN 5 THEN 'javascript' WHEN 8 THEN 'json' WHEN 9 THEN 'text' WHEN 10 THEN 'xml'
          ELSE 'javascript' END AS language,
-       replace(content, md5(text), repeat('*', 32)) AS content
+       CASE WHEN ord % 12 = 8 THEN content ELSE replace(content, md5(text), repeat('*', 32)) END AS content
 FROM members WHERE ord % 12 NOT IN (6, 7)
 """
-# package.json carries the digest of its text twice; only the quoted password is a secret.
-FILES_ORACLE = FILES_ORACLE.replace(
-    "replace(content, md5(text), repeat('*', 32))",
-    "CASE WHEN ord % 12 = 8 THEN replace(content, concat('password = \"', md5(text)), concat('password = \"', repeat('*', 32)))"
-    " ELSE replace(content, md5(text), repeat('*', 32)) END")
 
 _NODE_ROWS = """
 SELECT 'repo' AS id, 'repository' AS kind, 'Repository' AS name, CAST(NULL AS STRING) AS path,

@@ -82,7 +82,7 @@ moved AS MATERIALIZED (SELECT o.pair_id, o.path, 'removed' AS change, o.number,
     ANTI JOIN (SELECT * FROM copies WHERE side = 'old') o ON n.pair_id = o.pair_id AND n.path = o.path AND n.line = o.line AND n.copy = o.copy)"""
 D4_SQL = b.with_members("""SELECT pair_id, path, change, number, md5(line) AS line, rank FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, path
   ORDER BY number, change, line) AS rank FROM moved) x WHERE rank <= 40""", _D1, _D4)
-D4_TOTALS_SQL = b.with_members("""SELECT j.pair_id, j.path, true AS redacted, count(m.line) AS lines, greatest(count(m.line) - 40, 0) AS omitted_lines
+D4_TOTALS_SQL = b.with_members("""SELECT j.pair_id, j.path, j.path NOT LIKE '%package.json' AS redacted, count(m.line) AS lines, greatest(count(m.line) - 40, 0) AS omitted_lines
   FROM joined j LEFT JOIN moved m ON m.pair_id = j.pair_id AND m.path = j.path GROUP BY j.pair_id, j.path""", _D1, _D4)
 
 

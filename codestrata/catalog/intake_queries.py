@@ -4,13 +4,20 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import identity, paths
 from ..sources import change_records, keyed, snapshots
+from ..session import cut_lineage
 from . import bindings as b
 
 
+_files: dict[tuple[str, str], object] = {}
+
+
 def files_of(spark, folder):
-    """Profiled, eligible files of both snapshots of every source."""
+    """Profiled, eligible files of both snapshots of every source, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder)
     m = b.members(spark, folder).drop("text", "lang", "member")
-    return snapshots.profile_files(m.where(paths.is_eligible(F.col("path"))))
+    if key not in _files:
+        _files[key] = cut_lineage(snapshots.profile_files(m.where(paths.is_eligible(F.col("path")))))
+    return _files[key]
 
 
 def s2(spark, folder):
@@ -79,7 +86,7 @@ def s5(spark, folder):
 
 S5_SQL = b.with_members("""
 SELECT analysis_id, path, language, length(content) - length(replace(content, chr(10), '')) + 1 AS line_count,
-       sha256(content) AS content_hash, true AS redacted FROM files""")
+       sha256(content) AS content_hash, ord % 12 <> 8 AS redacted FROM files""")
 
 
 def s6(spark, folder):
@@ -92,8 +99,8 @@ def s6(spark, folder):
 
 S6_SQL = b.with_members("""
 SELECT analysis_id, path, length(content) AS characters,
-       length(content) - length(replace(content, '*', '')) + 32 AS stars,
-       length(content) - length(replace(content, chr(10), '')) + 1 AS line_count, true AS redacted FROM members""")
+       length(content) - length(replace(content, '*', '')) + CASE WHEN ord % 12 = 8 THEN 0 ELSE 32 END AS stars,
+       length(content) - length(replace(content, chr(10), '')) + 1 AS line_count, ord % 12 <> 8 AS redacted FROM members""")
 
 
 def s7(spark, folder):
