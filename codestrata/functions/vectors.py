@@ -2,6 +2,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 DIMENSIONS = 64
 
 
@@ -15,8 +17,7 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    length = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / length)
+    return let(norm(v), lambda length: F.transform(v, lambda x: x.cast("double") / length))
 
 
 def term_bucket(term: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -25,9 +26,8 @@ def term_bucket(term: Column, dimensions: int = DIMENSIONS) -> Column:
 
 def hashed_counts(terms: Column, dimensions: int = DIMENSIONS) -> Column:
     """Feature-hash a term array into a count vector inside the row, so no shuffle is needed."""
-    buckets = F.transform(terms, lambda t: term_bucket(t, dimensions))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)),
-                       lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
+    return let(F.transform(terms, lambda t: term_bucket(t, dimensions)), lambda buckets: F.transform(
+        F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double")))
 
 
 def vector_problem(v: Column, dimensions: int) -> Column:

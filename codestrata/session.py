@@ -1,6 +1,7 @@
 """Session helpers: a local session for tests and bench, and lineage cuts that survive executor loss."""
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,20 +24,24 @@ def local_session(app: str = "codestrata", cpus: str | None = None) -> SparkSess
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a scratch folder only in local mode."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a scratch folder only in local mode."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        named = tempfile.mkdtemp(prefix="codestrata-checkpoint-")
-    context.setCheckpointDir(named)
+        folder = tempfile.mkdtemp(prefix="codestrata-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate result as a table in the shared checkpoint folder and continue from it.
+
+    It is computed once, survives the loss of executors, and its known size lets the planner choose the joins that follow.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/codestrata/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
