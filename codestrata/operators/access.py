@@ -16,20 +16,19 @@ def repository_list(grants: DataFrame, analyses: DataFrame, max_grants: int = 10
     return best.select("user_id", "repository_id", F.col("best.analysis_id").alias("latest_analysis_id"), "newest")
 
 
-def readable(analyses: DataFrame, grants: DataFrame, users: DataFrame, write: bool = False) -> DataFrame:
-    """(user_id, analysis_id) a user may open: granted ones, and for reading also demos. A demo is never writable."""
-    granted = grants.join(analyses.where(~F.col("demo")).select("analysis_id"), "analysis_id", "left_semi").select("user_id", "analysis_id").distinct()
-    if write:
-        return granted
-    # Demos are the handful of bundled snapshots; they are listed once per user through a constant key.
-    demos = analyses.where("demo").select(F.lit(1).alias("_all"), "analysis_id")
-    return granted.unionByName(users.select("user_id").distinct().withColumn("_all", F.lit(1)).join(demos, "_all").select("user_id", "analysis_id"))
+def access(requests: DataFrame, analyses: DataFrame, grants: DataFrame, write: bool = False) -> DataFrame:
+    """requests (user_id, analysis_id, …) with an ``allowed`` flag: demos are open for reading, the rest needs a grant."""
+    granted = grants.select("user_id", "analysis_id").distinct().withColumn("_granted", F.lit(True))
+    rows = requests.join(analyses.select("analysis_id", F.col("demo").alias("_demo")), "analysis_id", "left").join(granted, ["user_id", "analysis_id"], "left")
+    held = F.coalesce("_granted", F.lit(False)) & ~F.coalesce("_demo", F.lit(True))
+    open_to_all = F.lit(False) if write else F.coalesce("_demo", F.lit(False))
+    return rows.withColumn("allowed", held | open_to_all).drop("_demo", "_granted")
 
 
-def snapshot_list(requests: DataFrame, analyses: DataFrame, permitted: DataFrame) -> DataFrame:
+def snapshot_list(requests: DataFrame, analyses: DataFrame, grants: DataFrame) -> DataFrame:
     """Snapshots of the same repository the user may open, newest first. requests: request_id, user_id, analysis_id."""
     at = requests.join(analyses.select("analysis_id", "repository_id"), "analysis_id").select("request_id", "user_id", "repository_id")
-    rows = at.join(analyses, "repository_id").join(permitted, ["user_id", "analysis_id"], "left_semi")
+    rows = access(at.join(analyses.select("repository_id", "analysis_id", "created_at"), "repository_id"), analyses, grants).where("allowed")
     return top_per_group(rows, ["request_id"], [F.desc("created_at"), F.desc("analysis_id")], 500, "place")
 
 
