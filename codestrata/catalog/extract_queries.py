@@ -127,10 +127,10 @@ def x16(spark, folder):
     b.open_tables(spark, folder)
     rows = spark.sql("SELECT 'g' AS analysis_id, concat('c', l_suppkey) AS source, concat('p', l_partkey) AS target, CASE WHEN l_returnflag = 'R' THEN 'imports' ELSE 'calls' END AS kind, "
                      "CASE WHEN l_linestatus = 'O' THEN l_linenumber END AS start_line, l_orderkey AS ord, l_extendedprice AS price FROM lineitem")
-    return extract.first_wins(rows, ["analysis_id", "source", "target", "kind", "start_line"], ["ord", "price"])
+    return extract.first_wins(rows, ["analysis_id", "source", "target", "kind", "start_line"], ["ord", "price"]).withColumn("start_line", F.coalesce("start_line", F.lit(0)))
 
 
-X16_SQL = """SELECT * FROM (SELECT 'g' AS analysis_id, concat('c', l_suppkey) AS source, concat('p', l_partkey) AS target, CASE WHEN l_returnflag = 'R' THEN 'imports' ELSE 'calls' END AS kind,
+X16_SQL = """SELECT analysis_id, source, target, kind, coalesce(start_line, 0) AS start_line, ord, price FROM (SELECT 'g' AS analysis_id, concat('c', l_suppkey) AS source, concat('p', l_partkey) AS target, CASE WHEN l_returnflag = 'R' THEN 'imports' ELSE 'calls' END AS kind,
   CASE WHEN l_linestatus = 'O' THEN l_linenumber END AS start_line, l_orderkey AS ord, l_extendedprice AS price FROM lineitem) x
 QUALIFY row_number() OVER (PARTITION BY source, target, kind, start_line ORDER BY ord, price) = 1"""
 

@@ -33,4 +33,4 @@ def retry_after_seconds(header: Column, now: Column) -> Column:
     moment = F.try_to_timestamp(F.regexp_extract(header, r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT", 1),
                                 F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
     wait = F.when(number, F.coalesce(seconds, F.lit(86400.0))).otherwise(seconds_between(now, moment))
-    return F.coalesce(F.least(F.lit(86400.0), F.greatest(F.lit(1.0), wait)), F.lit(60.0))
+    return F.when(wait.isNull(), F.lit(60.0)).otherwise(F.least(F.lit(86400.0), F.greatest(F.lit(1.0), wait)))

@@ -219,7 +219,7 @@ def python_declarations(files: DataFrame) -> DataFrame:
     kind = F.when(F.col("d.t").rlike(r"^\s*class\s"), "class").when(inside, "method").otherwise("function")
     return kept.select(*FILE, "path", name.alias("name"), kind.alias("kind"), "start_line", F.col("d.n").alias("head_line"), "end_line",
                        F.substring(F.trim("d.t"), 1, 400).alias("signature"), ~name.startswith("_") .alias("exported"),
-                       F.regexp_extract("owner.t", r"^\s*class\s+(\w+)", 1).alias("owner"))
+                       F.coalesce(F.regexp_extract("owner.t", r"^\s*class\s+(\w+)", 1), F.lit("")).alias("owner"))
 
 
 def python_routes(files: DataFrame) -> DataFrame:
