@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunking, overview
+from ..operators import chunking, extract, overview
 from . import bindings as b
 from .intake_queries import files_of
 
@@ -137,6 +137,18 @@ O3_SQL = b.with_members("""SELECT analysis_id, path, place FROM (SELECT analysis
   row_number() OVER (PARTITION BY analysis_id ORDER BY ord) AS place FROM files WHERE ord % 12 = 8) x WHERE place <= 30""")
 
 
+def o4(spark, folder):
+    files = files_of(spark, folder)
+    tags = extract.python_routes(files).groupBy("analysis_id", "file_id", "name").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    nodes = (extract.python_declarations(files).join(tags, ["analysis_id", "file_id", "name"]).join(files.select("analysis_id", "file_id", "ord"), ["analysis_id", "file_id"])
+             .select("analysis_id", F.concat_ws(":", F.lit("symbol"), "path", "name").alias("id"), "path", "name", "start_line", "ord", "tags", F.col("kind").alias("symbol_kind")))
+    return overview.route_table(nodes, 5).drop("ord")
+
+
+O4_SQL = b.with_members("""SELECT analysis_id, concat('symbol:', path, ':run', ord) AS node_id, path, concat('run', ord) AS name, 7 AS start_line, 'GET' AS method, concat('/api/items/', ord) AS route, place
+FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY ord) AS place FROM files WHERE language = 'python') x WHERE place <= 5""")
+
+
 def o5(spark, folder):
     nodes, edges = b.graph(spark, folder)
     files = nodes.where("kind = 'file'")
@@ -162,6 +174,6 @@ UNION SELECT analysis_id, concat(count(*), ' unresolved static references; no ed
 QUERIES = {
     "c1_region_select": (c1, None), "c2_uncovered_runs": (c2, C2_SQL), "c3_size_split": (c3, None), "c3_chunk_reconstruction": (c3_rebuilt, C3_SQL),
     "c4_small_group": (c4, None), "c5_chunk_record": (c5, C5_SQL), "c6_preview_order": (c6_order, C6_SQL), "c6_preview_select": (c6, None), "c7_coverage": (c7, C7_SQL),
-    "o1_manifest_dependencies": (o1, O1_SQL), "o2_framework_detection": (o2, O2_SQL), "o3_entry_points": (o3, O3_SQL), "o5_snapshot_counts": (o5, O5_SQL),
+    "o1_manifest_dependencies": (o1, O1_SQL), "o2_framework_detection": (o2, O2_SQL), "o3_entry_points": (o3, O3_SQL), "o4_route_table": (o4, O4_SQL), "o5_snapshot_counts": (o5, O5_SQL),
     "o5_snapshot_warnings": (o5_warnings, O5_WARNINGS_SQL),
 }

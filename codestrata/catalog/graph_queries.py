@@ -337,7 +337,7 @@ SELECT analysis_id, '' AS parent, string_split(path, '/')[1] AS name, 'directory
 GROUP BY analysis_id, string_split(path, '/')[1]
 UNION ALL SELECT analysis_id, string_split(path, '/')[1], string_split(path, '/')[2], 'directory', count(*) FROM files
 WHERE len(string_split(path, '/')) = 3 GROUP BY analysis_id, string_split(path, '/')[1], string_split(path, '/')[2]
-UNION ALL SELECT analysis_id, regexp_replace(path, '/[^/]*$', ''), regexp_extract(path, '([^/]*)$', 1), 'file', NULL FROM files""")
+UNION ALL SELECT analysis_id, regexp_replace(path, '/[^/]*$', ''), regexp_extract(path, '([^/]*)$', 1), 'file', 0 FROM files""")
 
 
 def g15(spark, folder):

@@ -344,7 +344,7 @@ def directory_listing(files: DataFrame) -> DataFrame:
     folders = (spread.where("folder").groupBy("analysis_id", "parent", "name").agg(F.count("*").alias("child_count"))
                .select("analysis_id", "parent", "name", F.lit("directory").alias("kind"), "child_count"))
     leaves = spread.where(~F.col("folder")).select("analysis_id", "parent", "name", F.lit("file").alias("kind"),
-                                                    F.lit(None).cast("long").alias("child_count"))
+                                                    F.lit(0).cast("long").alias("child_count"))
     return folders.unionByName(leaves)
 
 
