@@ -14,6 +14,11 @@ def seconds_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1_000_000)
 
 
+def epoch_millis(ts: Column) -> Column:
+    """Milliseconds since 1970 of a UTC wall-clock timestamp, whatever the session's zone."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def pacific_reset_seconds(ts: Column) -> Column:
     """Whole seconds, rounded up and at least one, to the next Pacific midnight; daylight saving included."""
     next_day = F.date_add(pacific_day(ts), 1).cast("timestamp_ntz")

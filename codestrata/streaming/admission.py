@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.clock import pacific_reset_seconds
+from ..functions.clock import epoch_millis, pacific_reset_seconds
 from ..functions.ranking import top_per_group
 from .folds import fold
 
@@ -100,7 +100,7 @@ def admit_stream(requests: DataFrame, key: str, limits: Limits = Limits()) -> Da
 
     from ..functions.clock import pacific_day
     ready = (requests.withColumn("day_wait", pacific_reset_seconds(F.col("ts"))).withColumn("day", pacific_day(F.col("ts")).cast("string"))
-             .withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))))
+             .withColumn("ms", epoch_millis(F.col("ts"))))
     return ready.groupBy(key).applyInPandasWithState(run, "event_id long, " + ADMISSION,
                                                      "log array<struct<ms:long,n:int,t:int,i:boolean>>, day string, n int, i int", "append", GroupStateTimeout.NoTimeout)
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clock import pacific_day, seconds_between
+from ..functions.clock import epoch_millis, pacific_day, seconds_between
 
 
 def with_segments(events: DataFrame, keys: list[str], silence_seconds: float) -> DataFrame:
@@ -25,7 +25,7 @@ def with_segments(events: DataFrame, keys: list[str], silence_seconds: float) ->
 def fold(events: DataFrame, keys: list[str], order: list[str], silence_seconds: float, new_state: Callable, step: Callable,
          id_column: str, result_schema: str) -> DataFrame:
     """Run ``step(state, row) -> tuple`` over each key's events in order. The result row is the id followed by the tuple."""
-    ready = with_segments(events, keys, silence_seconds).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    ready = with_segments(events, keys, silence_seconds).withColumn("ms", epoch_millis(F.col("ts")))
     names = [f.strip().split(" ")[0] for f in result_schema.split(",")]
 
     def run(batches):
