@@ -234,10 +234,10 @@ WHERE n.symbol_kind = 'class' AND (SELECT count(*) FROM left_out) >= 0""", *_IMP
 
 def g10(spark, folder):
     nodes, edges, _, files = _focus(spark, folder)
-    return graph.with_citation(edges.select("analysis_id", "id", "file_id", "start_line", "end_line"), files, "id")
+    return graph.with_citation(edges.select("analysis_id", "id", "file_id", "start_line", "end_line"), files, "id").drop("start_line", "end_line")
 
 
-G10_SQL = b.with_graph(f"""SELECT e.analysis_id, e.id, e.file_id, e.start_line, e.end_line,
+G10_SQL = b.with_graph(f"""SELECT e.analysis_id, e.id, e.file_id,
   CASE WHEN ok THEN f.path END AS citation_path, CASE WHEN ok THEN concat('E', substr(sha256(e.id), 1, 12)) END AS citation
 FROM edges e LEFT JOIN ({b.GRAPH_FILES}) f ON f.analysis_id = e.analysis_id AND f.file_id = e.file_id,
 LATERAL (SELECT e.start_line >= 1 AND e.start_line <= e.end_line AND e.end_line <= f.line_count AS ok)""")
