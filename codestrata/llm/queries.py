@@ -3,7 +3,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import chat, exact_dedup, packing, token_files, url_rules, warc
+from codestrata.llm import chat, exact_dedup, jaccard_join, packing, token_files, url_rules, warc
 from codestrata.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, folder, "documents"))
+
+
 def chat_rendering(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(table(spark, folder, "conversations"))
 
@@ -54,6 +58,18 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+      ELSE [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] END)) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(other), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
 CHAT_SQL = """
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
            '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS line FROM conversations),
@@ -81,6 +97,7 @@ QUERIES = {
     "op1_best_fit_packing": (best_fit_packing, None),
     "op2_token_files": (token_output, None),
     "op4_warc": (warc_round_trip, WARC_SQL),
+    "op6_jaccard_join": (jaccard_groups, JACCARD_SQL),
     "op8_exact_dedup": (exact_copies, EXACT_SQL),
     "op9_chat_formatting": (chat_rendering, CHAT_SQL),
     "op10_url_filter": (url_filter, URL_SQL),
