@@ -5,11 +5,25 @@ looks across white space, so a text's ids are those of its white-space separated
 more than texts do: each worker keeps the ids of the words it has met, in a bounded table, and asks the library only for
 new ones, in batches. ``tests/llm`` compares this with encoding whole texts in one call.
 """
+import re
+
 import numpy as np
 
-KNOWN_WORDS = 600_000      # words kept by a worker; then the table starts anew
+KNOWN_WORDS = 400_000      # words of a generation that a worker keeps; words of the one before move over when met again
 LONG_WORD = 64             # longer words are encoded but not kept
 
+# Words for which the library's normalizer and splitter have nothing to decide: letters of Latin-1 with plain marks after
+# them. They are composed already, only their case changes, and letters and marks are one piece each. The merges, which
+# take the time, are then asked for directly; every other word goes through the whole library.
+PLAIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(other)}
+
 
 class WordEncoder:
     """Ids of UTF-8 texts as little-endian unsigned 32-bit bytes."""
@@ -19,27 +33,46 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        self.model, self.characters = self.library.model, _byte_characters()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @property
     def vocabulary(self) -> int:
         return self.library.get_vocab_size(with_added_tokens=True)
 
+    def _piece(self, text: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.characters))]
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found, other = {}, []
+        for word in words:
+            match = PLAIN_WORD.fullmatch(text := word.decode("utf-8", "replace"))
+            if match:
+                ids = self._piece(match[1].lower())
+                found[word] = np.array(ids + self._piece(match[2]) if match[2] else ids, "<u4").tobytes()
+            else:
+                other.append((word, text))
+        for at in range(0, len(other), 20_000):
+            some = other[at:at + 20_000]
+            made = self.library.encode_batch_fast([text for _, text in some], add_special_tokens=False)
+            found.update((word, np.array(e.ids, "<u4").tobytes()) for (word, _), e in zip(some, made, strict=True))
+        return found
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
         if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known)) if split else []
-        fresh = {}
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            fresh.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+            self.known, self.older = {}, self.known
+        lacking = set().union(*split).difference(self.known) if split else set()
+        again = {w: self.older[w] for w in lacking if w in self.older}
+        fresh = self._new([w for w in lacking if w not in again])
         long_words = {w: ids for w, ids in fresh.items() if len(w) > LONG_WORD}
-        self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG_WORD)
-        if not long_words:
-            return [b"".join(map(self.known.__getitem__, words)) for words in split]
-        return [b"".join([long_words.get(w) if len(w) > LONG_WORD else self.known[w] for w in words]) for words in split]
+        self.known.update(again)
+        self.known.update(fresh)
+        done = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for w in long_words:
+            del self.known[w]
+        return done
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
