@@ -218,7 +218,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     sliced = held.join(lengths, "length").withColumn("_spread", spread).withColumn("_slice", F.pmod(F.col("_spread"), F.col("_slices")))
     keys = ["length", "_slice"]
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sliced.groupBy(*keys).count().select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    starts = sliced.groupBy(*keys).count().select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first")).repartition(*keys)
     inside = Window.partitionBy(*keys).orderBy("_spread", *[F.col(f"`{c}`") for c in held.columns if c != "length"])
     ranked = sliced.withColumn("_rank", F.row_number().over(inside)).join(starts, keys).select(
         *[F.col(f"`{c}`") for c in held.columns], (F.col("_first") + F.col("_rank") - 1).alias("sequence_id"),
