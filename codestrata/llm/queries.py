@@ -3,7 +3,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import chat, exact_dedup, jaccard_join, packing, token_files, url_rules, warc
+from codestrata.llm import chat, decontaminate, exact_dedup, jaccard_join, packing, token_files, url_rules, warc
 from codestrata.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,11 @@ def jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.groups(table(spark, folder, "documents"))
 
 
+def benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_hash")
+
+
 def chat_rendering(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(table(spark, folder, "conversations"))
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op2_token_files": (token_output, None),
     "op4_warc": (warc_round_trip, WARC_SQL),
     "op6_jaccard_join": (jaccard_groups, JACCARD_SQL),
+    "op7_decontamination": (benchmark_passages, None),
     "op8_exact_dedup": (exact_copies, EXACT_SQL),
     "op9_chat_formatting": (chat_rendering, CHAT_SQL),
     "op10_url_filter": (url_filter, URL_SQL),
