@@ -3,7 +3,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import chat, decontaminate, exact_dedup, jaccard_join, packing, token_files, url_rules, warc
+from codestrata.llm import chat, decontaminate, exact_dedup, jaccard_join, packing, token_files, toxicity, url_rules, warc
 from codestrata.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,11 @@ def exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"), toxicity.hashed_third())
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.groups(table(spark, folder, "documents"))
 
@@ -102,6 +107,7 @@ QUERIES = {
     "op1_best_fit_packing": (best_fit_packing, None),
     "op2_token_files": (token_output, None),
     "op4_warc": (warc_round_trip, WARC_SQL),
+    "op5_toxicity": (toxic_scores, None),
     "op6_jaccard_join": (jaccard_groups, JACCARD_SQL),
     "op7_decontamination": (benchmark_passages, None),
     "op8_exact_dedup": (exact_copies, EXACT_SQL),
