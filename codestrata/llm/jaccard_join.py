@@ -20,14 +20,14 @@ with fewer words than a shingle has its whole word sequence as its one shingle;
 one doc_id are one document in the result of ``keep_one`` and separate rows in ``groups``; a null doc_id is never a
 component's name unless all its doc_ids are null; an empty table gives no rows; columns besides doc_id and text are not read.
 """
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import cut_lineage, utf8, utf8_slices
@@ -35,8 +35,8 @@ from codestrata.llm.components import components
 from codestrata.llm.shingles import mixed, shingle_set
 
 THRESHOLD = (3, 4)             # numerator, denominator
-CELLS = 1 << 18                # counters of the rarity sketch
-CELLS_ROW = 1 << 12            # counters to a row while sketches are added up
+CELL_BITS = 24                 # the rarity sketch has 2**CELL_BITS counters, a byte each once it is sent out
+CELLS_ROW = 1 << 16            # counters to a row while sketches are added up
 BUCKET_POSTINGS = 2_000_000
 BITMAP_BITS = 1 << 26
 CHUNK_POSTINGS = 1_000_000     # postings a bucket's task takes up at once
@@ -98,13 +98,14 @@ def node_of(members: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(members.tobytes()) & 0x7FFFFFFFFFFFFFFF
 
 
-def sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """One pass: (doc_id, node, n) of every document as a written table, and the counts of CELLS cells of shingle hashes.
+def sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """One pass: (doc_id, node, n) of every document as a written table, and how common the shingles of each cell are.
 
-    A task's counters leave it once, as rows that carry -1 for n; they are added up by cell range, a row at a time.
+    A cell's level is the logarithm of its count over all documents. A task's counters leave it once, as rows that carry
+    -1 for n; they are added up by cell range, a row at a time, and only levels come to the driver.
     """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        counts = np.zeros(1 << CELL_BITS, np.uint32)
         kinds = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
         for some in utf8_slices(batches):
             nodes, sizes, held = [], [], []
@@ -113,31 +114,44 @@ def sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 nodes.append(node_of(members) if len(members) else None)
                 sizes.append(len(members))
                 held.append(members)
-            counts += np.bincount((np.concatenate(held) >> np.uint64(46)).astype(np.int64), minlength=CELLS)
+            cells, times = np.unique(_cells(np.concatenate(held)), return_counts=True)
+            counts[cells] += times.astype(np.uint32)
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.binary())], schema=kinds)
-        rows = [i for i in range(CELLS // CELLS_ROW) if counts[i * CELLS_ROW:(i + 1) * CELLS_ROW].any()]
-        if rows:
-            parts = [counts[i * CELLS_ROW:(i + 1) * CELLS_ROW].tobytes() for i in rows]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array(rows, pa.int64()), pa.array([-1] * len(rows), pa.int64()), pa.array(parts)], schema=kinds)
-
-    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = counts.reshape(-1, CELLS_ROW)
+        rows = np.flatnonzero(parts.any(axis=1)).tolist()
+        for at in range(0, len(rows), 16):
+            some = rows[at:at + 16]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([-1] * len(some), pa.int64()),
+                                              pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some])], schema=kinds)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
-        for frame in frames:
-            for at, counts in zip(frame["node"], frame["counts"], strict=True):
-                totals[at] = totals.get(at, 0) + np.frombuffer(counts, np.int64)
-        yield pd.DataFrame({"node": list(totals), "counts": [c.tobytes() for c in totals.values()]}).astype({"node": "int64"})
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
+                totals[at] = totals.get(at, np.zeros(CELLS_ROW, np.int64)) + more
+        levels = [zlib.compress(np.floor(np.log2(np.maximum(c, 1))).astype(np.uint8).tobytes(), 1) for c in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(levels, pa.binary()), pa.array([int(c.sum()) for c in totals.values()], pa.int64())], ["part", "levels", "total"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     made = cut_lineage(rows.mapInArrow(sets, "doc_id long, node long, n long, counts binary"))
-    cells = made.filter("n < 0").select("node", "counts").repartition(F.col("node")).mapInPandas(added, "node long, counts binary")
-    total = np.zeros(CELLS, np.int64)
-    for row in cells.collect():                     # CELLS counters in all, whatever the corpus
-        total[row["node"] * CELLS_ROW:(row["node"] + 1) * CELLS_ROW] = np.frombuffer(row["counts"], np.int64)
-    return made.filter("n >= 0").select("doc_id", "node", "n"), total
+    cells = made.filter("n < 0").select("node", "counts").repartition(F.col("node")).mapInArrow(added, "part long, levels binary, total long")
+    rarity, total = np.zeros((1 << CELL_BITS) // CELLS_ROW * CELLS_ROW, np.uint8).reshape(-1, CELLS_ROW), 0
+    for row in cells.collect():                     # 2**CELL_BITS bytes in all, whatever the corpus
+        rarity[row["part"]] = np.frombuffer(zlib.decompress(row["levels"]), np.uint8)
+        total += row["total"]
+    return made.filter("n >= 0").select("doc_id", "node", "n"), rarity.ravel(), total
+
 
+def _cells(members: np.ndarray) -> np.ndarray:
+    return (members >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
-def _rarity(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
+
+def common_needed(n: Column, m: Column, threshold: tuple[int, int] = THRESHOLD) -> Column:
+    """Least number of shingles that the prefixes of a linked pair share: what the intersection needs beyond the larger
+    set's suffix. The prefix that ends first in the common order lies, as far as it is shared, wholly in the other."""
+    p, q = threshold
+    return F.ceil(p * (n + m) / (p + q)) - F.ceil(p * F.greatest(n, m) / q) + 1
 
 
 def postings(docs: DataFrame, rarity: np.ndarray, small: int, buckets: int) -> DataFrame:
@@ -161,7 +175,7 @@ def postings(docs: DataFrame, rarity: np.ndarray, small: int, buckets: int) -> D
                     seen.add(node)
                 found = []
                 if n > small or n in crossing:
-                    level = rarity[(members >> np.uint64(46)).astype(np.int64)]
+                    level = rarity[_cells(members)]
                     found.append((members[np.argsort(level, kind="stable")[:prefix_length(n)]], n))
                 if n <= small:
                     found.append((np.unique(_subset_tokens(members, small)), -n))
@@ -289,48 +303,61 @@ def _near(a: str, b: str, threshold: tuple[int, int] = THRESHOLD):
     return (F.col(a) * q >= F.col(b) * p) & (F.col(b) * q >= F.col(a) * p)
 
 
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents as doc_id, node, n; components as node, component of the nodes that link to another)."""
     spark: SparkSession = docs.sparkSession
-    known, counts = sketch(docs)
+    known, rarity, total = sketch(docs)
     sizes = known.filter(F.col("n").between(1, 2 * LARGEST_SMALL)).groupBy("n").agg(F.approx_count_distinct("node").alias("c"))
     small = boundary({r["n"]: r["c"] for r in sizes.collect()})
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() // (3 * BUCKET_POSTINGS)) + 1)
-    lists = shared(postings(docs, _rarity(counts), small, buckets), buckets).withColumn("subset", F.col("n") < 0)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (3 * BUCKET_POSTINGS) + 1)
+    lists = shared(postings(docs, rarity, small, buckets), buckets).withColumn("subset", F.col("n") < 0)
     lists = cut_lineage(lists.withColumn("n", F.abs("n")).withColumn("first_n", F.abs("first_n")))
-    ties = lists.filter(~F.col("subset") & (F.col("node") != F.col("first_node"))).select("node", F.col("first_node").alias("other"), "n", F.col("first_n").alias("m"))
+    plain = lists.filter("NOT subset")
+
+    # Each member against its list's first one, if they meet on a fair part of the lists that a link needs.
+    ties = cut_lineage(plain.filter("node <> first_node").groupBy("node", "first_node").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("first_n").alias("m")))
+    first = ties.filter(_near("n", "m") & (F.col("c") * 4 >= common_needed(F.col("n"), F.col("m")))).select(*_pair("node", "first_node"))
     # A subset list ties each set to one of the other size, or to its first set where only one size has come.
     keyed = lists.filter("subset").select("token", "node", "n")
     ends = keyed.groupBy("token").agg(F.min(F.struct("n", "node")).alias("low"), F.max(F.struct("n", "node")).alias("high"))
     other = F.when(F.col("n") == F.col("low.n"), F.when(F.col("low.n") == F.col("high.n"), F.col("low")).otherwise(F.col("high"))).otherwise(F.col("low"))
-    subset_ties = keyed.join(ends, "token").withColumn("other", other).select("node", F.col("other.node").alias("other"), "n", F.col("other.n").alias("m"))
-    ties = ties.union(subset_ties).filter("node <> other").filter(_near("n", "m"))
-    pairs = cut_lineage(ties.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
+    by_subset = keyed.join(ends, "token").withColumn("other", other).select("node", F.col("other.node").alias("other"), "n", F.col("other.n").alias("m"))
+    pairs = cut_lineage(first.union(by_subset.filter("node <> other").filter(_near("n", "m")).select(*_pair("node", "other"))).distinct())
     sets = cut_lineage(sets_of(docs, known, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))))
     held = cut_lineage(verified(pairs, sets))
-    # Lists on which several components still meet: between one member of each component and the list's smallest, then all pairs.
-    plain = lists.filter(~F.col("subset")).select("token", "node", "n").distinct()
+    found = components(held)
+
+    # Lists on which several components still meet: those with a member that is not in its first member's component.
+    def named(rows: DataFrame, node: str, name: str) -> DataFrame:
+        return rows.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    apart = named(named(ties, "node", "x"), "first_node", "y").filter("x <> y").select("node", "first_node")
+    tokens = plain.join(apart, ["node", "first_node"], "left_semi").select("token").distinct()
+    open_lists = cut_lineage(plain.join(tokens, "token", "left_semi").select("token", "node", "n").distinct())
     for last in (False, True):
-        found = components(held)
-        named = plain.join(found, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
-        meeting = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        open_lists = cut_lineage(named.join(meeting, "token"))
-        if not last:
-            one_each = open_lists.groupBy("token", "component").agg(F.min(F.struct("node", "n")).alias("one"), F.first("low").alias("low"))
-            one_each = one_each.select("token", "component", "low", F.col("one.node").alias("node"), F.col("one.n").alias("n"))
+        rows = named(open_lists, "node", "component")
+        meeting = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        rows = rows.join(meeting, "token")
+        if last:       # every pair of different components
+            partner = rows.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"))
+            met = rows.join(partner, "token").filter((F.col("component") < F.col("c")) & _near("n", "m"))
+            met = met.groupBy("node", "other", "n", "m").agg(F.count("*").alias("common")).filter(F.col("common") >= common_needed(F.col("n"), F.col("m")))
+        else:          # one member of each component with one of the smallest component
+            one_each = rows.groupBy("token", "component", "low").agg(F.min(F.struct("node", "n")).alias("one")).select("token", "component", "low", "one.*")
             lead = one_each.filter("component = low").select("token", F.col("node").alias("other"), F.col("n").alias("m"))
-            candidates = one_each.filter("component <> low").join(lead, "token").filter(_near("n", "m"))
-        else:
-            other = open_lists.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"))
-            candidates = open_lists.join(other, "token").filter(F.col("component") < F.col("c")).filter(_near("n", "m"))
-        more = cut_lineage(candidates.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-                           .join(pairs, ["a", "b"], "left_anti"))
+            met = one_each.filter("component <> low").join(lead, "token").filter(_near("n", "m")).groupBy("node", "other", "n", "m").agg(F.count("*").alias("common"))
+            met = met.filter(F.col("common") * 4 >= common_needed(F.col("n"), F.col("m")))
+        more = cut_lineage(met.select(*_pair("node", "other")).distinct().join(pairs, ["a", "b"], "left_anti"))
         nodes = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
         lacking = nodes.join(sets.select("node"), "node", "left_anti")
         sets = sets.unionByName(cut_lineage(sets_of(docs, known, lacking)))
         pairs = pairs.unionByName(more)
         held = held.unionByName(cut_lineage(verified(more, sets)))
-    return known, components(held)
+        found = components(held)
+    return known, found
 
 
 def groups(docs: DataFrame) -> DataFrame:
