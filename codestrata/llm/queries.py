@@ -3,7 +3,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import chat, decontaminate, exact_dedup, jaccard_join, packing, token_files, toxicity, url_rules, warc
+from codestrata.llm import chat, decontaminate, exact_dedup, jaccard_join, language_model, packing, token_files, toxicity, url_rules, warc
 from codestrata.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.encode_and_read(spark, table(spark, folder, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def class_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(table(spark, folder, "documents"), language_model.hashed_seventh())
+
+
 def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, folder, "pages"))
 
@@ -106,6 +110,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LE
 QUERIES = {
     "op1_best_fit_packing": (best_fit_packing, None),
     "op2_token_files": (token_output, None),
+    "op3_lm_scoring": (class_model_scores, None),
     "op4_warc": (warc_round_trip, WARC_SQL),
     "op5_toxicity": (toxic_scores, None),
     "op6_jaccard_join": (jaccard_groups, JACCARD_SQL),
