@@ -7,8 +7,9 @@ whole document, if it is shorter) is within floor(m * share) word edits of the i
   word). Sequences a few edits apart fall into step again, so their embeddings differ in few places.
 * Repeated bit sampling: a table compares a few sampled places of one walk. How many tables reach the target recall at the
   largest distance allowed is measured beforehand on mutated sequences of the items' lengths.
-* Windows whose word pairs cannot reach the distance are passed over: each edit destroys two pairs at most, so a window
-  needs m - 1 - 2 * edits pairs that occur in items. This never drops a match.
+* Windows that cannot reach the distance are passed over: an edit destroys two word pairs and three word triples at most,
+  so a window needs m - 1 - 2 * edits pairs and m - 2 - 3 * edits triples that occur in items of m words. This never drops
+  a match.
 * Candidates are confirmed by the exact edit distance.
 
 Documents are scanned where they lie. Items are taken in blocks of a bounded number of words, one scan per block.
@@ -18,6 +19,7 @@ any text may hold them by chance; items with equal texts are each reported; null
 are, one result per row and item; an empty table gives no rows; columns besides doc_id, item_id and text are not read.
 """
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values occur in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def edits(m: int, share: float = SHARE) -> int:
     return int(m * share)
 
@@ -144,8 +153,10 @@ class Items:
         if not self.words:
             return
         self.distinct = sorted(set(self.sizes.tolist()))
-        pairs = [a * len(self.vocabulary) + b - 1 for w in self.words for a, b in zip(w[:-1], w[1:], strict=True)]
-        self.pairs = np.unique(np.array(pairs, np.int64))
+        # Runs of two and three words by the size of the items that they occur in, and of all items.
+        self.runs = {(n, m): np.unique(np.concatenate([self._grams(np.array(w, np.int64), n) for w in self.words if len(w) == m]))
+                     for n in (2, 3) for m in self.distinct}
+        self.all_runs = {n: np.unique(np.concatenate([self.runs[n, m] for m in self.distinct])) for n in (2, 3)}
         self.tables = Tables(tables or tables_needed(self.distinct, share, recall), self.distinct[-1])
         padded = np.zeros((len(self.words), self.distinct[-1]), np.int64)
         for row, words in enumerate(self.words):
@@ -154,34 +165,55 @@ class Items:
         order = np.argsort(keys, kind="stable")
         self.keys, self.owners = keys[order], order // self.tables.number
 
+    @staticmethod
+    def _grams(ids: np.ndarray, size: int) -> np.ndarray:
+        """A number for every run of ``size`` known words, and none of these for a run with an unknown word."""
+        total, known = np.zeros(max(0, len(ids) - size + 1), np.uint64), np.ones(max(0, len(ids) - size + 1), bool)
+        for k in range(size):
+            part = ids[k:len(ids) - size + 1 + k]
+            total = (total + part.astype(np.uint64)) * PLACES
+            known &= part > 0
+        return np.where(known, _mix(total) >> np.uint64(1), np.uint64((1 << 64) - 1))
+
+    def _hits(self, ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a run that occurs in items begins, inside one document, and the runs."""
+        grams, inside = self._grams(ids, size), np.ones(len(ids), bool)
+        for back in range(1, size):
+            inside[starts[starts >= back] - back] = False
+        there = np.flatnonzero((grams != np.uint64((1 << 64) - 1)) & inside[:len(grams)])
+        there = there[_within(grams[there], self.all_runs[size])]
+        return there, grams[there]
+
     def _windows(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of the windows that the word-pair count lets through. ids: documents one after another."""
-        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & ~np.isin(np.arange(1, len(ids)), starts))
-        code = ids[both] * len(self.vocabulary) + ids[both + 1] - 1
-        at = np.minimum(np.searchsorted(self.pairs, code), max(0, len(self.pairs) - 1))
-        hits = both[self.pairs[at] == code] if len(self.pairs) else both[:0]
+        """(start, size) of the windows that the counts let through. ids: documents one after another."""
+        every_hit = {n: self._hits(ids, starts, n) for n in (2, 3)}
         ends = np.append(starts[1:], len(ids))
         found_at, found_size = [], []
         for m in self.distinct:
-            least = m - 1 - 2 * edits(m, self.share)
-            if least < 1:                     # too short for pairs to tell: every window
+            needs = {n: m - n + 1 - n * edits(m, self.share) for n in (2, 3)}
+            hits = {n: at[_within(runs, self.runs[n, m])] for n, (at, runs) in every_hit.items()}
+            by = 3 if needs[3] > 0 else 2
+            least, places = needs[by], hits[by]
+            if least < 1:                     # too short to tell: every window
                 first, last = starts, np.maximum(starts, ends - m)
-                first, last = first[ends > starts], last[ends > starts]
             else:
-                if len(hits) < least:
+                if len(places) < least:
                     continue
-                one, other = hits[:len(hits) - least + 1], hits[least - 1:]
+                one, other = places[:len(places) - least + 1], places[least - 1:]
                 doc = np.searchsorted(starts, one, "right") - 1
-                fits = (other - one <= m - 2) & (other < ends[doc])
+                fits = (other - one <= m - by) & (other < ends[doc])
                 one, other, doc = one[fits], other[fits], doc[fits]
-                first = np.maximum(other + 2 - m, starts[doc])
+                first = np.maximum(other + by - m, starts[doc])
                 last = np.minimum(one, np.maximum(starts[doc], ends[doc] - m))
                 first = np.minimum(first, last)
             number = last - first + 1
             if not len(number):
                 continue
-            every = np.repeat(first - np.concatenate([[0], np.cumsum(number)[:-1]]), number) + np.arange(number.sum())
-            every = np.unique(every)
+            every = np.unique(np.repeat(first - np.concatenate([[0], np.cumsum(number)[:-1]]), number) + np.arange(number.sum()))
+            past = np.minimum(every + m, ends[np.searchsorted(starts, every, "right") - 1])
+            for n, need in needs.items():
+                enough = np.searchsorted(hits[n], np.maximum(every, past - n + 1)) - np.searchsorted(hits[n], every) >= need
+                every, past = every[enough], past[enough]
             found_at.append(every)
             found_size.append(np.full(len(every), m))
         if not found_at:
@@ -195,8 +227,7 @@ class Items:
         split = [text.lower().split() for text in texts]
         lengths = np.array([len(w) for w in split], np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        known = self.vocabulary.get
-        ids = np.fromiter((known(w, 0) for words in split for w in words), np.int64, int(lengths.sum()))
+        ids = np.fromiter(map(self.vocabulary.get, chain.from_iterable(split), repeat(0)), np.int64, int(lengths.sum()))
         filled = lengths > 0
         doc_of, begin = np.flatnonzero(filled), starts[filled]
         if not len(begin):
