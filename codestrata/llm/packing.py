@@ -27,7 +27,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     """Tokenize whole texts, append ``end_id`` and cut only what is longer than ``capacity``."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for some in utf8_slices(batches):
+        for some in utf8_slices(batches, 2 << 20):
             rows = []
             for doc_id, ids in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist()), strict=True):
                 ids += end
@@ -255,7 +255,7 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, end_id: int =
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for some in utf8_slices(batches):
+        for some in utf8_slices(batches, 2 << 20):
             rows = []
             for places, ids in zip(some.column(0).to_pylist(), words.encode(some.column(1).to_pylist()), strict=True):
                 ids = np.frombuffer(ids + end, "<u4")

@@ -136,7 +136,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
     """Write all documents in ascending doc_id order; one manifest row per file: shard, uri, first (ids before it), n_docs, n_tokens."""
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end, out, uri = encoder(tokenizer), np.array([end_id], "<u4"), None, None
-        for some in utf8_slices(batches):
+        for some in utf8_slices(batches, 2 << 20):
             if out is None:
                 uri, stream = new_file(folder, f"ids-{TaskContext.get().partitionId():06d}")
                 out = Writer(stream, width(max(words.vocabulary, end_id + 1)))

@@ -9,7 +9,7 @@ import re
 
 import numpy as np
 
-KNOWN_WORDS = 400_000      # words of a generation that a worker keeps; words of the one before move over when met again
+KNOWN_WORDS = 150_000      # words of a generation that a worker keeps; words of the one before move over when met again
 LONG_WORD = 64             # longer words are encoded but not kept
 
 # Words for which the library's normalizer and splitter have nothing to decide: letters of Latin-1 with plain marks after
