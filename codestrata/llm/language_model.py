@@ -4,9 +4,9 @@ The corpus is written once as chunks of word codes. Counts of all training words
 lists, and each chunk gets its own words' counts back by a join; nothing of the vocabulary is broadcast.
 
 The most frequent words fall into ``CLASSES`` classes by the exchange algorithm: each in turn moves to the class where it
-adds most to the likelihood of the class bigrams. Moves are computed for a part of the words at a time, from tables of
-each word's neighbours, and kept if the likelihood rises. Rarer words form a class per power of two of their count, words
-never seen in training one of their own, and the end of a text another.
+adds most to the likelihood of the class bigrams, until none moves. Spark counts which of these words follow which; that
+table has at most UNITS squared cells whatever the corpus, and the exchange works on it. Rarer words form a class per power
+of two of their count, words never seen in training one of their own, and the end of a text another.
 
 P(word | one before) = P(class | class before) * P(word | class). Transitions are smoothed by the classes' own frequency.
 All words never seen in training are one event, as in the add-one base score: the V words of training and that event have
@@ -20,7 +20,6 @@ alone; an empty table gives no rows; columns besides doc_id and text are not rea
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -36,9 +35,8 @@ TIERS = 64                     # classes of rarer words, by the logarithm of the
 UNSEEN, END = CLUSTERED + TIERS - 1, CLUSTERED + TIERS
 UNITS = CLUSTERED + TIERS + 1
 TOTAL_CLASSES = CLASSES + TIERS + 1
-ROUNDS = 8
-PART = 4                       # a round moves one word in PART
-SMOOTHING = 50.0
+SWEEPS = 12
+SMOOTHING = 5.0
 END_WORD = 0                   # the end's hash
 
 CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, codes binary, words array<long>, counts array<long>"
@@ -143,7 +141,7 @@ def bigrams(sequences: DataFrame) -> DataFrame:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there // UNITS), pa.array(there % UNITS), pa.array(total[there])], ["a", "b", "n"])
     made = sequences.select("held", "lengths", "units").mapInArrow(count, "a long, b long, n long")
-    return cut_lineage(made.groupBy("a", "b").agg(F.sum("n").alias("n")))
+    return made.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
@@ -166,53 +164,42 @@ def best_class(table: np.ndarray, own: int, left: np.ndarray, right: np.ndarray,
         gain -= _log_sum(line[diagonal, diagonal] + extra[:CLASSES]) - _log_sum(line[diagonal, diagonal])
     corner = rest[diagonal, diagonal]
     gain += _log_sum(corner + left[:CLASSES] + right[:CLASSES] + both) - _log_sum(corner)
-    for margin, more in ((rest.sum(1), right.sum() + both), (rest.sum(0), left.sum() + both)):
+    # Its neighbours' own margins hold the pairs with the word wherever it goes.
+    for margin, more in ((rest.sum(1) + left, right.sum() + both), (rest.sum(0) + right, left.sum() + both)):
         gain -= (_log_sum(margin + more) - _log_sum(margin))[:CLASSES]
     return own if gain[own] >= gain.max() - 1e-9 else int(np.argmax(gain))
 
 
-def class_table(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TOTAL_CLASSES ** 2, np.int64)
-        for batch in batches:
-            a, b, n = (np.asarray(c) for c in batch.columns)
-            np.add.at(total, classes[a] * TOTAL_CLASSES + classes[b], n)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["cell", "n"])
-    table = np.zeros(TOTAL_CLASSES ** 2)
-    for r in pairs.mapInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():     # classes squared
-        table[r["cell"]] = r["n"]
-    return table.reshape(TOTAL_CLASSES, TOTAL_CLASSES)
-
-
-def _moves(table: np.ndarray, classes: np.ndarray):
-    def move(frame: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        for unit, rows in frame.groupby("unit"):
-            sides, n, other = rows["side"].to_numpy(), rows["n"].to_numpy(), rows["other"].to_numpy()
-            itself = other == unit
-            sums = [np.bincount(classes[other[(sides == s) & ~itself]], n[(sides == s) & ~itself], TOTAL_CLASSES) for s in (0, 1)]
-            made.append((unit, best_class(table, int(classes[unit]), *sums, float(n[itself & (sides == 1)].sum()))))
-        return pd.DataFrame(made, columns=["unit", "moved"])
-    return move
-
-
-def exchange(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class bigram table). Only the CLUSTERED units move."""
-    classes = np.concatenate([np.arange(CLUSTERED) % CLASSES, np.arange(CLASSES, TOTAL_CLASSES)])
-    right = pairs.filter(F.col("a") < CLUSTERED).select(F.col("a").alias("unit"), F.col("b").alias("other"), "n", F.lit(1).alias("side"))
-    left = pairs.filter(F.col("b") < CLUSTERED).select(F.col("b").alias("unit"), F.col("a").alias("other"), "n", F.lit(0).alias("side"))
-    neighbours = cut_lineage(right.union(left).withColumn("part", F.pmod("unit", F.lit(PART))))
-    table = class_table(pairs, classes)
-    reached = likelihood(table)
-    for turn in range(ROUNDS):
-        some = neighbours.filter(F.col("part") == turn % PART).withColumn("slice", F.pmod(F.floor(F.col("unit") / PART), F.lit(16)))
-        tried = classes.copy()
-        for r in some.groupBy("slice").applyInPandas(_moves(table, classes), "unit long, moved long").collect():      # at most CLUSTERED rows
-            tried[r["unit"]] = r["moved"]
-        moved = class_table(pairs, tried)
-        if likelihood(moved) > reached:
-            classes, table, reached = tried, moved, likelihood(moved)
+def class_table(follows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    number = int(classes.max()) + 1
+    rows = np.zeros((number, len(classes)))
+    np.add.at(rows, classes, follows)
+    table = np.zeros((number, number))
+    np.add.at(table.T, classes, rows.T)
+    return table
+
+
+def exchange(follows: np.ndarray, classes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class bigram table) from how often unit follows unit. The first ``words`` units move."""
+    classes = classes.copy()
+    table, fixed = class_table(follows, classes), int(classes.max()) + 1
+    seen = np.flatnonzero(follows[:words].sum(1) + follows[:, :words].sum(0))
+    for _ in range(SWEEPS):
+        moves = 0
+        for unit in seen:
+            into, out, itself, own = follows[:, unit].copy(), follows[unit].copy(), follows[unit, unit], int(classes[unit])
+            into[unit] = out[unit] = 0
+            left, right = np.bincount(classes, into, fixed), np.bincount(classes, out, fixed)
+            best = best_class(table, own, left, right, itself)
+            if best != own:
+                for kind, sign in ((own, -1), (best, 1)):
+                    table[:, kind] += sign * left
+                    table[kind] += sign * right
+                    table[kind, kind] += sign * itself
+                classes[unit] = best
+                moves += 1
+        if not moves:
+            break
     return classes, table
 
 
@@ -235,7 +222,11 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     corpus = chunks(docs, held_out)
     places, words, totals = count_words(corpus)
     sequences = units(corpus, places, words, totals)
-    classes, table = exchange(bigrams(sequences))
+    counted = bigrams(sequences).toPandas()          # at most UNITS squared rows
+    follows = np.zeros((UNITS, UNITS))
+    follows[counted["a"], counted["b"]] = counted["n"]
+    first = np.concatenate([np.arange(CLUSTERED) % CLASSES, np.arange(CLASSES, TOTAL_CLASSES)])
+    classes, table = exchange(follows, first, CLUSTERED)
     steps, emission = model(classes, table, totals)
     total = totals["N"]
 
