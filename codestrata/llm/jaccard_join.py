@@ -10,10 +10,12 @@ different ways, and a cost model on the histogram of set sizes draws the boundar
   link always shares a shingle of both prefixes. Rarity comes from a count sketch of fixed size over all documents; it only
   orders, so its errors cost time and never a link.
 
-Lists are scanned where they meet, in one pass per bucket of shingles. Every member is first checked against the list's
-first member. Checked links form components, and only lists on which several components still meet are scanned again:
-first between one member of each component, and at last over all their pairs of different components. So a group of copies costs its size and not its square, and no link
-between components is lost.
+Lists are scanned where they meet, in one pass per bucket of shingles; what stays are the postings of shingles that two nodes
+share. Every member is first checked against the list's most central member, the one that meets most others on all its
+lists, which among near copies is the original. Checked links form components, and only lists on which several components
+still meet are scanned again: first between one member of each component, and at last over their pairs of different
+components, by the shorter prefixes that the two sizes need and with as many common shingles as they need. So a group of
+copies costs its size and not its square, and no link between components is lost.
 
 Results for odd input: null text is an empty text; texts without words have an empty set, which links with nothing; a text
 with fewer words than a shingle has its whole word sequence as its one shingle; documents with equal sets link; rows with
@@ -27,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import cut_lineage, utf8, utf8_slices
@@ -147,15 +149,20 @@ def _cells(members: np.ndarray) -> np.ndarray:
     return (members >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+def _needed(n: Column, m: Column, threshold: tuple[int, int] = THRESHOLD) -> Column:
+    p, q = threshold
+    return F.ceil(p * (n + m) / (p + q))
+
+
 def common_needed(n: Column, m: Column, threshold: tuple[int, int] = THRESHOLD) -> Column:
     """Least number of shingles that the prefixes of a linked pair share: what the intersection needs beyond the larger
     set's suffix. The prefix that ends first in the common order lies, as far as it is shared, wholly in the other."""
     p, q = threshold
-    return F.ceil(p * (n + m) / (p + q)) - F.ceil(p * F.greatest(n, m) / q) + 1
+    return _needed(n, m) - F.ceil(p * F.greatest(n, m) / q) + 1
 
 
 def postings(docs: DataFrame, rarity: np.ndarray, small: int, buckets: int) -> DataFrame:
-    """Packed (token, node, n) triples by bucket: prefixes of large sets and of small ones near the boundary, and subset keys.
+    """Packed (token, node, n with the place in the prefix) triples by bucket: prefixes of large sets and of small ones near the boundary, and subset keys.
 
     Subset keys carry -n, so that a list knows them: their lists are complete once tied to the first set of each size.
     """
@@ -182,10 +189,10 @@ def postings(docs: DataFrame, rarity: np.ndarray, small: int, buckets: int) -> D
                 for keys, size in found:
                     tokens.append(keys)
                     nodes.append(np.full(len(keys), node, np.int64))
-                    sizes.append(np.full(len(keys), size, np.int32))
+                    sizes.append((size << 32) + np.arange(len(keys)))
             if not tokens:
                 continue
-            token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+            token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
             bucket = (mixed(token) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             token, node, size, bucket = token[order], node[order], size[order], bucket[order]
@@ -196,21 +203,20 @@ def postings(docs: DataFrame, rarity: np.ndarray, small: int, buckets: int) -> D
 
 
 def shared(packed: DataFrame, buckets: int) -> DataFrame:
-    """Postings of tokens that two nodes share: token, node, n, first_node, first_n.
+    """Postings of tokens that two nodes share: token, node, n, place.
 
-    A task takes its buckets in chunks and keeps one member of each list, the first; a list of any length streams by. A
-    subset list keeps the first of either size.
+    A task takes its buckets in chunks and keeps one member of each list, the first, until a second comes; a list of any
+    length streams by.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64)]          # list key, first node, its size
+        known = [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64)]          # token, first node, its size and place
         waiting = np.zeros(0, bool)                                                # the first member is not written yet
-        names = ["token", "node", "n", "first_node", "first_n"]
 
         def take(token, node, size):
             nonlocal known, waiting
-            order = np.lexsort((node, np.abs(size), token))
+            order = np.lexsort((node, token))
             token, node, size = token[order], node[order], size[order]
-            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1]) | (size[1:] != size[:-1])])
+            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
             token, node, size = token[fresh], node[fresh], size[fresh]
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.concatenate([start, [len(token)]]))
@@ -218,45 +224,42 @@ def shared(packed: DataFrame, buckets: int) -> DataFrame:
             old = np.zeros(len(start), bool)
             inside = at < len(known[0])
             old[inside] = known[0][at[inside]] == token[start][inside]
-            first = np.where(old, known[1][np.minimum(at, max(0, len(known[1]) - 1))] if len(known[1]) else 0, node[start])
-            first_n = np.where(old, known[2][np.minimum(at, max(0, len(known[2]) - 1))] if len(known[2]) else 0, size[start])
-            lead, lead_n, was_old = np.repeat(first, length), np.repeat(first_n, length), np.repeat(old, length)
-            rest = node != lead
+            first, first_size = node[start].copy(), size[start].copy()
+            first[old], first_size[old] = known[1][at[old]], known[2][at[old]]
+            rest = node != np.repeat(first, length)
             has_rest = np.add.reduceat(rest.astype(np.int64), start) > 0
-            out = [(token[rest], node[rest], size[rest], lead[rest], lead_n[rest])]
-            # The first member itself is written when its list gets a second one.
+            # The first member is written when its list gets a second one.
             due = has_rest & ~old
-            out.append((token[start][due], first[due], first_n[due], first[due], first_n[due]))
             late = old & has_rest
             late[late] = waiting[at[late]]
-            out.append((token[start][late], first[late], first_n[late], first[late], first_n[late]))
             waiting[at[late]] = False
+            lead = due | late
+            out = [np.concatenate(c) for c in ((token[rest], token[start][lead]), (node[rest], first[lead]), (size[rest], first_size[lead]))]
             new = ~old
             keys = np.concatenate([known[0], token[start][new]])
             order = np.argsort(keys, kind="stable")
-            known = [keys[order], np.concatenate([known[1], first[new]])[order], np.concatenate([known[2], first_n[new]])[order]]
+            known = [keys[order], np.concatenate([known[1], first[new]])[order], np.concatenate([known[2], first_size[new]])[order]]
             waiting = np.concatenate([waiting, ~has_rest[new]])[order]
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *[pa.array(c.astype(np.int64)) for c in columns[1:]]], names)
+            return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1]), pa.array(out[2] >> 32), pa.array(out[2] & 0xFFFFFFFF)], ["token", "node", "n", "place"])
 
         held, number = [], 0
         for batch in batches:
             for row in batch.select(["tokens", "nodes", "sizes"]).to_pylist():
-                held.append((np.frombuffer(row["tokens"], np.uint64), np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["sizes"], np.int32).astype(np.int64)))
+                held.append((np.frombuffer(row["tokens"], np.uint64), np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["sizes"], np.int64)))
                 number += len(held[-1][0])
                 if number >= CHUNK_POSTINGS:
                     yield take(*map(np.concatenate, zip(*held, strict=True)))
                     held, number = [], 0
         if held:
             yield take(*map(np.concatenate, zip(*held, strict=True)))
-    return packed.repartition(buckets, "bucket").mapInArrow(scan, "token long, node long, n long, first_node long, first_n long")
+    return packed.repartition(buckets, "bucket").mapInArrow(scan, "token long, node long, n long, place long")
 
 
 def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its sorted shingles for the wanted nodes (and a few others), from one document of each node.
+    """node and its sorted shingles for the wanted nodes, from one document of each node.
 
     Texts do not move: a bitmap of the wanted documents' hashes, of at most ``BITMAP_BITS`` bits, goes to the scan. What
-    passes it by chance is dropped by the joins that follow.
+    passes it by chance is dropped by the join with the wanted ones.
     """
     wanted = cut_lineage(known.join(nodes.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     bits = 1 << 16
@@ -272,11 +275,13 @@ def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
         flags = np.unpackbits(bitmap.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
             for some in utf8_slices([batch.filter(pa.array(flags[batch.column(0).to_numpy()]))]):
-                found = [shingle_set(text) for text in some.column(1).to_pylist()]
-                rows = [(node_of(members), members.tobytes()) for members in found if len(members)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "members"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).select(place.alias("place"), "text").mapInArrow(
-        sets, "node long, members binary")
+                found = [shingle_set(text) for text in some.column(2).to_pylist()]
+                rows = [(node_of(members), doc_id, members.tobytes()) for members, doc_id in zip(found, some.column(1).to_pylist(), strict=True) if len(members)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "doc_id", "members"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).select(place.alias("place"), "doc_id", "text")
+    made = cut_lineage(rows.mapInArrow(sets, "node long, doc_id long, members binary"))
+    chosen = wanted.select("node", F.col("doc_id").alias("d"))
+    return made.join(chosen, "node").filter(F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "members")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -295,7 +300,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THR
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(check, "a long, b long").distinct()
 
 
 def _near(a: str, b: str, threshold: tuple[int, int] = THRESHOLD):
@@ -309,51 +314,57 @@ def _pair(a: str, b: str) -> list[Column]:
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents as doc_id, node, n; components as node, component of the nodes that link to another)."""
-    spark: SparkSession = docs.sparkSession
+    spark = docs.sparkSession
     known, rarity, total = sketch(docs)
     sizes = known.filter(F.col("n").between(1, 2 * LARGEST_SMALL)).groupBy("n").agg(F.approx_count_distinct("node").alias("c"))
     small = boundary({r["n"]: r["c"] for r in sizes.collect()})
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (3 * BUCKET_POSTINGS) + 1)
     lists = shared(postings(docs, rarity, small, buckets), buckets).withColumn("subset", F.col("n") < 0)
-    lists = cut_lineage(lists.withColumn("n", F.abs("n")).withColumn("first_n", F.abs("first_n")))
-    plain = lists.filter("NOT subset")
-
-    # Each member against its list's first one, if they meet on a fair part of the lists that a link needs.
-    ties = cut_lineage(plain.filter("node <> first_node").groupBy("node", "first_node").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("first_n").alias("m")))
-    first = ties.filter(_near("n", "m") & (F.col("c") * 4 >= common_needed(F.col("n"), F.col("m")))).select(*_pair("node", "first_node"))
+    lists = cut_lineage(lists.withColumn("n", F.abs("n")))
+    plain = lists.filter("NOT subset").drop("subset")
+    needs = common_needed(F.col("n"), F.col("m"))
+
+    # Each member against the most central one of its list, if they meet on a fair part of the lists that a link needs.
+    met_on = plain.join(plain.groupBy("token").agg(F.count("*").alias("length")), "token").groupBy("node").agg(F.sum("length").alias("central"), F.count("*").alias("tokens"))
+    plain = cut_lineage(plain.join(met_on, "node"))
+    lead = plain.groupBy("token").agg(F.max(F.struct("central", "node", "n")).alias("lead")).select("token", F.col("lead.node").alias("lead"), F.col("lead.n").alias("m"))
+    ties = cut_lineage(plain.join(lead, "token").filter("node <> lead").groupBy("node", "lead", "n", "m").agg(F.count("*").alias("common")))
+    first = ties.filter(_near("n", "m") & (F.col("common") * 4 >= needs)).select(*_pair("node", "lead"))
     # A subset list ties each set to one of the other size, or to its first set where only one size has come.
     keyed = lists.filter("subset").select("token", "node", "n")
     ends = keyed.groupBy("token").agg(F.min(F.struct("n", "node")).alias("low"), F.max(F.struct("n", "node")).alias("high"))
     other = F.when(F.col("n") == F.col("low.n"), F.when(F.col("low.n") == F.col("high.n"), F.col("low")).otherwise(F.col("high"))).otherwise(F.col("low"))
     by_subset = keyed.join(ends, "token").withColumn("other", other).select("node", F.col("other.node").alias("other"), "n", F.col("other.n").alias("m"))
     pairs = cut_lineage(first.union(by_subset.filter("node <> other").filter(_near("n", "m")).select(*_pair("node", "other"))).distinct())
-    sets = cut_lineage(sets_of(docs, known, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))))
+    sets = sets_of(docs, known, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
     held = cut_lineage(verified(pairs, sets))
     found = components(held)
 
-    # Lists on which several components still meet: those with a member that is not in its first member's component.
+    # Lists on which several components still meet: those with a member that is not in its most central member's component.
     def named(rows: DataFrame, node: str, name: str) -> DataFrame:
         return rows.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    apart = named(named(ties, "node", "x"), "first_node", "y").filter("x <> y").select("node", "first_node")
-    tokens = plain.join(apart, ["node", "first_node"], "left_semi").select("token").distinct()
-    open_lists = cut_lineage(plain.join(tokens, "token", "left_semi").select("token", "node", "n").distinct())
+    apart = named(named(ties, "node", "x"), "lead", "y").filter("x <> y").select("node", "lead")
+    tokens = plain.join(lead, "token").join(apart, ["node", "lead"], "left_semi").select("token").distinct()
+    open_lists = cut_lineage(plain.join(tokens, "token", "left_semi"))
     for last in (False, True):
         rows = named(open_lists, "node", "component")
-        meeting = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        meeting = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
         rows = rows.join(meeting, "token")
-        if last:       # every pair of different components
-            partner = rows.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"))
-            met = rows.join(partner, "token").filter((F.col("component") < F.col("c")) & _near("n", "m"))
-            met = met.groupBy("node", "other", "n", "m").agg(F.count("*").alias("common")).filter(F.col("common") >= common_needed(F.col("n"), F.col("m")))
-        else:          # one member of each component with one of the smallest component
-            one_each = rows.groupBy("token", "component", "low").agg(F.min(F.struct("node", "n")).alias("one")).select("token", "component", "low", "one.*")
-            lead = one_each.filter("component = low").select("token", F.col("node").alias("other"), F.col("n").alias("m"))
-            met = one_each.filter("component <> low").join(lead, "token").filter(_near("n", "m")).groupBy("node", "other", "n", "m").agg(F.count("*").alias("common"))
-            met = met.filter(F.col("common") * 4 >= common_needed(F.col("n"), F.col("m")))
+        if last:       # every pair of different components, by the prefixes that their sizes need
+            partner = rows.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("place").alias("q"), F.col("tokens").alias("t"))
+            reach = (F.col("place") <= F.col("n") - _needed(F.col("n"), F.col("m"))) & (F.col("q") <= F.col("m") - _needed(F.col("n"), F.col("m")))
+            met = rows.join(partner, (rows["token"] == partner["token"]) & (F.col("component") < F.col("c")) & _near("n", "m") & reach
+                            & (F.least("tokens", "t") >= needs))
+        else:          # the most central member of each component with the most central of all
+            one_each = rows.groupBy("token", "component").agg(F.max(F.struct("central", "node", "n")).alias("one")).select("token", "component", "one.*")
+            top = one_each.groupBy("token").agg(F.max(F.struct("central", "node", "n", "component")).alias("top")).select(
+                F.col("token"), F.col("top.node").alias("other"), F.col("top.n").alias("m"), F.col("top.component").alias("c"))
+            met = one_each.join(top, "token").filter(F.col("component") != F.col("c")).filter(_near("n", "m")).groupBy("node", "other", "n", "m").agg(F.count("*").alias("common"))
+            met = met.filter(F.col("common") * 4 >= needs)
         more = cut_lineage(met.select(*_pair("node", "other")).distinct().join(pairs, ["a", "b"], "left_anti"))
         nodes = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
         lacking = nodes.join(sets.select("node"), "node", "left_anti")
-        sets = sets.unionByName(cut_lineage(sets_of(docs, known, lacking)))
+        sets = sets.unionByName(sets_of(docs, known, lacking))
         pairs = pairs.unionByName(more)
         held = held.unionByName(cut_lineage(verified(more, sets)))
         found = components(held)

@@ -10,7 +10,8 @@ training texts that were scored by models without them, turns these into a score
 
 The models and the curve are fitted on at most ``most_texts`` labelled texts, chosen by a hash; all texts are scored.
 
-Results for odd input: null or empty texts, or texts without letters, have no evidence and get the curve's value at zero;
+Results for odd input: null and empty texts have no evidence and get the curve's value at zero, texts without letters differ
+from them by their length alone;
 labels that are null or other than 0 and 1, or whose document is missing, teach nothing; a document labelled twice counts
 twice; without training texts of both classes every score is 0; repeated or null doc_ids are scored row by row; columns
 besides doc_id, text and toxic are not read.
