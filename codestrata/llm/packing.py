@@ -135,12 +135,12 @@ def _undominated(counts: np.ndarray, room: int, most: int, keep: int, effort: in
     return found or [(room, ())]
 
 
-def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nodes: int = 20_000) -> list[tuple[Filling, int]]:
+def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nodes: int = 600) -> list[tuple[Filling, int]]:
     """Fillings with how often each is used, over ``counts[length]`` items.
 
     Always completes the bin of the longest item left. Its fillings are tried by waste; a filling is used as often as the
     counts allow. A branch ends when its waste exceeds what a packing with one bin less than the incumbent may waste. The
-    first incumbent is best-fit decreasing. ``nodes`` bounds the search, not the items: the incumbent always holds all.
+    first incumbent is best-fit decreasing. ``nodes`` bounds the search after its first whole packing; it leaves out no item.
     """
     counts = np.asarray(counts, dtype=np.int64)
     capacity, total = len(counts) - 1, int((counts * np.arange(len(counts))).sum())
@@ -148,13 +148,13 @@ def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nod
     bins, bound = sum(n for _, n in incumbent), lower_bound(counts)
     # A node is (parent, filling, times, bins used, waste); the counts left are kept for one node and replayed for another.
     root = (None, (), 0, 0, 0)
-    stack, at, left = [root], root, counts.copy()
+    stack, at, left, complete = [root], root, counts.copy(), False
     while stack and bins > bound and nodes:
         node = stack.pop()
         _, filling, times, used, waste = node
         if waste > (bins - 1) * capacity - total:
             continue
-        nodes -= 1
+        nodes -= complete
         if node[0] is at:
             for size, need in filling:
                 left[size] -= need * times
@@ -167,6 +167,7 @@ def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nod
         at = node
         there = np.flatnonzero(left)
         if not len(there):
+            complete = True
             if used < bins:
                 incumbent, bins, above = [], used, node
                 while above is not root:
@@ -212,10 +213,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     for row in held.groupBy("length").count().collect():          # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
     slots = _slots(bin_completion(counts), capacity)
+    # At most ``capacity`` rows.
     lengths = spark.createDataFrame([(int(n), int(-(-counts[n] // RANKED_TOGETHER))) for n in np.flatnonzero(counts)],
                                     "length long, _slices long")
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in held.columns])
-    sliced = held.join(lengths, "length").withColumn("_spread", spread).withColumn("_slice", F.pmod(F.col("_spread"), F.col("_slices")))
+    sliced = held.join(F.broadcast(lengths), "length").withColumn("_spread", spread).withColumn("_slice", F.pmod(F.col("_spread"), F.col("_slices")))
     keys = ["length", "_slice"]
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sliced.groupBy(*keys).count().select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first")).repartition(*keys)
