@@ -130,7 +130,7 @@ UNION SELECT analysis_id, 'integration', 'PostgreSQL' FROM files WHERE language
 
 
 def o3(spark, folder):
-    return overview.entry_points(files_of(spark, folder))
+    return overview.entry_points(files_of(spark, folder), limit=30)
 
 
 O3_SQL = b.with_members("""SELECT analysis_id, path, place FROM (SELECT analysis_id, replace(path, 'package.json', 'src/index.js') AS path,
@@ -142,7 +142,7 @@ def o4(spark, folder):
     tags = extract.python_routes(files).groupBy("analysis_id", "file_id", "name").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     nodes = (extract.python_declarations(files).join(tags, ["analysis_id", "file_id", "name"]).join(files.select("analysis_id", "file_id", "ord"), ["analysis_id", "file_id"])
              .select("analysis_id", F.concat_ws(":", F.lit("symbol"), "path", "name").alias("id"), "path", "name", "start_line", "ord", "tags", F.col("kind").alias("symbol_kind")))
-    return overview.route_table(nodes, 5).drop("ord")
+    return overview.route_table(nodes, limit=5).drop("ord")
 
 
 O4_SQL = b.with_members("""SELECT analysis_id, concat('symbol:', path, ':run', ord) AS node_id, path, concat('run', ord) AS name, 7 AS start_line, 'GET' AS method, concat('/api/items/', ord) AS route, place

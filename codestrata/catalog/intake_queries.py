@@ -251,14 +251,15 @@ SELECT o_orderkey AS number, CASE WHEN o_orderpriority = '5-LOW' THEN 'Untitled
 
 def s14(spark, folder):
     files = files_of(spark, folder)
-    out = identity.corpus_digest(files, schemas.MAX_FILES)
+    out = identity.corpus_digest(files)
     return out.withColumn("analysis_key", identity.analysis_key(F.col("analysis_id"), F.col("corpus_hash"), F.lit("v1")))
 
 
 S14_SQL = b.with_members("""
-SELECT analysis_id, count(*) AS file_count, sha1(string_agg(concat(path, sha256(content)), chr(10) ORDER BY path)) AS corpus_hash,
-  substr(sha256(concat(analysis_id, ':', sha1(string_agg(concat(path, sha256(content)), chr(10) ORDER BY path)), ':v1')), 1, 24)
-    AS analysis_key FROM files GROUP BY analysis_id""")
+SELECT analysis_id, sum(n)::BIGINT AS file_count, sha1(string_agg(concat(bucket, h), chr(10) ORDER BY bucket)) AS corpus_hash,
+  substr(sha256(concat(analysis_id, ':', sha1(string_agg(concat(bucket, h), chr(10) ORDER BY bucket)), ':v1')), 1, 24) AS analysis_key
+FROM (SELECT analysis_id, substr(sha1(path), 1, 3) AS bucket, count(*) AS n,
+        sha1(string_agg(concat(path, chr(0), sha256(content)), chr(10) ORDER BY path)) AS h FROM files GROUP BY 1, 2) GROUP BY analysis_id""")
 
 QUERIES = {
     "s2_archive_manifest_check": (s2, S2_SQL), "s3_archive_path_clean": (s3, S3_SQL), "s4_eligible_filter": (s4, S4_SQL),

@@ -132,7 +132,7 @@ def l1(spark, folder):
     return access.repository_list(grants, analyses)
 
 
-L1_SQL = f"""WITH seen AS (SELECT user_id, analysis_id FROM ({_GRANTS}) g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at, analysis_id) <= 100)
+L1_SQL = f"""WITH seen AS (SELECT DISTINCT user_id, analysis_id FROM ({_GRANTS}) g)
 SELECT user_id, repository_id, analysis_id AS latest_analysis_id, newest FROM (SELECT s.user_id, a.*, max(created_at) OVER (PARTITION BY s.user_id, repository_id) AS newest,
   row_number() OVER (PARTITION BY s.user_id, repository_id ORDER BY graph_ready DESC, created_at DESC, a.analysis_id DESC) AS pick FROM seen s JOIN ({_ANALYSES}) a ON a.analysis_id = s.analysis_id) x WHERE pick = 1"""
 

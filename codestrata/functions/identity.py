@@ -17,14 +17,18 @@ def edge_key(source: Column, target: Column, kind: Column, file_id: Column, line
     return F.concat(F.lit("edge:"), F.substring(F.sha2(joined, 256), 1, 24))
 
 
-def corpus_digest(files: DataFrame, max_files: int) -> DataFrame:
-    """sha1 over the path-ordered ``path + content_hash`` lines of each snapshot.
+BUCKET_DIGITS = 3      # hexadecimal digits of a path's hash: 4,096 buckets to a snapshot
 
-    The list is gathered only for snapshots within the file limit, so a group is at most ``max_files`` short lines;
-    larger snapshots are refused at intake and get a null digest.
+
+def corpus_digest(files: DataFrame) -> DataFrame:
+    """file_count and a digest of every (path, content_hash) of each snapshot, of whatever size.
+
+    Files fall into buckets by the hash of their path. A bucket's digest is the sha1 of its path-ordered ``path +
+    content_hash`` lines, the snapshot's that of its bucket-ordered ``bucket + digest`` lines: no list holds more than one
+    bucket's files or the 4,096 buckets.
     """
-    counts = files.groupBy("analysis_id").agg(F.count("*").alias("file_count"))
-    small = files.join(counts.where(F.col("file_count") <= max_files).select("analysis_id"), "analysis_id", "left_semi")
-    lines = small.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("path", "content_hash"))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: F.concat(x["path"], x["content_hash"])), "\n")
-    return counts.join(lines.select("analysis_id", F.sha1(text).alias("corpus_hash")), "analysis_id", "left")
+    bucket = F.substring(F.sha1("path"), 1, BUCKET_DIGITS)
+    lines = files.groupBy("analysis_id", bucket.alias("bucket")).agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat("path", F.lit("\u0000"), "content_hash"))).alias("l"))
+    told = lines.select("analysis_id", "n", F.concat("bucket", F.sha1(F.array_join("l", "\n"))).alias("told"))
+    return told.groupBy("analysis_id").agg(F.sum("n").alias("file_count"), F.sha1(F.array_join(F.array_sort(F.collect_list("told")), "\n")).alias("corpus_hash"))

@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 from ..functions.ranking import top_per_group
 
 
-def repository_list(grants: DataFrame, analyses: DataFrame, max_grants: int = 100) -> DataFrame:
-    """Per user and repository: the snapshot to open. A usable one goes before a newer unfinished one; newest repositories first.
+def repository_list(grants: DataFrame, analyses: DataFrame, max_grants: int | None = None) -> DataFrame:
+    """Per user and repository: the snapshot to open, of all the user's grants or of the newest ``max_grants``. A usable one goes before a newer unfinished one; newest repositories first.
 
     grants: user_id, analysis_id, created_at.  analyses: analysis_id, repository_id, created_at, graph_ready.
     """
-    seen = top_per_group(grants, ["user_id"], [F.col("created_at"), F.col("analysis_id")], max_grants, "_n").select("user_id", "analysis_id")
+    seen = grants.select("user_id", "analysis_id").distinct()
+    if max_grants is not None:
+        seen = top_per_group(grants, ["user_id"], [F.desc("created_at"), F.desc("analysis_id")], max_grants, "_n").select("user_id", "analysis_id")
     rows = seen.join(analyses, "analysis_id")
     best = rows.groupBy("user_id", "repository_id").agg(F.max(F.struct("graph_ready", "created_at", "analysis_id")).alias("best"), F.max("created_at").alias("newest"))
     return best.select("user_id", "repository_id", F.col("best.analysis_id").alias("latest_analysis_id"), "newest")
@@ -25,11 +27,11 @@ def access(requests: DataFrame, analyses: DataFrame, grants: DataFrame, write: b
     return rows.withColumn("allowed", held | open_to_all).drop("_demo", "_granted")
 
 
-def snapshot_list(requests: DataFrame, analyses: DataFrame, grants: DataFrame) -> DataFrame:
+def snapshot_list(requests: DataFrame, analyses: DataFrame, grants: DataFrame, limit: int | None = None) -> DataFrame:
     """Snapshots of the same repository the user may open, newest first. requests: request_id, user_id, analysis_id."""
     at = requests.join(analyses.select("analysis_id", "repository_id"), "analysis_id").select("request_id", "user_id", "repository_id")
     rows = access(at.join(analyses.select("repository_id", "analysis_id", "created_at"), "repository_id"), analyses, grants).where("allowed")
-    return top_per_group(rows, ["request_id"], [F.desc("created_at"), F.desc("analysis_id")], 500, "place")
+    return top_per_group(rows, ["request_id"], [F.desc("created_at"), F.desc("analysis_id")], limit, "place")
 
 
 def latest_turns(turns: DataFrame, owner: list[str], order: list[str], read: int = 100, shown: int = 50) -> DataFrame:

@@ -110,7 +110,8 @@ def group_small(pieces: DataFrame) -> DataFrame:
                 if kind is not None and this == kind and start <= last + GROUP_GAP_LINES and at - opened <= GROUP_CHARS:
                     out += [(*w, group) for w in waiting]
                 else:
-                    group, opened, kind = group + 1, begin, this if isinstance(this, str) else None
+                    # A span is measured by whole lines: a piece from inside a line opens at that line's start.
+                    group, opened, kind = group + 1, begin - offset, this if isinstance(this, str) else None
                 waiting, last = [], end
                 out.append((a, f, start, offset, group))
             yield pd.DataFrame(out, columns=["analysis_id", "file_id", "start_line", "offset", "group"])

@@ -1,4 +1,6 @@
 """Graph operators over node and edge tables of many snapshots."""
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,11 +89,11 @@ def file_symbols(nodes: DataFrame, requests: DataFrame) -> DataFrame:
             .dropDuplicates(["request_id", "analysis_id", "id"]))
 
 
-def module_ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def module_ancestors(nodes: DataFrame) -> DataFrame:
     """(analysis_id, node, module, up): every module on the way from a node to the root, nearest first.
 
-    Follows parent_id, then file_id. A round joins all chains with their next parent; the number of rounds is the depth
-    of the folder tree, not the number of nodes.
+    Follows parent_id, then file_id. A round joins all chains with their next parent; rounds go on until no chain grows, so
+    their number is the depth of the folder tree. A chain ends where it would come to a node it has passed.
     """
     parent = F.coalesce(F.nullif(F.col("parent_id"), F.lit("")), F.when(F.col("file_id") != F.col("id"), F.col("file_id")))
     up_edges = nodes.select("analysis_id", F.col("id").alias("at"), "kind", parent.alias("next"))
@@ -99,10 +101,11 @@ def module_ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     containers = up_edges.where("kind IN ('module', 'repository')")
     chain = cut_lineage(containers.select("analysis_id", F.col("at").alias("node"), "at", "kind", "next", F.lit(0).alias("up")))
     closure, step = chain, chain
-    for round_no in range(1, max_depth + 1):
-        step = step.select("analysis_id", "node", F.col("next").alias("at"), "up").where("at IS NOT NULL AND at <> node").join(
-            containers, ["analysis_id", "at"]).withColumn("up", F.lit(round_no))
-        step = cut_lineage(step.select(*chain.columns))
+    for round_no in count(1):
+        grown = step.select("analysis_id", "node", F.col("next").alias("at")).where("at IS NOT NULL").join(
+            closure.select("analysis_id", "node", "at"), ["analysis_id", "node", "at"], "left_anti")
+        grown = grown.join(containers, ["analysis_id", "at"]).withColumn("up", F.lit(round_no))
+        step = cut_lineage(grown.select(*chain.columns))
         if step.isEmpty():
             break
         closure = closure.unionByName(step)
@@ -110,36 +113,39 @@ def module_ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     leaves = up_edges.where("kind NOT IN ('module', 'repository')").select("analysis_id", F.col("at").alias("node"), "next")
     # A symbol's parent may be a class: climb inside files until the container is reached.
     owned, climbing = None, leaves
-    for _ in range(max_depth):
+    passed = leaves.select("analysis_id", "node", "next")
+    while True:
         hit = climbing.join(modules.select("analysis_id", F.col("node").alias("next"), "module", "up"), ["analysis_id", "next"])
         hit = hit.select("analysis_id", "node", "module", (F.col("up") + 1).alias("up"))
         owned = hit if owned is None else owned.unionByName(hit)
         climbing = climbing.join(leaves.select("analysis_id", F.col("node").alias("next"), F.col("next").alias("above")),
                                  ["analysis_id", "next"]).select("analysis_id", "node", F.col("above").alias("next"))
-        climbing = cut_lineage(climbing.where("next IS NOT NULL"))
+        climbing = cut_lineage(climbing.where("next IS NOT NULL").join(passed, ["analysis_id", "node", "next"], "left_anti"))
         if climbing.isEmpty():
             break
+        passed = passed.unionByName(climbing)
     return modules.unionByName(owned)
 
 
 def module_rollup(nodes: DataFrame, edges: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Imports and re-exports lifted to the nearest selected module of each end.
 
-    selected: analysis_id, id.  Returns the aggregates (one row per source, target, kind with a count) and their member
+    selected: analysis_id, id, and request_id where several requests select for themselves.  Returns the aggregates (one row per source, target, kind with a count) and their member
     edges as rows, so a pair of busy modules never becomes one oversized array.
     """
-    chosen = selected.select("analysis_id", F.col("id").alias("module"))
-    nearest = (module_ancestors(nodes).join(chosen, ["analysis_id", "module"], "left_semi")
-               .groupBy("analysis_id", "node").agg(F.min_by("module", "up").alias("module")))
+    by = ["request_id"] if "request_id" in selected.columns else []
+    chosen = selected.select(*by, "analysis_id", F.col("id").alias("module"))
+    nearest = (module_ancestors(nodes).join(chosen, ["analysis_id", "module"])
+               .groupBy(*by, "analysis_id", "node").agg(F.min_by("module", "up").alias("module")))
     nearest = cut_lineage(nearest)
     lifted = (edges.where("kind IN ('imports', 'reexports')").select("analysis_id", "id", "source", "target", "kind", "ord")
-              .join(nearest.select("analysis_id", F.col("node").alias("source"), F.col("module").alias("from_module")), ["analysis_id", "source"])
-              .join(nearest.select("analysis_id", F.col("node").alias("target"), F.col("module").alias("to_module")), ["analysis_id", "target"])
+              .join(nearest.select(*by, "analysis_id", F.col("node").alias("source"), F.col("module").alias("from_module")), ["analysis_id", "source"])
+              .join(nearest.select(*by, "analysis_id", F.col("node").alias("target"), F.col("module").alias("to_module")), [*by, "analysis_id", "target"])
               .where("from_module <> to_module"))
-    members = lifted.select("analysis_id", F.concat_ws(":", F.lit("aggregate"), "from_module", "to_module", "kind").alias("id"),
+    members = lifted.select(*by, "analysis_id", F.concat_ws(":", F.lit("aggregate"), "from_module", "to_module", "kind").alias("id"),
                             F.col("from_module").alias("source"), F.col("to_module").alias("target"), "kind",
                             F.col("id").alias("edge_id"), "ord")
-    totals = members.groupBy("analysis_id", "id", "source", "target", "kind").agg(
+    totals = members.groupBy(*by, "analysis_id", "id", "source", "target", "kind").agg(
         F.count("*").alias("count"), F.min(F.struct("ord", "edge_id")).alias("first"))
     return totals, members
 
@@ -168,9 +174,8 @@ def project(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, level: st
     shown = induced.select("request_id", "analysis_id", "id", "source", "target", "kind", F.lit(1).cast("long").alias("count"),
                            F.lit(0).alias("part"), "ord", F.col("id").alias("tie"))
     if level == "modules":
-        rolled, _ = module_rollup(nodes, edges, ends.select("analysis_id", "id").distinct())
-        requests = chosen.select("request_id", "analysis_id").distinct()
-        shown = shown.unionByName(rolled.join(requests, "analysis_id").select(
+        rolled, _ = module_rollup(nodes, edges, ends)
+        shown = shown.unionByName(rolled.select(
             "request_id", "analysis_id", "id", "source", "target", "kind", "count", F.lit(1).alias("part"),
             F.col("first.ord").alias("ord"), F.col("first.edge_id").alias("tie")))
     shown = cut_lineage(shown)

@@ -69,8 +69,8 @@ def detected(files: DataFrame, dependencies: DataFrame) -> DataFrame:
     return from_manifests.unionByName(from_text).select("analysis_id", "m.kind", "m.label").distinct()
 
 
-def entry_points(files: DataFrame, limit: int = 30) -> DataFrame:
-    """Paths a reader would start from, first seen first, at most thirty per snapshot."""
+def entry_points(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Paths a reader would start from, first seen first; all, or the first ``limit`` of each snapshot."""
     named = _named(files)
     manifest = F.when((paths.base_name(F.col("path")) == "package.json") & F.col("content").rlike(WHOLE_OBJECT),
                       F.from_json("content", PACKAGE_JSON))
@@ -86,8 +86,8 @@ def entry_points(files: DataFrame, limit: int = 30) -> DataFrame:
     return top_per_group(first, ["analysis_id"], [F.col("at"), F.col("path")], limit, "place").select("analysis_id", "path", "place")
 
 
-def route_table(nodes: DataFrame, limit: int = 100) -> DataFrame:
-    """Handlers and routes with method and path, at most a hundred per snapshot. nodes carry tags and ord."""
+def route_table(nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Handlers and routes with method and path; all, or the first ``limit`` of each snapshot. nodes carry tags and ord."""
     tagged = nodes.where(F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), "api-handler") | F.col("symbol_kind").isin("api-handler", "route"))
     rows = tagged.select("analysis_id", F.col("id").alias("node_id"), "path", "name", "start_line", "ord",
                          F.coalesce(F.expr("substring(get(filter(tags, t -> startswith(t, 'http:')), 0), 6)"), F.lit("ROUTE")).alias("method"),
@@ -105,8 +105,8 @@ def snapshot_counts(files: DataFrame, nodes: DataFrame, edges: DataFrame, chunks
     return wide.join(languages, "analysis_id", "left")
 
 
-def snapshot_warnings(files: DataFrame, diagnostics: DataFrame, unresolved: DataFrame, limit: int = 100) -> DataFrame:
-    """Distinct warnings: redacted files, the first hundred diagnostics, the number of unresolved references."""
+def snapshot_warnings(files: DataFrame, diagnostics: DataFrame, unresolved: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct warnings: redacted files, all diagnostics or the first ``limit``, the number of unresolved references."""
     redacted = files.where("redacted").select("analysis_id", F.concat(F.lit("Secret-like content redacted: "), "path").alias("warning"))
     first = top_per_group(diagnostics, ["analysis_id"], [F.col("ord"), F.col("message")], limit).select("analysis_id", F.col("message").alias("warning"))
     open_ends = unresolved.groupBy("analysis_id").agg(F.count("*").alias("n")).select(

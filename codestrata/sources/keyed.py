@@ -49,8 +49,8 @@ def delete_repository(tables: dict[str, DataFrame], analyses: DataFrame, doomed:
 
 
 def find(table: DataFrame, equals: dict | None = None, any_of: dict | None = None, unequal: dict | None = None,
-         drop: list[str] | None = None, order: list[str] | None = None, limit: int = 200_000) -> DataFrame:
-    """Filter by equality, membership and inequality; the filters and the column list reach the scan."""
+         drop: list[str] | None = None, order: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Filter by equality, membership and inequality; the filters and the column list reach the scan. All rows without a limit."""
     for name, value in (equals or {}).items():
         table = table.where(F.col(name) == F.lit(value))
     for name, values in (any_of or {}).items():
@@ -58,7 +58,8 @@ def find(table: DataFrame, equals: dict | None = None, any_of: dict | None = Non
     for name, value in (unequal or {}).items():
         table = table.where(~F.col(name).eqNullSafe(F.lit(value)))
     table = table.drop(*(drop or []))
-    return (table.orderBy(*order) if order else table).limit(limit)
+    table = table.orderBy(*order) if order else table
+    return table if limit is None else table.limit(limit)
 
 
 def overwrite_snapshots(table: DataFrame, path: str) -> None:

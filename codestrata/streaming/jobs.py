@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import seconds_between
+from ..session import cut_lineage
 
 STALE_SECONDS = 120
 
@@ -76,11 +77,18 @@ def pending(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return inputs.join(done.select(*keys), keys, "left_anti")
 
 
-def incremental_intake(stream: DataFrame, stage, target: str, checkpoint: str):
-    """New members flow through ``stage`` into snapshot partitions; replays overwrite the same partitions.
+def incremental_intake(stream: DataFrame, stage, target: str, checkpoint: str, keys: tuple[str, ...] = ("analysis_id", "path")):
+    """New members flow through ``stage`` into snapshot partitions. The rows of a snapshot may arrive over several batches.
 
-    The rows of a snapshot arrive in one file, so its partition is replaced as a whole.
+    A batch is merged by ``keys`` with the partitions it touches, its rows before theirs, and these are replaced; a replay
+    of a batch leaves the same rows.
     """
     def write(batch: DataFrame, _epoch: int) -> None:
-        stage(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(target)
+        fresh = cut_lineage(stage(batch))
+        session = batch.sparkSession
+        if session._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(session._jsc.hadoopConfiguration()).exists(session._jvm.org.apache.hadoop.fs.Path(target)):
+            touched = fresh.select("analysis_id").distinct()
+            held = session.read.schema(fresh.schema).parquet(target).join(touched, "analysis_id", "left_semi")
+            fresh = cut_lineage(fresh.unionByName(held.join(fresh.select(*keys), list(keys), "left_anti")))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(target)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
