@@ -37,11 +37,11 @@ from codestrata.llm.components import components
 from codestrata.llm.shingles import mixed, shingle_set
 
 THRESHOLD = (3, 4)             # numerator, denominator
-CELL_BITS = 24                 # the rarity sketch has 2**CELL_BITS counters, a byte each once it is sent out
+CELL_BITS = 23                 # the rarity sketch has 2**CELL_BITS counters, a byte each once it is sent out
 CELLS_ROW = 1 << 16            # counters to a row while sketches are added up
 BUCKET_POSTINGS = 2_000_000
 BITMAP_BITS = 1 << 26
-CHUNK_POSTINGS = 1_000_000     # postings a bucket's task takes up at once
+CHUNK_POSTINGS = 250_000       # postings a bucket's task takes up at once
 LIST_COST = 4                  # what one posting costs against one subset key
 LARGEST_SMALL = 12             # the boundary is sought up to this size
 
@@ -170,7 +170,7 @@ def postings(docs: DataFrame, rarity: np.ndarray, small: int, buckets: int) -> D
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for some in utf8_slices(batches, 8 << 20):
+        for some in utf8_slices(batches):
             tokens, nodes, sizes = [], [], []
             for text in some.column(0).to_pylist():
                 members = shingle_set(text)
