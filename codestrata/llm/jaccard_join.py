@@ -37,7 +37,7 @@ from codestrata.llm.components import components
 from codestrata.llm.shingles import mixed, shingle_set
 
 THRESHOLD = (3, 4)             # numerator, denominator
-CELL_BITS = 23                 # the rarity sketch has 2**CELL_BITS counters, a byte each once it is sent out
+CELL_BITS = 25                 # the rarity sketch has 2**CELL_BITS counters of a byte; a task's own stop at 255
 CELLS_ROW = 1 << 16            # counters to a row while sketches are added up
 BUCKET_POSTINGS = 2_000_000
 BITMAP_BITS = 1 << 26
@@ -107,7 +107,7 @@ def sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     -1 for n; they are added up by cell range, a row at a time, and only levels come to the driver.
     """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.uint32)
+        counts = np.zeros(1 << CELL_BITS, np.uint8)
         kinds = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
         for some in utf8_slices(batches):
             nodes, sizes, held = [], [], []
@@ -117,7 +117,7 @@ def sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
                 sizes.append(len(members))
                 held.append(members)
             cells, times = np.unique(_cells(np.concatenate(held)), return_counts=True)
-            counts[cells] += times.astype(np.uint32)
+            counts[cells] = np.minimum(255, counts[cells] + np.minimum(times, 255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.binary())], schema=kinds)
         parts = counts.reshape(-1, CELLS_ROW)
         rows = np.flatnonzero(parts.any(axis=1)).tolist()
@@ -130,7 +130,7 @@ def sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                more = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
+                more = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint8)
                 totals[at] = totals.get(at, np.zeros(CELLS_ROW, np.int64)) + more
         levels = [zlib.compress(np.floor(np.log2(np.maximum(c, 1))).astype(np.uint8).tobytes(), 1) for c in totals.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(levels, pa.binary()), pa.array([int(c.sum()) for c in totals.values()], pa.int64())], ["part", "levels", "total"])
@@ -326,9 +326,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # Each member against the most central one of its list, if they meet on a fair part of the lists that a link needs.
     met_on = plain.join(plain.groupBy("token").agg(F.count("*").alias("length")), "token").groupBy("node").agg(F.sum("length").alias("central"), F.count("*").alias("tokens"))
-    plain = cut_lineage(plain.join(met_on, "node"))
+    plain = plain.join(met_on, "node")
     lead = plain.groupBy("token").agg(F.max(F.struct("central", "node", "n")).alias("lead")).select("token", F.col("lead.node").alias("lead"), F.col("lead.n").alias("m"))
-    ties = cut_lineage(plain.join(lead, "token").filter("node <> lead").groupBy("node", "lead", "n", "m").agg(F.count("*").alias("common")))
+    plain = cut_lineage(plain.join(lead, "token"))
+    ties = cut_lineage(plain.filter("node <> lead").groupBy("node", "lead", "n", "m").agg(F.count("*").alias("common")))
     first = ties.filter(_near("n", "m") & (F.col("common") * 4 >= needs)).select(*_pair("node", "lead"))
     # A subset list ties each set to one of the other size, or to its first set where only one size has come.
     keyed = lists.filter("subset").select("token", "node", "n")
@@ -344,8 +345,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def named(rows: DataFrame, node: str, name: str) -> DataFrame:
         return rows.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
     apart = named(named(ties, "node", "x"), "lead", "y").filter("x <> y").select("node", "lead")
-    tokens = plain.join(lead, "token").join(apart, ["node", "lead"], "left_semi").select("token").distinct()
-    open_lists = cut_lineage(plain.join(tokens, "token", "left_semi"))
+    tokens = plain.join(apart, ["node", "lead"], "left_semi").select("token").distinct()
+    open_lists = cut_lineage(plain.drop("lead", "m").join(tokens, "token", "left_semi"))
     for last in (False, True):
         rows = named(open_lists, "node", "component")
         meeting = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
