@@ -72,12 +72,14 @@ def split_regions(files: DataFrame, regions: DataFrame) -> DataFrame:
     per_file = regions.groupBy(*FILE_KEY).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) if c.endswith("_line") else F.col(c) for c in carried]))).alias("regions"))
     base = files.select(*FILE_KEY, "path", "language", text.lines_with_ends(F.col("content")).alias("lines")).join(per_file, FILE_KEY)
     base = base.withColumn("regions", F.expr("filter(regions, r -> r.start_line <= size(lines))"))
-    cut = base.withColumn("region", F.explode(F.expr(_FOLD))).withColumn("cut", F.explode("region.cuts"))
-    whole = F.expr("CASE WHEN cut.s = cut.e AND length(element_at(lines, cut.s)) > %d THEN substring(element_at(lines, cut.s), cut.o + 1, %d) "
-                   "ELSE array_join(slice(lines, cut.s, cut.e - cut.s + 1), '') END" % (LONG_LINE_CHARS, CUT_CHARS))
-    return cut.select(*FILE_KEY, "path", "language", F.col("cut.s").alias("start_line"), F.col("cut.e").alias("end_line"),
-                      F.col("cut.o").alias("offset"), F.col("region.r.kind").alias("kind"), F.col("region.r.symbol_id").alias("symbol_id"),
-                      F.coalesce("region.r.symbol", F.lit("")).alias("symbol"), F.coalesce("region.r.signature", F.lit("")).alias("signature"), whole.alias("text"))
+    # Each piece takes its text along inside the row; what is exploded no longer holds the file's lines.
+    whole = ("CASE WHEN c.s = c.e AND length(element_at(lines, c.s)) > %d THEN substring(element_at(lines, c.s), c.o + 1, %d) "
+             "ELSE array_join(slice(lines, c.s, c.e - c.s + 1), '') END" % (LONG_LINE_CHARS, CUT_CHARS))
+    pieces = F.expr(f"flatten(transform({_FOLD}, f -> transform(f.cuts, c -> named_struct('c', c, 'r', f.r, 'text', {whole}))))")
+    cut = base.select(*FILE_KEY, "path", "language", F.explode(pieces).alias("p"))
+    return cut.select(*FILE_KEY, "path", "language", F.col("p.c.s").alias("start_line"), F.col("p.c.e").alias("end_line"),
+                      F.col("p.c.o").alias("offset"), F.col("p.r.kind").alias("kind"), F.col("p.r.symbol_id").alias("symbol_id"),
+                      F.coalesce("p.r.symbol", F.lit("")).alias("symbol"), F.coalesce("p.r.signature", F.lit("")).alias("signature"), F.col("p.text").alias("text"))
 
 
 def group_type(body: Column, symbol_id: Column, kind: Column) -> Column:
