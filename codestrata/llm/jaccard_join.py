@@ -161,15 +161,18 @@ def common_needed(n: Column, m: Column, threshold: tuple[int, int] = THRESHOLD)
     return _needed(n, m) - F.ceil(p * F.greatest(n, m) / q) + 1
 
 
-def postings(docs: DataFrame, rarity: np.ndarray, small: int, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, levels: np.ndarray, small: int, buckets: int) -> DataFrame:
     """Packed (token, node, n with the place in the prefix) triples by bucket: prefixes of large sets and of small ones near the boundary, and subset keys.
 
     Subset keys carry -n, so that a list knows them: their lists are complete once tied to the first set of each size.
     """
     crossing = _crossing(small)
+    # 2**CELL_BITS bytes at most.
+    sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        rarity = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for some in utf8_slices(batches):
             tokens, nodes, sizes = [], [], []
             for text in some.column(0).to_pylist():
