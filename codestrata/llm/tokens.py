@@ -3,13 +3,12 @@
 The word tokenizer drops white space and no rule of it (composition, lower case, splitting, merges, its special strings)
 looks across white space, so a text's ids are those of its white-space separated words, one after another. Words repeat far
 more than texts do: each worker keeps the ids of the words it has met, in a bounded table, and asks the library only for
-new ones, in batches. ``tests/llm`` compares this with encoding whole texts in one call.
+new ones. ``tests/llm`` compares this with encoding whole texts in one call.
 """
 import re
+import struct
 
-import numpy as np
-
-KNOWN_WORDS = 150_000      # words of a generation that a worker keeps; words of the one before move over when met again
+KNOWN_WORDS = 300_000      # words of a generation that a worker keeps; words of the one before move over when met again
 LONG_WORD = 64             # longer words are encoded but not kept
 
 # Words for which the library's normalizer and splitter have nothing to decide: letters of Latin-1 with plain marks after
@@ -25,54 +24,53 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(other)}
 
 
-class WordEncoder:
-    """Ids of UTF-8 texts as little-endian unsigned 32-bit bytes."""
+class WordEncoder(dict):
+    """Ids of words as little-endian unsigned 32-bit bytes, made when a word is first asked for; texts are joined from them."""
 
     def __init__(self, path: str):
+        super().__init__()
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.model, self.characters = self.library.model, _byte_characters()
-        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     @property
     def vocabulary(self) -> int:
         return self.library.get_vocab_size(with_added_tokens=True)
 
-    def _piece(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.characters))]
+    def _piece(self, text: str) -> bytes:
+        """Ids of one piece, which as a word of its own is known by its bytes."""
+        key = text.encode()
+        found = self.get(key) or self.older.get(key)
+        if found is None:
+            ids = [t.id for t in self.model.tokenize(key.decode("latin-1").translate(self.characters))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(key) <= LONG_WORD:
+                self[key] = found
+        return found
 
-    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found, other = {}, []
-        for word in words:
-            match = PLAIN_WORD.fullmatch(text := word.decode("utf-8", "replace"))
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            text = word.decode("utf-8", "replace")
+            match = PLAIN_WORD.fullmatch(text)
             if match:
-                ids = self._piece(match[1].lower())
-                found[word] = np.array(ids + self._piece(match[2]) if match[2] else ids, "<u4").tobytes()
+                found = self._piece(match[1].lower())
+                found = found + self._piece(match[2]) if match[2] else found
             else:
-                other.append((word, text))
-        for at in range(0, len(other), 20_000):
-            some = other[at:at + 20_000]
-            made = self.library.encode_batch_fast([text for _, text in some], add_special_tokens=False)
-            found.update((word, np.array(e.ids, "<u4").tobytes()) for (word, _), e in zip(some, made, strict=True))
+                ids = self.library.encode(text, add_special_tokens=False).ids
+                found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= LONG_WORD:
+            self[word] = found
         return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known, self.older = {}, self.known
-        lacking = set().union(*split).difference(self.known) if split else set()
-        again = {w: self.older[w] for w in lacking if w in self.older}
-        fresh = self._new([w for w in lacking if w not in again])
-        long_words = {w: ids for w, ids in fresh.items() if len(w) > LONG_WORD}
-        self.known.update(again)
-        self.known.update(fresh)
-        done = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for w in long_words:
-            del self.known[w]
-        return done
+        if len(self) > KNOWN_WORDS:
+            self.older = dict(self)
+            self.clear()
+        return [b"".join(map(self.__getitem__, text.split())) for text in texts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
