@@ -35,7 +35,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LEVELS = (1.0, 2.0)
 FEATURES = ["highest", "highest_3", "highest_6", "above_1", "above_2", "mean", "words"]
 KNOWN_WORDS = 300_000
-MOST_TEXTS = 30_000
+MOST_TEXTS = 12_000
+LEAST = 2                      # grams of the longer orders that came up less often leave their share to the order below
+SHORT = 4                      # up to this order all grams are kept
 COUNTS = ["ordinary_0", "ordinary_1", "toxic_0", "toxic_1"]      # by class and fold
 POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, ORDER + 1)], np.uint64)
 
@@ -57,15 +59,17 @@ def _keys(codes: np.ndarray, size: int) -> np.ndarray:
 class Level:
     """One order: discounted share of each gram and the share that each history leaves to the order below."""
 
-    def __init__(self, grams: np.ndarray, histories: np.ndarray, counts: np.ndarray):
-        keep = counts > 0
-        grams, histories, counts = grams[keep], histories[keep], counts[keep].astype(float)
-        self.histories, where = np.unique(histories, return_inverse=True)
-        total = np.bincount(where, counts, len(self.histories))
-        types = np.bincount(where, minlength=len(self.histories))
+    def __init__(self, grams: np.ndarray, histories: np.ndarray, counts: np.ndarray, kept: np.ndarray):
+        there = counts > 0
+        grams, histories, counts, kept = grams[there], histories[there], counts[there].astype(float), kept[there]
+        known, where = np.unique(histories, return_inverse=True)
+        share = np.maximum(counts - DISCOUNT, 0) / np.bincount(where, counts, len(known))[where]
+        left = 1 - np.bincount(where, share * kept, len(known))
+        some = left < 1
+        self.histories, self.left = known[some], left[some].astype(np.float32)
+        grams, share = grams[kept], share[kept]
         order = np.argsort(grams)
-        self.grams, self.share = grams[order], (np.maximum(counts - DISCOUNT, 0) / total[where])[order]
-        self.left = DISCOUNT * types / np.maximum(total, 1)
+        self.grams, self.share = grams[order], share[order].astype(np.float32)
 
     def probability(self, grams: np.ndarray, histories: np.ndarray, below: np.ndarray) -> np.ndarray:
         def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
@@ -146,27 +150,33 @@ def train_counts(rows: DataFrame) -> DataFrame:
 
 
 def _table(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram keys, history keys and counts of one order, as arrays; bounded by the bounded sample."""
-    frame = rows.toPandas()
-    codes = np.frombuffer("".join(frame["gram"]).encode("utf-32-le"), "<u4").astype(np.uint64)
-    at = np.arange(len(frame)) * size + size - 1
-    histories = _keys(codes, size - 1)[at - 1] if size > 1 else np.zeros(len(frame), np.uint64)
-    return _keys(codes, size)[at], histories, frame.drop(columns="gram").to_numpy()
+    """Gram keys, history keys and counts of one order, as arrays of numbers; bounded by the bounded sample."""
+    names = [c for c in rows.columns if c != "gram"]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(0).to_pylist()
+            codes = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").astype(np.uint64)
+            at = np.arange(len(grams)) * size + size - 1
+            histories = _keys(codes, size - 1)[at - 1] if size > 1 else np.zeros(len(grams), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(codes, size)[at].view(np.int64)), pa.array(histories.view(np.int64)), *batch.columns[1:]], ["gram", "history", *names])
+    frame = rows.select("gram", *names).mapInArrow(keyed, ", ".join(["gram long, history long", *[f"{n} long" for n in names]])).toPandas()
+    return frame["gram"].to_numpy().view(np.uint64), frame["history"].to_numpy().view(np.uint64), frame[names].to_numpy().astype(np.int32)
 
 
 def fit(counts: DataFrame) -> tuple[Model, Model, Model]:
     """The model of all training texts, and those of fold 1 and of fold 0 alone (each to score the other fold)."""
     top = cut_lineage(counts)
-    lower, rows = [], top.select("gram")
+    shared, rows = [], top.select("gram")
     for size in range(ORDER - 1, 0, -1):
         rows = rows.groupBy(F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("types"))
-        lower.append(_table(rows, size))
+        grams, histories, c = _table(rows, size)
+        shared.insert(0, Level(grams, histories, c[:, 0], (c[:, 0] >= LEAST) | (size <= SHORT)))
         rows = rows.select("gram")
-    shared = [Level(g, h, c[:, 0]) for g, h, c in reversed(lower)]
     grams, histories, c = _table(top, ORDER)
-    made = []
+    kept, made = c.sum(axis=1) >= LEAST, []
     for folds in ((0, 1), (1,), (0,)):
-        made.append(Model(shared, Level(grams, histories, sum(c[:, 2 + f] for f in folds)), Level(grams, histories, sum(c[:, f] for f in folds))))
+        made.append(Model(shared, Level(grams, histories, sum(c[:, 2 + f] for f in folds), kept), Level(grams, histories, sum(c[:, f] for f in folds), kept)))
     return tuple(made)
 
 
