@@ -17,6 +17,7 @@ Words are told apart by 64-bit hashes. Results for odd input: null texts are emp
 not held out; repeated ids are scored row by row; without training rows N and V are 0 and scores are those of the smoothing
 alone; an empty table gives no rows; columns besides doc_id and text are not read.
 """
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,16 @@ CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<lon
 SCORED = "doc_ids array<long>, held array<boolean>, lengths array<long>, units binary, base array<double>, known array<long>, rare array<double>"
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed: most high bytes are zero."""
+    return zlib.compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
+
+
+def unpacked(data, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = code = len(self)
@@ -65,7 +76,7 @@ def chunks(docs: DataFrame, held_out: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), *[pa.array([x], pa.list_(t)) for x, t in (
                     (some.column(0).to_pylist(), pa.int64()), (some.column(1).to_pylist(), pa.bool_()), (lengths, pa.int64()))],
-                pa.array([np.concatenate(parts).tobytes()]), pa.array([hashes], pa.list_(pa.int64())),
+                pa.array([packed(np.concatenate(parts))]), pa.array([hashes], pa.list_(pa.int64())),
                 pa.array([np.bincount(train, minlength=len(codes))], pa.list_(pa.int64()))],
                 ["chunk", "doc_ids", "held", "lengths", "codes", "words", "counts"])
             number += 1
@@ -105,14 +116,14 @@ def units(corpus: DataFrame, places: DataFrame, words: DataFrame, totals: dict)
                 place = own.field("place").to_numpy(zero_copy_only=False)
                 c, unit = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
                 c[place], unit[place] = own.field("c").to_numpy(zero_copy_only=False), own.field("unit").to_numpy(zero_copy_only=False)
-                codes = np.frombuffer(one.column(4)[0].as_buffer(), np.uint32)
+                codes = unpacked(one.column(4)[0].as_buffer(), np.uint32)
                 lengths = one.column(3).flatten().to_numpy()
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 tier = (unit >= CLUSTERED) & (unit < UNSEEN)
                 rare = np.where(tier, np.log10(np.maximum(c, 1) / np.maximum(mass[unit], 1)), 0.0)
                 base = np.log10((c + 1) / (n + v + 1))
                 sums = [np.add.reduceat(x[codes], starts) for x in (base, (c > 0).astype(np.int64), rare)]
-                yield pa.RecordBatch.from_arrays([one.column(1), one.column(2), one.column(3), pa.array([unit[codes].astype(np.uint16).tobytes()]),
+                yield pa.RecordBatch.from_arrays([one.column(1), one.column(2), one.column(3), pa.array([packed(unit[codes].astype(np.uint16))]),
                                                   *[pa.array([x], pa.list_(t)) for x, t in zip(sums, (pa.float64(), pa.int64(), pa.float64()), strict=True)]],
                                                  ["doc_ids", "held", "lengths", "units", "base", "known", "rare"])
     number = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), corpus.count() // 4)
@@ -134,7 +145,7 @@ def bigrams(sequences: DataFrame) -> DataFrame:
         total = np.zeros(UNITS * UNITS, np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                sequence = np.frombuffer(batch.column(2)[row].as_buffer(), np.uint16).astype(np.int64)
+                sequence = unpacked(batch.column(2)[row].as_buffer(), np.uint16).astype(np.int64)
                 lengths = batch.column(1)[row].values.to_numpy()
                 train = np.repeat(~batch.column(0)[row].values.to_numpy(zero_copy_only=False).astype(bool), lengths)
                 total += np.bincount((_before(sequence, lengths, END) * UNITS + sequence)[train], minlength=UNITS * UNITS)
@@ -234,7 +245,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                unit = np.frombuffer(one.column(3)[0].as_buffer(), np.uint16)
+                unit = unpacked(one.column(3)[0].as_buffer(), np.uint16)
                 lengths = one.column(2).flatten().to_numpy()
                 kind = classes[unit]
                 value = steps[_before(kind, lengths, int(classes[END])), kind] + emission[unit]
