@@ -35,7 +35,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LEVELS = (1.0, 2.0)
 FEATURES = ["highest", "highest_3", "highest_6", "above_1", "above_2", "mean", "words"]
 KNOWN_WORDS = 300_000
-MOST_TEXTS = 12_000
+MOST_TEXTS = 8_000
 LEAST = 2                      # grams of the longer orders that came up less often leave their share to the order below
 SHORT = 4                      # up to this order all grams are kept
 COUNTS = ["ordinary_0", "ordinary_1", "toxic_0", "toxic_1"]      # by class and fold
@@ -59,15 +59,14 @@ def _keys(codes: np.ndarray, size: int) -> np.ndarray:
 class Level:
     """One order: discounted share of each gram and the share that each history leaves to the order below."""
 
-    def __init__(self, grams: np.ndarray, histories: np.ndarray, counts: np.ndarray, kept: np.ndarray):
+    def __init__(self, grams: np.ndarray, histories: np.ndarray, counts: np.ndarray, known: np.ndarray, totals: np.ndarray):
         there = counts > 0
-        grams, histories, counts, kept = grams[there], histories[there], counts[there].astype(float), kept[there]
-        known, where = np.unique(histories, return_inverse=True)
-        share = np.maximum(counts - DISCOUNT, 0) / np.bincount(where, counts, len(known))[where]
-        left = 1 - np.bincount(where, share * kept, len(known))
+        grams, histories, counts = grams[there], histories[there], counts[there].astype(float)
+        where = np.searchsorted(known, histories)
+        share = np.maximum(counts - DISCOUNT, 0) / totals[where]
+        left = 1 - np.bincount(where, share, len(known))
         some = left < 1
         self.histories, self.left = known[some], left[some].astype(np.float32)
-        grams, share = grams[kept], share[kept]
         order = np.argsort(grams)
         self.grams, self.share = grams[order], share[order].astype(np.float32)
 
@@ -149,19 +148,32 @@ def train_counts(rows: DataFrame) -> DataFrame:
     return words.mapInArrow(grams, f"gram string, {kinds}").groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def _table(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram keys, history keys and counts of one order, as arrays of numbers; bounded by the bounded sample."""
+def _numbers(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of grams of one size, in order, and their counts; bounded by the bounded sample."""
     names = [c for c in rows.columns if c != "gram"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = batch.column(0).to_pylist()
             codes = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").astype(np.uint64)
-            at = np.arange(len(grams)) * size + size - 1
-            histories = _keys(codes, size - 1)[at - 1] if size > 1 else np.zeros(len(grams), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(codes, size)[at].view(np.int64)), pa.array(histories.view(np.int64)), *batch.columns[1:]], ["gram", "history", *names])
-    frame = rows.select("gram", *names).mapInArrow(keyed, ", ".join(["gram long, history long", *[f"{n} long" for n in names]])).toPandas()
-    return frame["gram"].to_numpy().view(np.uint64), frame["history"].to_numpy().view(np.uint64), frame[names].to_numpy().astype(np.int32)
+            keys = _keys(codes, size)[np.arange(len(grams)) * size + size - 1] if size else np.zeros(len(grams), np.uint64)
+            histories = _keys(codes, size - 1)[np.arange(len(grams)) * size + size - 2] if size > 1 else np.zeros(len(grams), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(histories.view(np.int64)), *[c.cast(pa.int32()) for c in batch.columns[1:]]],
+                                             ["gram", "history", *names])
+    frame = rows.select("gram", *names).mapInArrow(keyed, ", ".join(["gram long, history long", *[f"{n} int" for n in names]])).toArrow()
+    return tuple(c.to_numpy() for c in frame.columns)
+
+
+def _level_numbers(rows: DataFrame, size: int, least: int) -> tuple[np.ndarray, ...]:
+    """(gram keys, history keys, counts by column) of the grams kept, and (history keys in order, totals by column)."""
+    names = [c for c in rows.columns if c != "gram"]
+    pooled = reduce(lambda x, y: x + y, [F.col(n) for n in names])
+    before = rows.withColumn("_kept", pooled >= least).groupBy(F.substring("gram", 1, size - 1).alias("gram")).agg(
+        *[F.sum(n).alias(n) for n in names], F.max("_kept").alias("_kept")).filter("_kept").drop("_kept")
+    grams, histories, *counts = _numbers(rows.filter(pooled >= least), size)
+    known, _, *totals = _numbers(before, size - 1)
+    order = np.argsort(known.view(np.uint64))
+    return grams.view(np.uint64), histories.view(np.uint64), counts, known.view(np.uint64)[order], [t[order] for t in totals]
 
 
 def fit(counts: DataFrame) -> tuple[Model, Model, Model]:
@@ -170,13 +182,13 @@ def fit(counts: DataFrame) -> tuple[Model, Model, Model]:
     shared, rows = [], top.select("gram")
     for size in range(ORDER - 1, 0, -1):
         rows = rows.groupBy(F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("types"))
-        grams, histories, c = _table(rows, size)
-        shared.insert(0, Level(grams, histories, c[:, 0], (c[:, 0] >= LEAST) | (size <= SHORT)))
+        grams, histories, c, known, totals = _level_numbers(rows, size, 1 if size <= SHORT else LEAST)
+        shared.insert(0, Level(grams, histories, c[0], known, totals[0]))
         rows = rows.select("gram")
-    grams, histories, c = _table(top, ORDER)
-    kept, made = c.sum(axis=1) >= LEAST, []
+    grams, histories, c, known, totals = _level_numbers(top, ORDER, LEAST)
+    made = []
     for folds in ((0, 1), (1,), (0,)):
-        made.append(Model(shared, Level(grams, histories, sum(c[:, 2 + f] for f in folds), kept), Level(grams, histories, sum(c[:, f] for f in folds), kept)))
+        made.append(Model(shared, *[Level(grams, histories, sum(c[k + f] for f in folds), known, np.maximum(1, sum(totals[k + f] for f in folds))) for k in (2, 0)]))
     return tuple(made)
 
 
