@@ -34,7 +34,7 @@ START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 LEVELS = (1.0, 2.0)
 FEATURES = ["highest", "highest_3", "highest_6", "above_1", "above_2", "mean", "words"]
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 MOST_TEXTS = 8_000
 LEAST = 2                      # grams of the longer orders that came up less often leave their share to the order below
 SHORT = 4                      # up to this order all grams are kept
