@@ -3,10 +3,15 @@
 The corpus is written once as chunks of word codes. Counts of all training words are an aggregation over the chunks' word
 lists, and each chunk gets its own words' counts back by a join; nothing of the vocabulary is broadcast.
 
-The most frequent words fall into ``CLASSES`` classes by the exchange algorithm: each in turn moves to the class where it
-adds most to the likelihood of the class bigrams, until none moves. Spark counts which of these words follow which; that
-table has at most UNITS squared cells whatever the corpus, and the exchange works on it. Rarer words form a class per power
-of two of their count, words never seen in training one of their own, and the end of a text another.
+The number of classes is the cube root of the number of training words, ``CLASSES`` at least. The most frequent words are
+the seed, by the exchange algorithm: each in turn moves to the class where it adds most to the likelihood of the class
+bigrams, until none moves. Spark counts which of them follow which; that table has at most UNITS squared cells, and rarer
+words stand in it by the power of two of their count.
+
+Then passes over all words seen more than once: Spark counts which classes stand before and after each word, and each word
+goes where it adds most, given the class bigrams; what a pass did is kept if the likelihood of all training text rose. The
+first pass deals every word, later ones one half or the other, since words that move together can undo each other's gain.
+Words seen once have a class of their own, words never seen in training another, and the end of a text a third.
 
 P(word | one before) = P(class | class before) * P(word | class). Transitions are smoothed by the classes' own frequency.
 All words never seen in training are one event, as in the add-one base score: the V words of training and that event have
@@ -19,6 +24,7 @@ alone; an empty table gives no rows; columns besides doc_id and text are not rea
 """
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +37,21 @@ from codestrata.llm.common import cut_lineage, utf8, utf8_slices
 
 CHUNK_BYTES = 8 << 20
 CLUSTERED = 1000               # most frequent words that the exchange sorts into classes
-CLASSES = 32
+CLASSES = 32                   # at least; number_of_classes gives more to a larger vocabulary
 TIERS = 64                     # classes of rarer words, by the logarithm of their count
 UNSEEN, END = CLUSTERED + TIERS - 1, CLUSTERED + TIERS
 UNITS = CLUSTERED + TIERS + 1
 TOTAL_CLASSES = CLASSES + TIERS + 1
 SWEEPS = 12
+PASSES = 3                     # over all words seen more than once
+GAIN_CELLS = 1 << 20           # word neighbours times classes weighed at a time
 SMOOTHING = 5.0
 END_WORD = 0                   # the end's hash
 
 CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, codes binary, words array<long>, counts array<long>"
-SCORED = "doc_ids array<long>, held array<boolean>, lengths array<long>, units binary, base array<double>, known array<long>, rare array<double>"
+SEEDED = "held array<boolean>, lengths array<long>, units binary"
+SCORED = "doc_ids array<long>, held array<boolean>, lengths array<long>, classes binary, base array<double>, known array<long>, emission array<double>"
+NEIGHBOURS = "word long, own int, keys array<int>, counts array<long>"
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -104,32 +114,169 @@ def count_words(corpus: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     return places, words, totals
 
 
-def units(corpus: DataFrame, places: DataFrame, words: DataFrame, totals: dict) -> DataFrame:
-    """Each chunk as a sequence of units, with what can be summed per text already: base score, known words, emissions of rare words."""
-    n, v, mass = totals["N"], totals["V"], totals["mass"]
+def number_of_classes(v: int) -> int:
+    return max(CLASSES, round(v ** (1 / 3)))
 
-    def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                own = one.column(5).flatten()
-                place = own.field("place").to_numpy(zero_copy_only=False)
-                c, unit = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-                c[place], unit[place] = own.field("c").to_numpy(zero_copy_only=False), own.field("unit").to_numpy(zero_copy_only=False)
-                codes = unpacked(one.column(4)[0].as_buffer(), np.uint32)
-                lengths = one.column(3).flatten().to_numpy()
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                tier = (unit >= CLUSTERED) & (unit < UNSEEN)
-                rare = np.where(tier, np.log10(np.maximum(c, 1) / np.maximum(mass[unit], 1)), 0.0)
-                base = np.log10((c + 1) / (n + v + 1))
-                sums = [np.add.reduceat(x[codes], starts) for x in (base, (c > 0).astype(np.int64), rare)]
-                yield pa.RecordBatch.from_arrays([one.column(1), one.column(2), one.column(3), pa.array([packed(unit[codes].astype(np.uint16))]),
-                                                  *[pa.array([x], pa.list_(t)) for x, t in zip(sums, (pa.float64(), pa.int64(), pa.float64()), strict=True)]],
-                                                 ["doc_ids", "held", "lengths", "units", "base", "known", "rare"])
+
+def with_own(corpus: DataFrame, places: DataFrame, words: DataFrame, *columns: str) -> DataFrame:
+    """Each chunk with what ``words`` says of its own words, by place in its word list."""
     number = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), corpus.count() // 4)
-    found = places.select("chunk", "place", "word").join(words, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "c", "unit")).alias("own"))
-    both = corpus.select("chunk", "doc_ids", "held", "lengths", "codes").repartition(number, "chunk").join(found, "chunk")
-    return cut_lineage(both.select("chunk", "doc_ids", "held", "lengths", "codes", "own").mapInArrow(translate, SCORED))
+    found = places.select("chunk", "place", "word").join(words, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", *columns)).alias("own"))
+    return corpus.select("chunk", "doc_ids", "held", "lengths", "codes", "words").repartition(number, "chunk").join(found, "chunk").select("doc_ids", "held", "lengths", "codes", "own", "words")
+
+
+def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """(row, lengths, codes, what with_own added by code) of every chunk."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            one = batch.slice(row, 1)
+            own = one.column(4).flatten()
+            place = own.field("place").to_numpy(zero_copy_only=False)
+            by_code = {}
+            for field in own.type:
+                by_code[field.name] = np.zeros(len(place), np.int64)
+                by_code[field.name][place] = own.field(field.name).to_numpy(zero_copy_only=False)
+            yield one, one.column(2).flatten().to_numpy(), unpacked(one.column(3)[0].as_buffer(), np.uint32), by_code
+
+
+def units(corpus: DataFrame, places: DataFrame, words: DataFrame) -> DataFrame:
+    """Each chunk as a sequence of units."""
+    def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one, _, codes, own in _each_chunk(batches):
+            yield pa.RecordBatch.from_arrays([one.column(1), one.column(2), pa.array([packed(own["unit"][codes].astype(np.uint16))])], ["held", "lengths", "units"])
+    return with_own(corpus, places, words, "unit").mapInArrow(translate, SEEDED)
+
+
+def neighbours(corpus: DataFrame, places: DataFrame, assigned: DataFrame, kinds: int, of_words: bool) -> DataFrame:
+    """Counts in training text by chunk: a row without a word holds the class bigrams (class before * kinds + class); with
+    ``of_words`` a row per word seen more than once holds the classes before it and (kinds + class) those after it."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one, lengths, codes, own in _each_chunk(batches):
+            kind = own["cls"][codes]
+            before = _before(kind, lengths, kinds - 1)
+            train = np.repeat(~one.column(1).flatten().to_numpy(zero_copy_only=False).astype(bool), lengths)
+            pairs = np.bincount((before * kinds + kind)[train], minlength=kinds * kinds)
+            there = np.flatnonzero(pairs)
+            word, mine, keys, counts, starts = [None], [-1], there, pairs[there], np.array([0, len(there)])
+            if of_words:
+                at = np.flatnonzero(train & (kind < kinds - 2) & (kind != kinds - TIERS - 1))       # never a text's last place, an end
+                places_of = codes[at].astype(np.int64) * (2 * kinds)
+                found, times = np.unique(np.concatenate([places_of + before[at], places_of + kinds + kind[at + 1]]), return_counts=True)
+                code = found // (2 * kinds)
+                edges = np.flatnonzero(np.diff(code, prepend=-1))
+                word, mine = [None, *one.column(5).flatten().to_numpy()[code[edges]].tolist()], [-1, *own["cls"][code[edges]].tolist()]
+                starts = np.concatenate([[0], len(there) + np.append(edges, len(code))])
+                keys, counts = np.concatenate([there, found % (2 * kinds)]), np.concatenate([counts, times])
+            starts = pa.array(starts, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(mine, pa.int32()), pa.ListArray.from_arrays(starts, pa.array(keys, pa.int32())),
+                                              pa.ListArray.from_arrays(starts, pa.array(counts, pa.int64()))], ["word", "own", "keys", "counts"])
+    return with_own(corpus, places, assigned, "cls").mapInArrow(count, NEIGHBOURS)
+
+
+def class_pairs(counted: DataFrame, kinds: int) -> np.ndarray:
+    """The class bigram table; it grows with the square of the classes, not with the corpus."""
+    pairs = counted.filter("word IS NULL").select(F.explode(F.arrays_zip("keys", "counts")).alias("p")).groupBy("p.keys").agg(F.sum("p.counts").alias("n")).toPandas()
+    table = np.zeros(kinds * kinds)
+    table[pairs["keys"].to_numpy(np.int64)] = pairs["n"]
+    return table.reshape(kinds, kinds)
+
+
+def best_classes(table: np.ndarray, number: int, own: np.ndarray, row: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of each word to which it belongs most: its own or one of the first ``number``. An entry is (row of the word,
+    class before or classes + class after, count), by row. Pairs with its own class are taken as they stand in the table."""
+    kinds, new = len(table), own.copy()
+    cells = np.concatenate([table[:, :number], table[:number].T])
+    after, before = table.sum(1), table.sum(0)
+    before_it = key < kinds
+    cell = np.where(before_it, table[key % kinds, own[row]], table[own[row], key % kinds])
+    stay = np.bincount(row, _log_sum(cell) - _log_sum(cell - n), len(own))
+    left, right = np.bincount(row, n * before_it, len(own)), np.bincount(row, n * ~before_it, len(own))
+    stay -= _log_sum(after[own]) - _log_sum(after[own] - right) + _log_sum(before[own]) - _log_sum(before[own] - left)
+    starts = np.append(np.searchsorted(row, np.arange(len(own))), len(row))
+    first = 0
+    while first < len(own):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + GAIN_CELLS // number, "right")) - 1)
+        some, words = slice(starts[first], starts[last]), slice(first, last)
+        were = cells[key[some]]
+        gain = np.add.reduceat(_log_sum(were + n[some, None]) - _log_sum(were), starts[words] - starts[first], axis=0)
+        for margin, more in ((after[:number], right[words, None]), (before[:number], left[words, None])):
+            gain -= _log_sum(margin + more) - _log_sum(margin)
+        inside = np.flatnonzero(own[words] < number)
+        gain[inside, own[words][inside]] = stay[words][inside]
+        best = gain.argmax(1)
+        better = gain[np.arange(len(best)), best] > stay[words] + 1e-9
+        new[words] = np.where(better, best, own[words])
+        first = last
+    return new
+
+
+def moved(counted: DataFrame, table: np.ndarray, number: int, half: int | None) -> DataFrame:
+    """(word, new) of the words that change their class: of all, or of one half of them."""
+    kinds = len(table)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, own, key, n = (np.zeros(0, np.int64) for _ in range(4))
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                times = np.diff(batch.column(2).offsets.to_numpy())
+                word, own = (np.concatenate([x, np.repeat(batch.column(i).to_numpy(), times)]) for i, x in ((0, word), (1, own)))
+                key, n = (np.concatenate([x, batch.column(i).flatten().to_numpy()]) for i, x in ((2, key), (3, n)))
+            if not len(word):
+                continue
+            edge = np.diff(word, prepend=word[0]) != 0
+            row = np.cumsum(edge)
+            heads = np.append(0, np.flatnonzero(edge))
+            names, kind = word[heads], own[heads]
+            cell, back = np.unique(row * (2 * kinds) + key, return_inverse=True)
+            n = np.bincount(back, n).astype(np.int64)
+            row, key = cell // (2 * kinds), cell % (2 * kinds)
+            done = len(names) - (batch is not None)        # the last word may go on in the next batch
+            ready = row < done
+            if done:
+                new = best_classes(table, number, kind[:done], row[ready], key[ready], n[ready].astype(float))
+                other = new != kind[:done]
+                yield pa.RecordBatch.from_arrays([pa.array(names[:done][other]), pa.array(new[other], pa.int32())], ["word", "new"])
+            word, own, key, n = names[row[~ready]], kind[row[~ready]], key[~ready], n[~ready]
+    rows = counted.filter("word IS NOT NULL")
+    if half is not None:
+        rows = rows.filter(F.pmod(F.xxhash64("word"), F.lit(2)) == half)
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word long, new int")
+
+
+def cluster(corpus: DataFrame, places: DataFrame, words: DataFrame, seed: np.ndarray, number: int) -> tuple[DataFrame, np.ndarray]:
+    """((word, c, cls) of all words, class bigram table), from the class of each unit."""
+    kinds = number + TIERS + 1
+    names = corpus.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(seed)], "unit int, cls int")      # UNITS rows
+    assigned, kept, table, best = words.join(F.broadcast(names), "unit").select("word", "c", "cls"), None, None, -np.inf
+    for step in range(PASSES + 1):
+        counted = cut_lineage(neighbours(corpus, places, assigned, kinds, step < PASSES))
+        pairs = class_pairs(counted, kinds)
+        if step and likelihood(pairs) <= best:
+            break
+        kept, table, best = assigned, pairs, likelihood(pairs)
+        if step < PASSES:
+            new = moved(counted, table, number, step % 2 if step else None)
+            assigned = cut_lineage(assigned.join(new, "word", "left").select("word", "c", F.coalesce("new", "cls").alias("cls")))
+    return kept, table
+
+
+def classified(corpus: DataFrame, places: DataFrame, assigned: DataFrame, totals: dict, kinds: int) -> DataFrame:
+    """Each chunk as a sequence of classes, with what can be summed per text already: base score, known words, word emissions."""
+    n, v, mass = totals["N"], totals["V"], np.zeros(kinds)
+    for r in assigned.groupBy("cls").agg(F.sum("c").alias("c")).collect():          # at most a row a class
+        mass[r["cls"]] = r["c"]
+
+    def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one, lengths, codes, own in _each_chunk(batches):
+            c, kind = own["c"], own["cls"]
+            emission = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(mass[kind], 1)), 0.0)
+            base = np.log10((c + 1) / (n + v + 1))
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            sums = [np.add.reduceat(x[codes], starts) for x in (base, (c > 0).astype(np.int64), emission)]
+            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), pa.array([packed(kind[codes].astype(np.uint16))]),
+                                              *[pa.array([x], pa.list_(t)) for x, t in zip(sums, (pa.float64(), pa.int64(), pa.float64()), strict=True)]],
+                                             ["doc_ids", "held", "lengths", "classes", "base", "known", "emission"])
+    return with_own(corpus, places, assigned, "c", "cls").mapInArrow(translate, SCORED)
 
 
 def _before(sequence: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
@@ -163,21 +310,23 @@ def likelihood(table: np.ndarray) -> float:
     return float(_log_sum(table).sum() - _log_sum(table.sum(0)).sum() - _log_sum(table.sum(1)).sum())
 
 
-def best_class(table: np.ndarray, own: int, left: np.ndarray, right: np.ndarray, both: float) -> int:
-    """The class to which a word belongs most. left, right: its neighbours by class, itself apart; both: how often it follows itself."""
+def best_class(table: np.ndarray, own: int, left: np.ndarray, right: np.ndarray, both: float, number: int | None = None) -> int:
+    """The class to which a word belongs most. left, right: its neighbours by class, itself apart; both: how often it follows itself.
+    It may move to the first ``number`` classes."""
+    number = number or CLASSES
     rest = table.copy()
     rest[:, own] -= left
     rest[own] -= right
     rest[own, own] -= both
-    rows, columns, diagonal = rest[:, :CLASSES].T, rest[:CLASSES], np.arange(CLASSES)
+    rows, columns, diagonal = rest[:, :number].T, rest[:number], np.arange(number)
     gain = (_log_sum(rows + left) - _log_sum(rows)).sum(1) + (_log_sum(columns + right) - _log_sum(columns)).sum(1)
     for extra, line in ((left, rows), (right, columns)):
-        gain -= _log_sum(line[diagonal, diagonal] + extra[:CLASSES]) - _log_sum(line[diagonal, diagonal])
+        gain -= _log_sum(line[diagonal, diagonal] + extra[:number]) - _log_sum(line[diagonal, diagonal])
     corner = rest[diagonal, diagonal]
-    gain += _log_sum(corner + left[:CLASSES] + right[:CLASSES] + both) - _log_sum(corner)
+    gain += _log_sum(corner + left[:number] + right[:number] + both) - _log_sum(corner)
     # Its neighbours' own margins hold the pairs with the word wherever it goes.
     for margin, more in ((rest.sum(1) + left, right.sum() + both), (rest.sum(0) + right, left.sum() + both)):
-        gain -= (_log_sum(margin + more) - _log_sum(margin))[:CLASSES]
+        gain -= (_log_sum(margin + more) - _log_sum(margin))[:number]
     return own if gain[own] >= gain.max() - 1e-9 else int(np.argmax(gain))
 
 
@@ -190,8 +339,9 @@ def class_table(follows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return table
 
 
-def exchange(follows: np.ndarray, classes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class bigram table) from how often unit follows unit. The first ``words`` units move."""
+def exchange(follows: np.ndarray, classes: np.ndarray, words: int, number: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class bigram table) from how often unit follows unit. The first ``words`` units move, among
+    the first ``number`` classes."""
     classes = classes.copy()
     table, fixed = class_table(follows, classes), int(classes.max()) + 1
     seen = np.flatnonzero(follows[:words].sum(1) + follows[:, :words].sum(0))
@@ -201,7 +351,7 @@ def exchange(follows: np.ndarray, classes: np.ndarray, words: int) -> tuple[np.n
             into, out, itself, own = follows[:, unit].copy(), follows[unit].copy(), follows[unit, unit], int(classes[unit])
             into[unit] = out[unit] = 0
             left, right = np.bincount(classes, into, fixed), np.bincount(classes, out, fixed)
-            best = best_class(table, own, left, right, itself)
+            best = best_class(table, own, left, right, itself, number)
             if best != own:
                 for kind, sign in ((own, -1), (best, 1)):
                     table[:, kind] += sign * left
@@ -214,46 +364,51 @@ def exchange(follows: np.ndarray, classes: np.ndarray, words: int) -> tuple[np.n
     return classes, table
 
 
-def model(classes: np.ndarray, table: np.ndarray, totals: dict) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of class transitions (before, after), and log10 of each unit's emission; those of rarer words are summed elsewhere."""
-    mass, unseen, once = totals["mass"], classes[UNSEEN], classes[CLUSTERED]
+def transitions(table: np.ndarray, once: int, unseen: int, share: float) -> np.ndarray:
+    """log10 of class transitions (before, after)."""
     own = table.sum(0) + 0.5
     own = own / own.sum()
     steps = (table + SMOOTHING * own) / (table.sum(1, keepdims=True) + SMOOTHING)
     both = steps[:, once] + steps[:, unseen]
-    steps[:, once], steps[:, unseen] = both * (1 - totals["unseen"]), both * totals["unseen"]
-    class_mass = np.bincount(classes, mass, TOTAL_CLASSES)
+    steps[:, once], steps[:, unseen] = both * (1 - share), both * share
+    return np.log10(steps)
+
+
+def model(classes: np.ndarray, table: np.ndarray, totals: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The seed alone: log10 of class transitions, and log10 of each unit's emission."""
+    mass = totals["mass"]
+    class_mass = np.bincount(classes, mass, len(table))
     emission = np.zeros(UNITS)
     emission[:CLUSTERED] = np.log10(np.maximum(mass[:CLUSTERED], 1) / np.maximum(class_mass[classes[:CLUSTERED]], 1))
-    return np.log10(steps), emission
+    return transitions(table, classes[CLUSTERED], classes[UNSEEN], totals["unseen"]), emission
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row."""
     corpus = chunks(docs, held_out)
     places, words, totals = count_words(corpus)
-    sequences = units(corpus, places, words, totals)
-    counted = bigrams(sequences).toPandas()          # at most UNITS squared rows
+    counted = bigrams(units(corpus, places, words)).toPandas()          # at most UNITS squared rows
     follows = np.zeros((UNITS, UNITS))
     follows[counted["a"], counted["b"]] = counted["n"]
-    first = np.concatenate([np.arange(CLUSTERED) % CLASSES, np.arange(CLASSES, TOTAL_CLASSES)])
-    classes, table = exchange(follows, first, CLUSTERED)
-    steps, emission = model(classes, table, totals)
-    total = totals["N"]
+    number = number_of_classes(totals["V"])
+    kinds = number + TIERS + 1
+    seed, _ = exchange(follows, np.concatenate([np.arange(CLUSTERED) % number, np.arange(number, kinds)]), CLUSTERED, number)
+    assigned, table = cluster(corpus, places, words, seed, number)
+    steps, total, end = transitions(table, int(seed[CLUSTERED]), int(seed[UNSEEN]), totals["unseen"]), totals["N"], kinds - 1
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                unit = unpacked(one.column(3)[0].as_buffer(), np.uint16)
+                kind = unpacked(one.column(3)[0].as_buffer(), np.uint16)
                 lengths = one.column(2).flatten().to_numpy()
-                kind = classes[unit]
-                value = steps[_before(kind, lengths, int(classes[END])), kind] + emission[unit]
+                value = steps[_before(kind, lengths, end), kind]
                 found = np.add.reduceat(value, np.concatenate([[0], np.cumsum(lengths)[:-1]])) + one.column(6).flatten().to_numpy()
                 yield pa.RecordBatch.from_arrays([one.column(0).flatten(), one.column(1).flatten(), pa.array(lengths), one.column(5).flatten(),
                                                   pa.array(np.full(len(lengths), total, np.int64)), one.column(4).flatten(), pa.array(found), pa.array(10 ** (-found / lengths))],
                                                  ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
-    return sequences.mapInArrow(texts, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return classified(corpus, places, assigned, totals, kinds).mapInArrow(
+        texts, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def hashed_seventh(name: str = "doc_id") -> Column:

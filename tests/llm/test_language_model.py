@@ -52,3 +52,38 @@ def test_probabilities_sum_to_one():
     steps, emission = lm.model(classes, table, {"mass": mass, "unseen": 0.4})
     assert np.allclose((10 ** steps).sum(1), 1)
     assert np.allclose(np.bincount(classes[:lm.CLUSTERED], 10 ** emission[:lm.CLUSTERED]), 1)
+
+
+def test_words_below_the_seed_get_classes_too(odd_rows):
+    draw = np.random.default_rng(8)
+    texts = [(i, " ".join(f"f{w}" for w in draw.permutation(1000))) for i in range(2000, 2020)]
+    texts += [(i, " ".join(f"the a{draw.integers(100)} of b{draw.integers(100)}" for _ in range(5))) for i in range(240)]
+    rows = [r for r in lm.score(odd_rows(texts), lm.hashed_seventh()).collect() if r.held_out and r.doc_id < 2000]
+    # A hundred words after "the" and another hundred after "of", none among the thousand most frequent: knowing which is which halves the choice.
+    assert 10 ** (-sum(r.score for r in rows) / sum(r.n_tokens for r in rows)) < 18
+
+
+def test_classes_of_all_words_are_the_best_by_full_likelihood():
+    draw = np.random.default_rng(9)
+    classes = draw.integers(0, 4, 300)
+    classes[:4] = range(4)
+    pairs = draw.poisson(0.4 * (1 + 5 * ((classes[:, None] + classes) % 4 == 1)))
+    np.fill_diagonal(pairs, 0)
+
+    def table(kinds):
+        made = np.zeros((6, 6))
+        np.add.at(made, (kinds[:, None].repeat(300, 1), kinds[None].repeat(300, 0)), pairs)
+        return made
+    words = [i for i in range(0, 300, 10)]
+    held = classes.copy()
+    held[words] = 4                                   # these lie in a class of rarer words
+    entries = [(w, k, n) for w, i in enumerate(words) for k, n in
+               [*enumerate(np.bincount(held, pairs[:, i], 6)), *enumerate(np.bincount(held, pairs[i], 6), 6)] if n]
+    row, key, n = (np.array(c) for c in zip(*entries, strict=True))
+    found = lm.best_classes(table(held), 4, np.full(len(words), 4), row, key, n)
+    one_by_one = [max(range(5), key=lambda c: lm.likelihood(table(np.where(np.arange(300) == i, c, held)))) for i in words]
+    assert (found == one_by_one).mean() > 0.9         # pairs with the word's own class are taken as they stand
+    after = held.copy()
+    after[words] = found
+    assert lm.likelihood(table(after)) > lm.likelihood(table(held))
+    assert lm.number_of_classes(10) == lm.CLASSES < lm.number_of_classes(10**6) < lm.number_of_classes(10**8)
