@@ -7,6 +7,8 @@ counts, a table whose size does not grow with the corpus, so the packing is one
 Results for odd input: null text is an empty text, an empty text is one piece that holds only the end id; null or repeated
 doc_ids are packed like others; an empty table gives an empty result; columns besides doc_id and text are not read.
 """
+import heapq
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +23,7 @@ from codestrata.llm.tokens import encoder
 
 Filling = tuple[tuple[int, int], ...]            # (length, times), longest first
 RANKED_TOGETHER = 200_000                        # pieces of one length ranked by one task
+log = logging.getLogger(__name__)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -135,27 +138,46 @@ def _undominated(counts: np.ndarray, room: int, most: int, keep: int, effort: in
     return found or [(room, ())]
 
 
-def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nodes: int = 600) -> list[tuple[Filling, int]]:
+def search_nodes(counts: np.ndarray) -> int:
+    """Nodes that bin_completion may expand: a descent exhausts a length or two at a node, so this holds several."""
+    return 1000 + 4 * int(np.count_nonzero(counts))
+
+
+def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nodes: int | None = None) -> list[tuple[Filling, int]]:
     """Fillings with how often each is used, over ``counts[length]`` items.
 
-    Always completes the bin of the longest item left. Its fillings are tried by waste; a filling is used as often as the
+    Always completes the bin of the longest item left. Its fillings are ordered by waste; a filling is used as often as the
     counts allow. A branch ends when its waste exceeds what a packing with one bin less than the incumbent may waste. The
-    first incumbent is best-fit decreasing. ``nodes`` bounds the search after its first whole packing; it leaves out no item.
+    first incumbent is best-fit decreasing.
+
+    The search is by limited discrepancy: it descends by the fillings of least waste, then starts anew from the alternatives
+    that leave such descents least often, in turn from the one nearest the root and from the one farthest. Every node
+    expanded counts against ``nodes``; a search that ends so leaves out no item, and the log tells bins and lower bound.
     """
     counts = np.asarray(counts, dtype=np.int64)
     capacity, total = len(counts) - 1, int((counts * np.arange(len(counts))).sum())
     incumbent = best_fit(counts)
     bins, bound = sum(n for _, n in incumbent), lower_bound(counts)
-    # A node is (parent, filling, times, bins used, waste); the counts left are kept for one node and replayed for another.
-    root = (None, (), 0, 0, 0)
-    stack, at, left, complete = [root], root, counts.copy(), False
-    while stack and bins > bound and nodes:
-        node = stack.pop()
-        _, filling, times, used, waste = node
+    budget = rest = search_nodes(counts) if nodes is None else nodes
+    # A node is (parent, filling, times, bins used, waste, depth, discrepancies); the counts left are kept for one node and replayed for another.
+    root = (None, (), 0, 0, 0, 0, 0)
+    node, at, left = root, root, counts.copy()
+    near, far, waiting = [], [], {}                  # heaps of (discrepancies, depth or its negative, number) of waiting nodes
+    number = turn = 0
+    while bins > bound and rest:
+        if node is None:
+            heap, turn = (near, far)[turn], 1 - turn
+            while heap and heap[0][2] not in waiting:
+                heapq.heappop(heap)
+            if not heap:                              # both hold the same nodes
+                break
+            node = waiting.pop(heapq.heappop(heap)[2])
+        parent, filling, times, used, waste, depth, apart = node
         if waste > (bins - 1) * capacity - total:
+            node = None
             continue
-        nodes -= complete
-        if node[0] is at:
+        rest -= 1
+        if parent is at:
             for size, need in filling:
                 left[size] -= need * times
         elif node is not root:
@@ -167,23 +189,31 @@ def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nod
         at = node
         there = np.flatnonzero(left)
         if not len(there):
-            complete = True
-            if used < bins:
-                incumbent, bins, above = [], used, node
-                while above is not root:
-                    incumbent.append((above[1], above[2]))
-                    above = above[0]
+            incumbent, bins, above = [], used, node
+            while above is not root:
+                incumbent.append((above[1], above[2]))
+                above = above[0]
+            node = None
             continue
         longest = int(there[-1])
         left[longest] -= 1
         options = _undominated(left, capacity - longest, longest, branches, effort) if longest < capacity else [(0, ())]
         left[longest] += 1
-        for lost, others in reversed(options):
+        for rank, (lost, others) in enumerate(options):
             merged = {longest: 1}
-            for size, times in others:
-                merged[size] = merged.get(size, 0) + times
+            for size, need in others:
+                merged[size] = merged.get(size, 0) + need
             times = min(int(left[size]) // need for size, need in merged.items())
-            stack.append((node, tuple(sorted(merged.items(), reverse=True)), times, used + times, waste + lost * times))
+            child = (at, tuple(sorted(merged.items(), reverse=True)), times, used + times, waste + lost * times, depth + 1, apart + rank)
+            if rank == 0:
+                node = child
+            else:
+                number += 1
+                waiting[number] = child
+                heapq.heappush(near, (apart + rank, depth, number))
+                heapq.heappush(far, (apart + rank, -depth, number))
+    log.log(logging.WARNING if bins > bound else logging.INFO, "packing of %d lengths: %d bins, lower bound %d, %d of %d nodes",
+            np.count_nonzero(counts), bins, bound, budget - rest, budget)
     return incumbent
 
 

@@ -68,6 +68,24 @@ def test_bin_completion_beats_best_fit():
     assert sum(n for _, n in packing.bin_completion(counts)) < sum(n for _, n in packing.best_fit(counts))
 
 
+def test_search_ends_and_tells_its_bound_where_best_fit_is_optimal_above_the_lower_bound(monkeypatch, caplog):
+    counts = np.bincount(2 * np.random.default_rng(3).integers(1, 31, 600), minlength=102)      # even lengths in 101 fill 100
+    best = -(-int((counts * np.arange(102)).sum()) // 100)
+    assert sum(n for _, n in packing.best_fit(counts)) == best > packing.lower_bound(counts)
+    expanded, options = [], packing._undominated
+
+    def counted(left, *rest):
+        expanded.append(int(left.sum()))
+        assert len(expanded) <= packing.search_nodes(counts)
+        return options(left, *rest)
+    monkeypatch.setattr(packing, "_undominated", counted)
+    assert sum(n for _, n in packing.bin_completion(counts)) == best
+    assert f"{best} bins, lower bound {packing.lower_bound(counts)}" in caplog.text
+    # The alternatives of the first bin are tried as well, not those of the last ones only.
+    assert sum(n > 0.8 * counts.sum() for n in expanded[200:]) > 20
+    assert packing.search_nodes(np.ones(5000, np.int64)) > packing.search_nodes(counts)
+
+
 def test_packing_holds_every_piece_once(odd_rows, monkeypatch):
     monkeypatch.setattr(packing, "RANKED_TOGETHER", 2)
     docs = odd_rows(TEXTS)
