@@ -215,13 +215,20 @@ def _features(model_of, rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(score, ", ".join([kinds, *[f"{n} double" for n in FEATURES]]))
 
 
+def sampling_shares(counts: dict[int, int], most: int) -> dict[int, float]:
+    """The share of each class's labels to learn from: half of ``most`` a class, and what the rarer class leaves for the other."""
+    numbers = {kind: max(1, counts.get(kind, 0)) for kind in (0, 1)}
+    return {kind: min(1.0, max(most / 2, most - numbers[1 - kind]) / numbers[kind]) for kind in (0, 1)}
+
+
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, most_texts: int = MOST_TEXTS) -> DataFrame:
     """doc_id, text_hash, held_out, score of every row of docs. ``held_out``: rows (by doc_id) whose labels are not learnt from."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), utf8("text").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").filter(~held_out)
-    number = marks.count()
-    chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most_texts / max(1, number))))
+    shares = sampling_shares({r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}, most_texts)
+    cut = F.when(F.col("toxic") == 1, F.lit(int(shares[1] * 2**40))).otherwise(F.lit(int(shares[0] * 2**40)))
+    chosen = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**40)) < cut)
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
     train = cut_lineage(rows.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "fold", "text"))
     seen = {r[0] for r in train.select("toxic").distinct().collect()}
@@ -244,7 +251,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, most_texts: int
     used = spark.sparkContext.broadcast(whole)
     found = _features(lambda some: used.value.of_texts(some.column(some.num_columns - 1).to_pylist()), rows)
     terms = [(F.col(n) - float(m)) * float(w / s) for n, m, s, w in zip(FEATURES, middle, deviation, weights[:-1], strict=True)]
-    linear = reduce(lambda a, b: a + b, terms) + float(weights[-1])
+    linear = reduce(lambda a, b: a + b, terms) + float(weights[-1] - np.log(shares[1] / shares[0]))      # the classes' own shares
     return found.select("doc_id", "text_hash", held_out.alias("held_out"), (1 / (1 + F.exp(-linear))).alias("score"))
 
 

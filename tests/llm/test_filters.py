@@ -138,3 +138,14 @@ def test_shared_lower_orders_keep_rare_expressions_near_zero(labelled):
     model = toxicity.fit(toxicity.train_counts(train))[0]
     telling, unknown, plain = model.of_words(["grunkish", "xyzzy", "loba"])
     assert telling > 2 > max(abs(unknown), abs(plain))
+
+
+def test_a_rare_toxic_class_is_learnt_from_in_full(odd_rows, spark):
+    texts = [(i, f"you vile rotten fool number {i}" if i % 150 == 0 else f"a calm walk in the green park on day {i}") for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 150 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    found = toxicity.score(odd_rows(texts), labels, toxicity.hashed_third(), most_texts=30).collect()
+    toxic, clean = ([r.score for r in found if r.held_out and (r.doc_id % 150 == 0) == kind] for kind in (True, False))
+    assert toxic and min(toxic) > max(clean)
+    assert toxicity.sampling_shares({0: 10**6, 1: 10}, 30) == {0: 20 / 10**6, 1: 1.0}
+    assert toxicity.sampling_shares({0: 10**6, 1: 10**5}, 8000) == {0: 0.004, 1: 0.04}
+    assert toxicity.sampling_shares({0: 3000, 1: 900}, 8000) == {0: 1.0, 1: 1.0}
