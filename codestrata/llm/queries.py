@@ -3,10 +3,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import chat, decontaminate, exact_dedup, jaccard_join, language_model, packing, token_files, toxicity, url_rules, warc
+from codestrata.llm import binary_packing, chat, collocations, decontaminate, exact_dedup, importance, jaccard_join, language_model, packing
+from codestrata.llm import token_files, toxicity, url_rules, warc
 from codestrata.llm.common import table
 
-WORD_TOKENIZER = "word_bpe_49k.json"
+WORD_TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -55,6 +56,18 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(table(spark, folder, "pages"), rules)
 
 
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+def target_draw(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_words")
+
+
+def binary_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return binary_packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 WARC_SQL = """
@@ -107,6 +120,25 @@ m AS (SELECT row_id, host_r || path_r AS rule, action, row_number() OVER (PARTIT
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE nth = 1) USING (row_id)
 """
 
+PHRASE_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+  FROM (SELECT lang, unnest(string_split_regex(LOWERED, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+runs AS (SELECT lang, size, words[i:i + size - 1] AS run FROM pieces, (VALUES (1), (2), (3)) sizes(size), unnest(range(1, len(words) - size + 2)) places(i)),
+f AS (SELECT lang, size, run, count(*) AS n FROM runs GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY 1),
+c AS (SELECT lang, size, run, n AS a FROM f WHERE size > 1 AND n >= 10),
+cuts AS (SELECT c.*, k, x.n AS l, y.n AS r, (1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n) AS score
+  FROM c, (VALUES (1), (2)) ks(k)
+  JOIN f x ON x.lang = c.lang AND x.run = c.run[:k] JOIN f y ON y.lang = c.lang AND y.run = c.run[k + 1:] WHERE k < c.size),
+worst AS (SELECT lang, size, run, a, min({'score': score, 'k': k, 'l': l, 'r': r}) AS cut FROM cuts GROUP BY ALL),
+best AS (SELECT lang, size, run, a, cut.l AS l, cut.r AS r, cut.score AS score FROM worst),
+inner_ones AS (SELECT lang, run[s:s + 1] AS run, max(a) AS longer FROM c, (VALUES (1), (2)) starts(s) WHERE size = 3 GROUP BY ALL),
+kept AS (SELECT best.*, array_to_string(best.run, ' ') AS phrase FROM best LEFT JOIN inner_ones i ON i.lang = best.lang AND i.run = best.run
+  WHERE NOT coalesce(100 * i.longer >= 50 * a, false))
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n, score::BIGINT AS score
+  FROM kept JOIN total USING (lang)) WHERE rank <= 2000
+""".replace("LOWERED", LOWERED)
+
 QUERIES = {
     "op1_best_fit_packing": (best_fit_packing, None),
     "op2_token_files": (token_output, None),
@@ -118,4 +150,7 @@ QUERIES = {
     "op8_exact_dedup": (exact_copies, EXACT_SQL),
     "op9_chat_formatting": (chat_rendering, CHAT_SQL),
     "op10_url_filter": (url_filter, URL_SQL),
+    "op11_collocations": (phrases, PHRASE_SQL),
+    "op12_importance_resampling": (target_draw, None),
+    "op13_binary_packing": (binary_pieces, None),
 }

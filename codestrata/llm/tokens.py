@@ -17,7 +17,7 @@ LONG_WORD = 64             # longer words are encoded but not kept
 PLAIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 
-def _byte_characters() -> dict[int, str]:
+def byte_characters() -> dict[int, str]:
     """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in plain]
@@ -33,7 +33,7 @@ class WordEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.model, self.characters = self.library.model, _byte_characters()
+        self.model, self.characters = self.library.model, byte_characters()
         self.older: dict[bytes, bytes] = {}
 
     @property
