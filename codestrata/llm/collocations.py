@@ -29,8 +29,8 @@ from codestrata.functions.ranking import top_per_group
 from codestrata.llm.common import cut_lineage, utf8
 from codestrata.llm.shingles import FACTORS, mixed
 
-SLICE = 12 << 20                 # bytes of text sorted together
-ROUTE_BYTES, LEAST_ROUTES = 8 << 20, 48      # text that a route stands for, routes at least
+SLICE = 8 << 20                  # bytes of text sorted together
+ROUTE_BYTES, LEAST_ROUTES = 2 << 20, 96      # text that a route stands for, routes at least
 SMALL = 1 << 15                  # pointers that are sorted at once instead of being parted further
 UPPER_BYTES = {b: b + 32 for b in range(65, 91)}
 ENDS = b".,;:!?\n\x0b\x0c\r"     # what parts pieces; tab and space part words
@@ -45,7 +45,7 @@ def equal_partitions(columns: list[np.ndarray], weights: np.ndarray, least: int)
     whose weights sum to less is abandoned. Small partitions are finished by one sort over the columns not yet equal.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = [(np.arange(len(weights)), 0)]
+    waiting = [(np.arange(len(weights), dtype=np.int32), 0)]
     while waiting:
         pointers, depth = waiting.pop()
         if weights[pointers].sum() < least or not len(pointers):
@@ -82,10 +82,9 @@ def coded_words(text: bytes, separators: tuple[int, ...]) -> tuple[np.ndarray, p
     inside[[0, -1]] = False
     for s in separators:
         inside[1:-1] &= raw != s
-    starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
-    lengths = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1 - starts
+    starts = np.flatnonzero(inside[1:-1] & ~inside[:-2]).astype(np.int32)
     offsets = np.zeros(len(starts) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
+    np.cumsum(np.flatnonzero(inside[1:-1] & ~inside[2:]).astype(np.int32) + 1 - starts, out=offsets[1:])
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside[1:-1]].tobytes())])
     coded = words.dictionary_encode()
     order = pc.sort_indices(coded.dictionary)
@@ -186,11 +185,13 @@ def counted(docs: DataFrame, depth: int, least: int) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in slices(batches):
             rows = list(routed(lang, text, depth, routes))
+            pa.default_memory_pool().release_unused()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)],
                                                  ["route", "phrases", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         texts = b"".join(_unpacked(x.as_py()) for x in table.column("phrases"))
         weights = np.concatenate([np.frombuffer(_unpacked(x.as_py()), "<i8") for x in table.column("counts")])
         codes, words, starts = coded_words(texts, (32, 10))
