@@ -1,7 +1,7 @@
 """All registered queries: name -> (callable, SQL for the checking engine or None)."""
 from importlib import import_module
 
-FAMILIES = ["chunk_queries", "compare_queries", "extract_queries", "graph_queries", "intake_queries", "retrieval_queries", "stream_queries"]
+FAMILIES = ["chunk_queries", "compare_queries", "extract_queries", "graph_queries", "intake_queries", "retrieval_queries", "source_queries", "stream_queries"]
 
 
 def collect() -> dict:

@@ -6,15 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, paths, text
 from ..functions.binding import let
-
-FILE = ["analysis_id", "file_id"]
+from . import declarations
+from . import source_code as code
+from .source_code import FILE, LITERAL
 
 # Comments and string literals, longest forms first.
 COMMENT_OR_STRING = (r'//[^\n]*|/\*[\s\S]*?\*/|"""[\s\S]*?"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'")
 SCRIPT_EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".d.ts"]
 SCRIPT_INDEXES = [".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"]
-ROUTER_MAKERS = "FastAPI|APIRouter|Flask|Blueprint"
-ROUTE_METHODS = ["get", "post", "put", "patch", "delete", "head", "options", "api_view", "route"]
 
 
 def source_lines(files: DataFrame) -> DataFrame:
@@ -36,43 +35,72 @@ def mask_comments(content: Column, keep_strings: bool = False) -> Column:
     return text.replace_matches(content, COMMENT_OR_STRING, (lambda m: F.when(m.startswith("/"), blank(m)).otherwise(m)) if keep_strings else blank)
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """Import statements of Python, Java and script files.
+_NAME = r"[A-Za-z_$][\w$]*"
+# Script statements that name a module: the first group of each says which it is.
+_SCRIPT_FORMS = {
+    "clause": rf"(?<![\w$.])import\s+(type\s+(?!from\b))?([^;()=]*?)\s*\bfrom\s*({LITERAL})",
+    "reexport": rf"(?<![\w$.])export\s+(type\s+)?(\*(?:\s*as\s+{_NAME})?|\{{[^{{}}]*\}})\s*from\s*({LITERAL})",
+    "plain": rf"(?<![\w$.])import\s*()()({LITERAL})",
+    "equals": rf"(?<![\w$.])import\s+(type\s+)?({_NAME})\s*=\s*require\s*\(\s*({LITERAL})\s*\)",
+    "dynamic": r"(?<![\w$.])import\s*()()\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)",
+    "require": r"(?<![\w$.])require\s*()()\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)",
+}
+_PYTHON_LEAD = r"^\s*(?:(?:try|else|finally|(?:if|elif|except|with|for|while)\b[^:\n]*)\s*:\s*)?"
+
+
+def imports(files: DataFrame, parts: code.Parts | None = None) -> DataFrame:
+    """Import statements of Python, Java and script files, however many lines they take; text in strings and comments is none.
 
-    Columns: analysis_id, file_id, path, language, line_no, level, specifier, names, kind, type_only, dynamic.
+    Columns: analysis_id, file_id, path, language, line_no, level, specifier, names, bindings (name and alias in the file),
+    kind, type_only, dynamic, computed (the specifier is an expression and its text), import_id.
     """
-    script = F.col("language").isin("typescript", "javascript")
-    masked = files.where(F.col("language").isin("python", "java") | script).withColumn(
-        "content", F.when(F.col("language") == "java", mask_comments(F.col("content"))).when(script, mask_comments(F.col("content"), True)).otherwise(F.col("content")))
-    lines = source_lines(masked)
-
-    def rows(source: DataFrame, specifier: Column, *, level=F.lit(0), names=None, kind: str = "imports", type_only=F.lit(False), dynamic: bool = False) -> DataFrame:
-        names = F.array().cast("array<string>") if names is None else names
-        return source.select(*FILE, "path", "language", "line_no", level.cast("int").alias("level"), specifier.alias("specifier"), names.alias("names"),
-                             F.lit(kind).alias("kind"), type_only.alias("type_only"), F.lit(dynamic).alias("dynamic"))
-
-    line = F.col("line")
-    python = lines.where("language = 'python'")
-    from_form = r"^\s*from\s+(\.*)\s*([\w.]*)\s+import\s+\(?([^#)]*)"
-    listed = F.filter(F.transform(F.split(F.regexp_extract(line, from_form, 3), ","), lambda n: F.regexp_extract(n, r"^\s*(\w+|\*)", 1)), lambda n: n != "")
-    found = [rows(python.where(line.rlike(from_form)), F.regexp_extract(line, from_form, 2), level=F.length(F.regexp_extract(line, from_form, 1)), names=listed)]
-    plain = python.where(line.rlike(r"^\s*import\s+[\w.]")).withColumn("item", F.explode(F.split(F.regexp_extract(line, r"^\s*import\s+([^#;]+)", 1), ",")))
-    found.append(rows(plain, F.regexp_extract("item", r"^\s*([\w.]+)", 1)))
-    java_form = r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;"
-    found.append(rows(lines.where((F.col("language") == "java") & line.rlike(java_form)), F.regexp_extract(line, java_form, 1)))
-    scripts = lines.where(script)
-    for kind, form, clause in (("imports", r"""^\s*import\s+(type\s+)?([^'"]*?\sfrom\s+)?["']([^"']+)["']""", 2),
-                               ("reexports", r"""^\s*export\s+(type\s+)?((?:\*|\{)[^'"]*?from\s+)["']([^"']+)["']""", 2)):
-        marked = F.regexp_extract(line, form, 1) != ""
-        members = F.filter(F.split(F.regexp_extract(F.regexp_extract(line, form, clause), r"\{([^}]*)\}", 1), ","), lambda n: F.trim(n) != "")
-        all_types = (F.size(members) > 0) & F.forall(members, lambda n: F.trim(n).startswith("type "))
-        bare = F.transform(members, lambda n: F.regexp_extract(F.trim(n), r"^(?:type\s+)?([\w$]+)", 1))
-        found.append(rows(scripts.where(line.rlike(form)), F.regexp_extract(line, form, 3), kind=kind, type_only=marked | all_types, names=bare))
-    for word, dynamic in (("require", False), ("import", True)):
-        form = rf"""(?<![\w.$]){word}\s*\(\s*["']([^"']+)["']\s*\)"""
-        calls = scripts.where(line.rlike(form)).withColumn("item", F.explode(F.regexp_extract_all(line, F.lit(form), F.lit(1))))
-        found.append(rows(calls, F.col("item"), dynamic=dynamic))
-    return reduce(DataFrame.unionByName, found).withColumn("import_id", F.concat_ws("#", "file_id", "line_no", "kind", "specifier", "dynamic"))
+    no_names, no_bindings = F.array().cast("array<string>"), F.array().cast("array<struct<name:string,alias:string>>")
+
+    def rows(source: DataFrame, specifier: Column, line: Column, *, level=F.lit(0), bindings=no_bindings, kind=F.lit("imports"), type_only=F.lit(False), dynamic=F.lit(False),
+             computed=F.lit(False)) -> DataFrame:
+        return source.select(*FILE, "path", "language", line.cast("int").alias("line_no"), level.cast("int").alias("level"), specifier.alias("specifier"), bindings.alias("bindings"),
+                             kind.alias("kind"), type_only.alias("type_only"), dynamic.alias("dynamic"), computed.alias("computed"))
+
+    statements = code.python_statements(files) if parts is None else parts.statements
+    python = statements.withColumn("language", F.lit("python")).withColumn("said", F.regexp_replace(code.bare(F.col("text")), r"\\(\r?\n)", " $1"))
+    said = F.col("said")
+    from_form = _PYTHON_LEAD + r"from\s*((?:\.\s*)*)([\w.]*)\s*\bimport\b([\s\S]*)"
+    level = F.length(F.regexp_replace(F.regexp_extract(said, from_form, 1), r"\s", ""))
+    found = [rows(python.where(said.rlike(from_form)), F.regexp_extract(said, from_form, 2), F.col("line"), level=level,
+                  bindings=declarations.imported_names(F.concat(F.lit("import "), F.regexp_extract(said, from_form, 3))))]
+    plain_form = _PYTHON_LEAD + r"import\s+([\w.][\s\S]*)"
+    plain = python.where(said.rlike(plain_form)).withColumn("item", F.explode(F.split(F.regexp_extract(said, plain_form, 1), ",")))
+    found.append(rows(plain, F.regexp_extract("item", r"^\s*([\w.]+)", 1), F.col("line")))
+
+    java = (code.brace_pieces(files.where("language = 'java'"), code.JAVA_TEXT) if parts is None else parts.java).withColumn("said", code.bare(F.col("piece")))
+    java_form = r"^(\s*)import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;"
+    name = F.regexp_extract(said, java_form, 2)
+    last = F.element_at(F.split(name, r"\."), -1)
+    found.append(rows(java.where(said.rlike(java_form)), name, F.col("line") + code.breaks(code.first_of(F.col("piece"), F.regexp_extract(said, java_form, 1))),
+                      bindings=F.when(last != "*", F.array(F.struct(last.alias("name"), last.alias("alias")))).otherwise(no_bindings)))
+
+    shielded = code.shield(F.col("content"), code.SCRIPT_TEXT)
+    scripts = files.where(F.col("language").isin(code.SCRIPTS)).select(*FILE, "path", "language", shielded.alias("raw")).withColumn("said", code.bare(F.col("raw")))
+    scripts = scripts.where(said.rlike(r"\b(?:import|export|require)\b"))
+    every = "|".join(f"(?:{form})" for form in _SCRIPT_FORMS.values())
+    scripts = scripts.withColumn("hit", F.explode(F.transform(code.matches_with_places(said, every), lambda h: F.struct(
+        code.breaks(F.substring("raw", F.lit(1), h["at"])).alias("after"), h["text"].alias("text"))))).withColumn("text", F.col("hit.text"))
+    scripts = scripts.withColumn("form", F.coalesce(*[F.when(F.col("text").rlike(f"^{form}"), F.lit(kind)) for kind, form in _SCRIPT_FORMS.items()]))
+    part = lambda n: F.coalesce(*[F.when(F.col("form") == kind, F.regexp_extract("text", form, n)) for kind, form in _SCRIPT_FORMS.items()])
+    scripts = scripts.withColumn("marked", part(1) != "").withColumn("clause", part(2)).withColumn("target", F.regexp_replace(part(3), r"^\s+|\s+$", "")).where("form IS NOT NULL")
+    listed = F.filter(F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ","), lambda n: n.rlike(r"\S"))
+    all_types = (F.size(listed) > 0) & F.forall(listed, lambda n: n.rlike(r"^\s*type\s+[\w$]"))
+    member = rf"^\s*(?:type\s+)?({_NAME})(?:\s+as\s+({_NAME}))?"
+    named = F.transform(listed, lambda n: F.struct(F.regexp_extract(n, member, 1).alias("name"), F.when(F.regexp_extract(n, member, 2) == "", F.regexp_extract(n, member, 1))
+                                                   .otherwise(F.regexp_extract(n, member, 2)).alias("alias")))
+    default = F.regexp_extract("clause", rf"^\s*({_NAME})\s*(?:,|$)", 1)
+    defaults = F.when((F.col("form") == "clause") & (default != ""), F.array(F.struct(F.lit("default").alias("name"), default.alias("alias")))).otherwise(no_bindings)
+    literal = F.col("target").rlike(rf"^{LITERAL}$") & ~code.restore(F.col("target")).rlike(r"\$\{")
+    found.append(rows(scripts, F.when(literal, code.unquoted(F.col("target"))).otherwise(F.trim(code.restore(F.col("target")))), 1 + F.col("hit.after"),
+                      bindings=F.concat(defaults, named), kind=F.when(F.col("form") == "reexport", "reexports").otherwise("imports"), type_only=F.col("marked") | all_types,
+                      dynamic=F.col("form") == "dynamic", computed=~literal))
+    whole = reduce(DataFrame.unionByName, found).withColumn("names", F.coalesce(F.transform("bindings", lambda b: b["name"]), no_names))
+    return whole.withColumn("import_id", F.concat_ws("#", "file_id", "line_no", "kind", "specifier", "dynamic"))
 
 
 def _first_match(candidates: DataFrame, files: DataFrame) -> DataFrame:
@@ -149,7 +177,7 @@ def workspace_packages(files: DataFrame) -> DataFrame:
 
 def resolve_script(found: DataFrame, files: DataFrame) -> DataFrame:
     """Relative specifiers from their folder; bare ones through the workspace package of that name."""
-    scripts = found.where(F.col("language").isin("typescript", "javascript")).dropDuplicates(["analysis_id", "import_id"])
+    scripts = found.where(F.col("language").isin("typescript", "javascript") & ~F.col("computed")).dropDuplicates(["analysis_id", "import_id"])
     folder = paths.parent_directory(F.col("path"))
     near = scripts.where(F.col("specifier").startswith(".")).withColumn("target", joined_path(F.when(folder == ".", "").otherwise(folder), F.col("specifier")))
     bare = scripts.where(~F.col("specifier").startswith(".")).withColumn("package", package_root(F.col("specifier"))).join(workspace_packages(files), ["analysis_id", "package"])
@@ -174,15 +202,16 @@ def _is_local(row_packages: Column) -> Column:
 
 
 def split_unresolved(resolved: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(external edges, unresolved references) of the imports without target: local names are never invented as edges."""
+    """(external edges, unresolved references) of the imports without target: local names are never invented as edges, and a
+    computed specifier is unresolved whatever it says."""
     names = workspace_packages(files).select("analysis_id", F.col("package").alias("root"), F.lit(True).alias("ours"))
     script = F.col("language").isin("typescript", "javascript")
     root = F.when(script, package_root(F.col("specifier"))).otherwise(F.element_at(F.split("specifier", r"\."), 1))
     open_ends = resolved.where("target IS NULL").withColumn("root", root).join(names, ["analysis_id", "root"], "left")
-    local = _is_local(F.coalesce("ours", F.lit(False)))
+    local = _is_local(F.coalesce("ours", F.lit(False))) | F.col("computed")
     external = open_ends.where(~local & (F.col("root") != "")).select(*FILE, "path", "line_no", "specifier", "kind", "type_only", "dynamic", F.concat(F.lit("external:"), "root").alias("target"), "root")
     unresolved = open_ends.where(local).select(*FILE, "path", "line_no", F.concat(F.repeat(F.lit("."), F.col("level")), "specifier").alias("specifier"),
-                                              F.lit("No source target in the snapshot.").alias("reason"))
+                                              F.when(F.col("computed"), "The specifier is computed.").otherwise("No source target in the snapshot.").alias("reason"))
     return external, unresolved
 
 
@@ -193,66 +222,24 @@ def import_edges(resolved: DataFrame) -> DataFrame:
     return rows.withColumn("id", identity.edge_key(*[F.col(c) for c in ("source", "target", "kind", "file_id", "start_line", "specifier")]))
 
 
-_OUTLINE = """transform(filter(transform(lines, (l, i) -> named_struct('n', i + 1, 'indent', length(regexp_extract(l, '^([ \\\\t]*)', 1)), 't', l)),
-  x -> x.t RLIKE '^\\\\s*[^\\\\s#]'), x -> x)"""
-
-
 def python_declarations(files: DataFrame) -> DataFrame:
-    """Functions, methods and classes with their line ranges, by indentation, inside each file's row.
-
-    A declaration ends with the last code line before the next one that is indented no deeper; its decorators belong to
-    it. Functions inside functions are part of their owner.
-    """
-    lines = F.transform(text.lines_with_ends(F.col("content")), lambda l: F.regexp_replace(l, f"[{text.LINE_BREAKS}]+$", ""))
-    rows = files.where("language = 'python'").select(*FILE, "path", lines.alias("lines")).withColumn("code", F.expr(_OUTLINE))
-    heads = rows.withColumn("d", F.explode(F.expr(r"filter(code, x -> x.t RLIKE '^\\s*(async\\s+def|def|class)\\s+\\w+')")))
-    later = F.expr("filter(code, x -> x.n > d.n AND x.indent <= d.indent)")
-    stop = F.coalesce(F.get(later, F.lit(0))["n"], F.lit(2147483647))
-    heads = heads.withColumn("stop", stop).withColumn("end_line", F.expr("array_max(transform(filter(code, x -> x.n < stop), x -> x.n))"))
-    heads = heads.withColumn("above", F.expr("coalesce(array_max(transform(filter(code, x -> x.n < d.n AND NOT (x.indent = d.indent AND ltrim(x.t) LIKE '@%')), x -> x.n)), 0)"))
-    heads = heads.withColumn("start_line", F.expr("coalesce(array_min(transform(filter(code, x -> x.n > above AND x.n < d.n), x -> x.n)), d.n)"))
-    heads = heads.withColumn("owner", F.expr(r"try_element_at(filter(code, x -> x.n < d.n AND x.indent < d.indent AND x.t RLIKE '^\\s*(async\\s+def|def|class)\\s' "
-                                             r"AND NOT exists(code, y -> y.n > x.n AND y.n < d.n AND y.indent <= x.indent)), -1)"))
-    inside = F.col("owner.t").rlike(r"^\s*class\s")
-    kept = heads.where(F.col("owner").isNull() | inside)
-    name = F.regexp_extract("d.t", r"^\s*(?:async\s+def|def|class)\s+(\w+)", 1)
-    kind = F.when(F.col("d.t").rlike(r"^\s*class\s"), "class").when(inside, "method").otherwise("function")
-    return kept.select(*FILE, "path", name.alias("name"), kind.alias("kind"), "start_line", F.col("d.n").alias("head_line"), "end_line",
-                       F.substring(F.trim("d.t"), 1, 400).alias("signature"), ~name.startswith("_") .alias("exported"),
-                       F.coalesce(F.regexp_extract("owner.t", r"^\s*class\s+(\w+)", 1), F.lit("")).alias("owner"))
+    """Functions, methods and classes of Python files with their line ranges."""
+    return declarations.python(files)
 
 
 def python_routes(files: DataFrame) -> DataFrame:
-    """Route tags of decorated functions whose receiver is a router made in the same file. One row per tag."""
-    lines = source_lines(files.where("language = 'python'"))
-    made = rf"^(\w+)\s*(?::[^=]+)?=\s*(?:{ROUTER_MAKERS})\s*\((.*)$"
-    receivers = lines.where(F.col("line").rlike(made)).select(*FILE, F.regexp_extract("line", made, 1).alias("receiver"),
-                                                             F.regexp_extract(F.regexp_extract("line", made, 2), r"""(?:url_)?prefix\s*=\s*["']([^"']*)["']""", 1).alias("prefix"))
-    form = r"""^\s*@(\w+)\.(\w+)\(\s*(?:["']([^"']*)["'])?"""
-    marks = lines.where(F.col("line").rlike(form)).select(*FILE, F.col("line_no"), F.regexp_extract("line", form, 1).alias("receiver"), F.lower(F.regexp_extract("line", form, 2)).alias("method"),
-                                                         F.regexp_extract("line", form, 3).alias("route"), F.col("line").rlike(r"""\(\s*["']""").alias("literal"))
-    known = marks.where(F.col("method").isin(ROUTE_METHODS)).join(receivers, [*FILE, "receiver"])
-    inner = python_declarations(files).where("kind <> 'class'").select(*FILE, "name", "start_line", "head_line")
-    owned = known.join(inner, FILE).where("line_no >= start_line AND line_no < head_line")
-    whole = F.regexp_replace(F.concat(F.lit("/"), F.expr("trim(BOTH '/' FROM prefix)"), F.lit("/"), F.regexp_replace("route", "^/+", "")), "//+", "/")
-    path = F.when(whole == "/", "/").otherwise(F.regexp_replace(whole, "/+$", ""))
-    method = F.when(F.col("method") == "route", "ROUTE").otherwise(F.upper("method"))
-    tags = F.filter(F.array(F.lit("api-handler"), F.concat(F.lit("http:"), method), F.when(F.col("literal"), F.concat(F.lit("route:"), path))), lambda t: t.isNotNull())
-    return owned.select(*FILE, "name", F.explode(tags).alias("tag")).distinct()
+    """Route tags of Python files, one row per tag."""
+    return declarations.python_tagged(files).select(*FILE, "name", F.explode("tags").alias("tag")).distinct()
 
 
 def local_calls(files: DataFrame) -> DataFrame:
-    """Calls of a file's own top-level names, from the smallest enclosing function or the file; never to itself."""
-    declared = python_declarations(files)
-    tops = declared.where("owner = ''").select(*FILE, F.col("name").alias("callee"), F.col("start_line").alias("callee_line"))
-    code = source_lines(files.where("language = 'python'")).where(~F.col("line").rlike(r"^\s*(#|def\s|async\s+def\s|class\s|@)"))
-    used = code.select(*FILE, "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"(?<![\w.])([A-Za-z_]\w*)\s*\("), F.lit(1)))).alias("callee"))
-    hits = used.join(tops, [*FILE, "callee"])
-    homes = declared.where("kind <> 'class'").select(*FILE, F.col("name").alias("caller"), "head_line", F.col("end_line").alias("until"), F.col("start_line").alias("caller_line"))
-    around = hits.join(homes, FILE, "left").withColumn("within", F.coalesce((F.col("line_no") >= F.col("head_line")) & (F.col("line_no") <= F.col("until")), F.lit(False)))
-    best = around.groupBy(*FILE, "callee", "callee_line", "line_no").agg(
-        F.min(F.when(F.col("within"), F.struct((F.col("until") - F.col("head_line")).alias("span"), "caller_line", "caller"))).alias("home"))
-    return best.where(F.col("home").isNull() | (F.col("home.caller_line") != F.col("callee_line"))).select(*FILE, F.col("home.caller").alias("caller"), "callee", "line_no")
+    """Calls of a Python file's own top-level names, from the innermost enclosing function or the file; never to itself."""
+    own = files.where("language = 'python'")
+    parts = code.parts_of(own)
+    declared = declarations.declarations(own, parts)
+    callers = declared.select(*FILE, F.col("symbol_id").alias("source"), F.col("name").alias("caller"))
+    found = declarations.uses(parts, declarations.local_symbols(declared), declared.where("kind <> 'class'")).where("called")
+    return found.join(callers, [*FILE, "source"], "left").select(*FILE, "caller", F.col("name").alias("callee"), "line_no")
 
 
 def symbol_references(resolved: DataFrame, exported: DataFrame) -> DataFrame:
@@ -262,6 +249,24 @@ def symbol_references(resolved: DataFrame, exported: DataFrame) -> DataFrame:
     return hits.groupBy("analysis_id", "import_id", "file_id", "line_no", "name").agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1").drop("n")
 
 
+def use_edges(parts: code.Parts, resolved: DataFrame, declared: DataFrame) -> DataFrame:
+    """Edges from the symbol (or file) around each use of a name to the one symbol it stands for, in all languages.
+
+    Names are those that imports bring in and, in scripts and Python, the file's own top-level functions and classes.
+    ``calls`` where a callable is called, ``references`` for every use of an imported or script name.
+    """
+    languages = declared.select(*FILE, "language").distinct()
+    imported = declarations.imported_symbols(resolved, declared).withColumn("imported", F.lit(True))
+    local = declarations.local_symbols(declared.where("language <> 'java'")).withColumn("imported", F.lit(False))
+    local = local.join(imported.select(*FILE, "name").distinct(), [*FILE, "name"], "left_anti")
+    used = declarations.uses(parts, imported.unionByName(local), declared)
+    used = used.join(imported.select(*FILE, "name", "imported").distinct(), [*FILE, "name"], "left").join(languages, FILE, "left")
+    refers = F.coalesce("imported", F.lit(False)) | F.col("language").isin(code.SCRIPTS)
+    kinds = F.filter(F.array(F.when(refers, F.lit("references")), F.when(F.col("called") & F.col("callable"), F.lit("calls"))), lambda k: k.isNotNull())
+    edges = used.select("analysis_id", "source", F.col("symbol_id").alias("target"), F.explode(kinds).alias("kind"), "file_id", F.col("line_no").alias("start_line")).distinct()
+    return edges.withColumn("specifier", F.lit(None).cast("string")).withColumn("resolution", F.lit("resolved"))
+
+
 def module_hierarchy(files: DataFrame) -> DataFrame:
     """Every ancestor folder once, with its parent; the top folder hangs below the root module, the root below the repository."""
     above = files.select("analysis_id", F.explode(F.concat(F.array(F.lit(".")), paths.ancestors(F.col("path")))).alias("path")).distinct()
