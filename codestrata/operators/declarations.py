@@ -60,7 +60,7 @@ def python(files: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     A declaration ends with the last statement before the next one that is indented no deeper.
     """
     rows = code.python_statements(files) if statements is None else statements
-    bare = code.bare(F.col("text"))
+    bare = F.col("said")
     rows = rows.withColumn("word", F.regexp_extract(bare, HEAD, 1)).withColumn("name", F.regexp_extract(bare, HEAD, 2)).withColumn("mark", bare.rlike(r"^\s*@"))
     ordered = Window.partitionBy(*FILE).orderBy("statement")
     # Decorators and the head they stand before share the count of other statements before them.
@@ -90,7 +90,7 @@ def python(files: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     found = found.select(
         *FILE, "path", F.lit("python").alias("language"), F.col("statement").alias("place"), (F.col("stop_at") - 1).alias("end_place"), F.col("indent").alias("level"), "name", kind.alias("kind"), F.col("first.line").alias("start_line"),
         F.col("line").alias("head_line"), F.col("end.end_line").alias("end_line"), F.col("first.byte").alias("start_byte"), F.col("end.end_byte").alias("end_byte"),
-        _signature(code.bare(F.col("text"))).alias("signature"), (~F.col("name").startswith("_")).alias("exported"),
+        _signature(F.col("said")).alias("signature"), (~F.col("name").startswith("_")).alias("exported"),
         F.coalesce(owner["name"], F.lit("")).alias("owner"), owner_id.alias("owner_id"), "decorators")
     return found.withColumn("symbol_id", _symbol())
 
@@ -98,7 +98,7 @@ def python(files: DataFrame, statements: DataFrame | None = None) -> DataFrame:
 def python_tagged(files: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     """Declarations with route tags. A receiver counts only if the file makes it from a router class at its top level."""
     rows = code.python_statements(files) if statements is None else statements
-    bare = code.bare(F.col("text"))
+    bare = F.col("said")
     made = rf"^(\w+)\s*(?::[^=]+)?=\s*(?:{ROUTER_MAKERS})\s*\("
     prefix = F.regexp_extract(bare, rf"\b(?:url_)?prefix\s*=\s*({LITERAL})", 1)
     receivers = rows.where((F.col("indent") == 0) & bare.rlike(made)).groupBy(*FILE, F.regexp_extract(bare, made, 1).alias("receiver")).agg(F.max_by(code.unquoted(prefix), "statement").alias("prefix"))
@@ -126,7 +126,7 @@ def python_tagged(files: DataFrame, statements: DataFrame | None = None) -> Data
 
 def django_routes(statements: DataFrame) -> DataFrame:
     """Calls of path() and re_path() from django.urls with a literal route, each a symbol of kind ``route``."""
-    bare = code.bare(F.col("text"))
+    bare = F.col("said")
     helpers = statements.where(bare.rlike(r"^\s*from\s+django\.urls\s+import\b")).select(*FILE, F.explode(imported_names(bare)).alias("item"))
     helpers = helpers.where(F.col("item.name").isin("path", "re_path")).select(*FILE, F.col("item.alias").alias("helper")).distinct()
     calls = rf"(?<![\w.])\w+\s*\(\s*{LITERAL}"
@@ -159,7 +159,6 @@ def java(files: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
     before those of its methods. Value braces in annotations are no blocks.
     """
     found = code.blocks(code.brace_pieces(files.where("language = 'java'"), code.JAVA_TEXT) if pieces is None else pieces)
-    found = found.withColumn("bare", code.bare(F.col("head")))
     types = found.where(F.col("bare").rlike(_JAVA_TYPE)).withColumn("prefix", F.regexp_extract("bare", _JAVA_TYPE, 1)).withColumn("skipped", code.first_of(F.col("head"), F.col("prefix")))
     mapping = rf"^[\s\S]*{_JAVA_MAPPING}"
     base = F.regexp_extract("prefix", mapping, 2)
@@ -219,8 +218,7 @@ def scripts(files: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
     own = files.where(F.col("language").isin(code.SCRIPTS))
     pieces = code.brace_pieces(own, code.SCRIPT_TEXT) if pieces is None else pieces
     blocks = code.blocks(pieces)
-    heads = blocks.withColumn("bare", code.bare(F.col("head")))
-    heads = heads.withColumn("form", F.coalesce(*[F.when(F.col("bare").rlike(form), F.lit(kind)) for kind, form in _SCRIPT_HEADS.items()]))
+    heads = blocks.withColumn("form", F.coalesce(*[F.when(F.col("bare").rlike(form), F.lit(kind)) for kind, form in _SCRIPT_HEADS.items()]))
     part = lambda n: F.coalesce(*[F.when(F.col("form") == kind, F.regexp_extract("bare", form, n)) for kind, form in _SCRIPT_HEADS.items()])
     named = heads.where("form IS NOT NULL").withColumn("prefix", part(1)).withColumn("marks", part(2)).withColumn("name", part(3))
     named = named.withColumn("kind", F.when(F.col("form") == "arrow", "function").otherwise(F.col("form"))).withColumn("name", F.when(F.col("name") == "", "default").otherwise(F.col("name")))
@@ -240,7 +238,7 @@ def scripts(files: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
         *FILE, "path", "language", F.col("seq").alias("place"), F.col("end_seq").alias("end_place"), F.col("depth").alias("level"), "name", "kind", "marks", (F.col("line") + code.breaks(F.col("skipped"))).alias("start_line"), "end_line",
         (F.col("byte") + code.byte_length(F.col("skipped"))).alias("start_byte"), "end_byte", F.expr("substring(bare, length(prefix) + 1)").alias("text"), "owner", "owner_id")
 
-    lines = pieces.where(F.col("depth") == 0).withColumn("bare", code.bare(F.col("piece"))).where(F.col("bare").rlike(_ONE_LINERS))
+    lines = pieces.where(F.col("depth") == 0).withColumnRenamed("said", "bare").where(F.col("bare").rlike(_ONE_LINERS))
     lines = lines.select(*FILE, "path", "language", "seq", "piece", "bare", "line", "byte", F.posexplode(code.matches_with_places(F.col("bare"), _ONE_LINERS)).alias("nth", "hit"))
     # A declaration whose line ends with the piece's opening brace is that block's; the last one of a piece ends with it.
     lines = lines.withColumn("to_end", F.col("hit.at") + F.length("hit.text") >= F.length(F.regexp_replace("bare", r"\s+$", "")))
@@ -278,7 +276,7 @@ def script_tagged(files: DataFrame, pieces: DataFrame | None = None) -> DataFram
     pieces = code.brace_pieces(own, code.SCRIPT_TEXT) if pieces is None else pieces
     declared = cut_lineage(scripts(files, pieces))
     # Markup inside a function whose name begins with a capital makes it a component.
-    markup = pieces.withColumn("bare", code.bare(F.col("piece"))).where(F.col("path").rlike(r"(?i)\.[jt]sx$|\.js$") & F.col("bare").rlike(r"(?:\breturn|\(|=>|&&|\?|:)\s*<(?:[A-Za-z][\w.$]*|(?=>))"))
+    markup = pieces.where(F.col("path").rlike(r"(?i)\.[jt]sx$|\.js$") & F.col("said").rlike(r"(?:\breturn|\(|=>|&&|\?|:)\s*<(?:[A-Za-z][\w.$]*|(?=>))"))
     drawn = code.enclosing(markup.select(*FILE, F.col("seq").alias("at")), spans_of(declared.where("kind = 'function'"))).where("span IS NOT NULL")
     drawn = drawn.select(*FILE, F.col("span.symbol_id").alias("symbol_id")).distinct().withColumn("draws", F.lit(True))
     found = declared.join(drawn, [*FILE, "symbol_id"], "left")
@@ -332,10 +330,9 @@ def uses(parts: code.Parts, names: DataFrame, declared: DataFrame) -> DataFrame:
     else the file). Only names a file knows are rows; declarations' own names and import statements are no uses.
     """
     known = names.groupBy(*FILE).agg(F.collect_set("name").alias("known"))
-    statements = parts.statements.where(~code.bare(F.col("text")).rlike(r"^\s*(?:from|import)\b"))
-    rows = [statements.select(*FILE, F.lit("python").alias("form"), F.col("statement").alias("at"), "line", F.col("text").alias("raw"), code.bare(F.col("text")).alias("said"))]
+    statements = parts.statements.where(~F.col("said").rlike(r"^\s*(?:from|import)\b"))
+    rows = [statements.select(*FILE, F.lit("python").alias("form"), F.col("statement").alias("at"), "line", F.col("text").alias("raw"), "said")]
     for form, pieces in (("java", parts.java), ("script", parts.scripts)):
-        pieces = pieces.withColumn("said", code.bare(F.col("piece")))
         pieces = pieces.where(~F.col("said").rlike(r"^\s*(?:import|package)\b[^;]*;")) if form == "java" else pieces
         rows.append(pieces.select(*FILE, F.lit(form).alias("form"), F.col("seq").alias("at"), "line", F.col("piece").alias("raw"), "said"))
     spread = reduce(DataFrame.unionByName, rows).join(known, FILE)

@@ -62,7 +62,7 @@ def imports(files: DataFrame, parts: code.Parts | None = None) -> DataFrame:
                              kind.alias("kind"), type_only.alias("type_only"), dynamic.alias("dynamic"), computed.alias("computed"))
 
     statements = code.python_statements(files) if parts is None else parts.statements
-    python = statements.withColumn("language", F.lit("python")).withColumn("said", F.regexp_replace(code.bare(F.col("text")), r"\\(\r?\n)", " $1"))
+    python = statements.withColumn("language", F.lit("python")).withColumn("said", F.regexp_replace("said", r"\\(\r?\n)", " $1"))
     said = F.col("said")
     from_form = _PYTHON_LEAD + r"from\s*((?:\.\s*)*)([\w.]*)\s*\bimport\b([\s\S]*)"
     level = F.length(F.regexp_replace(F.regexp_extract(said, from_form, 1), r"\s", ""))
@@ -72,7 +72,7 @@ def imports(files: DataFrame, parts: code.Parts | None = None) -> DataFrame:
     plain = python.where(said.rlike(plain_form)).withColumn("item", F.explode(F.split(F.regexp_extract(said, plain_form, 1), ",")))
     found.append(rows(plain, F.regexp_extract("item", r"^\s*([\w.]+)", 1), F.col("line")))
 
-    java = (code.brace_pieces(files.where("language = 'java'"), code.JAVA_TEXT) if parts is None else parts.java).withColumn("said", code.bare(F.col("piece")))
+    java = code.brace_pieces(files.where("language = 'java'"), code.JAVA_TEXT) if parts is None else parts.java
     java_form = r"^(\s*)import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;"
     name = F.regexp_extract(said, java_form, 2)
     last = F.element_at(F.split(name, r"\."), -1)

@@ -98,8 +98,8 @@ def matches_with_places(value: Column, pattern: str) -> Column:
 def python_statements(files: DataFrame) -> DataFrame:
     """Logical statements: brackets and backslashes join lines, semicolons part them, strings never end one.
 
-    Columns: analysis_id, file_id, path, statement, text (shielded), line, end_line, byte, end_byte, indent (null after a
-    semicolon). Blank lines and lines of comments are no statements; a docstring is one. In text whose brackets do not
+    Columns: analysis_id, file_id, path, statement, text (shielded), said (bare), line, end_line, byte, end_byte, indent (null
+    after a semicolon). Blank lines and lines of comments are no statements; a docstring is one. In text whose brackets do not
     match, a statement ends with the first line that closes as many as are open.
     """
     shielded = shield(F.col("content"), PYTHON_TEXT)
@@ -115,8 +115,8 @@ def python_statements(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("statement", F.sum("begins").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda p: p["piece"]), "")
     found = rows.groupBy(*FILE, "path", "statement").agg(whole.alias("text"), F.min("line").alias("line"), F.min("byte").alias("byte"), F.min_by("starts_line", "seq").alias("starts_line"))
-    found = found.withColumn("bare", F.regexp_replace(bare(F.col("text")), r"[\s;]+$", "")).where("bare <> ''")
-    return found.select(*FILE, "path", "statement", "text", "line", (F.col("line") + breaks(first_of(F.col("text"), F.col("bare")))).alias("end_line"), "byte",
+    found = found.withColumn("said", bare(F.col("text"))).withColumn("bare", F.regexp_replace("said", r"[\s;]+$", "")).where("bare <> ''")
+    return found.select(*FILE, "path", "statement", "text", "said", "line", (F.col("line") + breaks(first_of(F.col("text"), F.col("bare")))).alias("end_line"), "byte",
                         (F.col("byte") + byte_length(F.col("text"))).alias("end_byte"),
                         F.when(F.col("starts_line"), F.length(F.regexp_extract("text", r"^([ \t]*)", 1))).alias("indent"))
 
@@ -142,7 +142,7 @@ _VALUE_BRACES = r"(?<=[(,=:\[?|&<]\s{0,20}|\b(?:import|export|type)\s{0,20})\{([
 
 
 def brace_pieces(files: DataFrame, pattern: str) -> DataFrame:
-    """Pieces that end with a brace or semicolon, with line, byte and brace depth of their start; value braces part nothing."""
+    """Pieces that end with a brace or semicolon, with line, byte and brace depth of their start and their bare text (``said``); value braces part nothing."""
     shielded = shield(F.col("content"), pattern)
     for _ in range(4):
         shielded = F.regexp_replace(shielded, _VALUE_BRACES, f"{_IN_VALUE[0]}$1{_IN_VALUE[1]}")
@@ -150,13 +150,13 @@ def brace_pieces(files: DataFrame, pattern: str) -> DataFrame:
     rows = with_places(files, pieces, ["path", "language"])
     step = F.when(F.col("piece").endswith("{"), 1).when(F.col("piece").endswith("}"), -1).otherwise(0)
     before = Window.partitionBy(*FILE).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("depth", F.coalesce(F.sum(step).over(before), F.lit(0)).cast("int"))
+    return rows.withColumn("depth", F.coalesce(F.sum(step).over(before), F.lit(0)).cast("int")).withColumn("said", bare(F.col("piece")))
 
 
 def blocks(pieces: DataFrame) -> DataFrame:
     """Every block with its head (the piece before its brace), where it ends, and its parent block.
 
-    Columns: analysis_id, file_id, path, language, seq, head, line, byte, depth, end_seq, end_line, end_byte, parent.
+    Columns: analysis_id, file_id, path, language, seq, head, bare, line, byte, depth, end_seq, end_line, end_byte, parent.
     In the sweep of a depth, the row after an opening brace is the closing one; a block that is never closed ends with the
     file.
     """
@@ -176,7 +176,7 @@ def blocks(pieces: DataFrame) -> DataFrame:
     after = F.lead(F.when(~F.col("opens"), F.struct("seq", "stop_line", "stop_byte"))).over(sweep)
     closed = closed.withColumn("end", F.coalesce(after, F.col("last"))).where("opens").drop("parent")
     return closed.join(asked, [*FILE, "seq"]).select(
-        *FILE, "path", "language", "seq", F.regexp_replace("piece", r"\{$", "").alias("head"), "line", "byte", "depth",
+        *FILE, "path", "language", "seq", F.regexp_replace("piece", r"\{$", "").alias("head"), F.regexp_replace("said", r"\{$", "").alias("bare"), "line", "byte", "depth",
         F.col("end.seq").alias("end_seq"), F.col("end.stop_line").alias("end_line"), F.col("end.stop_byte").alias("end_byte"), "parent")
 
 
