@@ -175,8 +175,10 @@ def dedup(docs: DataFrame, generation: Column) -> DataFrame:
 def by_arrival(docs: DataFrame, batches: int) -> Column:
     """A generation from 0 to ``batches`` - 1 for every row: equal ranges of doc_id, older ids first; null ids come first."""
     ends = docs.agg(F.min(F.col("doc_id").cast("long")).alias("low"), F.max(F.col("doc_id").cast("long")).alias("high")).first()
-    low, span = ends["low"] or 0, max(1, (ends["high"] or 0) - (ends["low"] or 0) + 1)
-    return F.floor((F.col("doc_id").cast("long") - low) * batches / span).cast("int")
+    low, span = ends["low"] or 0, (ends["high"] or 0) - (ends["low"] or 0) + 1
+    wide = lambda number: F.lit(str(number)).cast("decimal(38,0)")  # noqa: E731  ids of both signs may lie 2**64 apart
+    past = F.col("doc_id").cast("long").cast("decimal(38,0)") - wide(low)
+    return F.when(F.col("doc_id").isNotNull(), F.least(F.floor(past * F.lit(batches) / wide(span)), F.lit(batches - 1))).cast("int")
 
 
 def keep_one(docs: DataFrame, batches: int = 4) -> DataFrame:

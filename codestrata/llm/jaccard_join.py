@@ -7,7 +7,7 @@ different ways, and a cost model on the histogram of set sizes draws the boundar
   every m it may link to; sets of sizes n and m link exactly if some subset key (n, m, subset) is common to both. All sets
   of a key are linked, so each is tied to the first set of either size and no pair is enumerated.
 * Large sets, and small ones that may link to them, enter inverted lists with a prefix of their shingles, rarest first; a
-  link always shares a shingle of both prefixes. Rarity comes from a count sketch of fixed size over all documents; it only
+  link always shares a shingle of both prefixes. Which shingles are common comes from a bounded sample of documents; that only
   orders, so its errors cost time and never a link.
 
 Lists are scanned where they meet, in one pass per bucket of shingles; what stays are the postings of shingles that two nodes
@@ -19,15 +19,15 @@ copies costs its size and not its square, and no link between components is lost
 
 Results for odd input: null text is an empty text; texts without words have an empty set, which links with nothing; a text
 with fewer words than a shingle has its whole word sequence as its one shingle; documents with equal sets link; rows with
-one doc_id are one document in the result of ``keep_one`` and separate rows in ``groups``; a null doc_id is never a
+one doc_id are separate rows in ``groups``, and ``keep_one`` decides for each doc_id and set; a null doc_id is never a
 component's name unless all its doc_ids are null; an empty table gives no rows; columns besides doc_id and text are not read.
 """
-import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +37,14 @@ from codestrata.llm.components import components
 from codestrata.llm.shingles import mixed, shingle_set
 
 THRESHOLD = (3, 4)             # numerator, denominator
-CELL_BITS = 25                 # the rarity sketch has 2**CELL_BITS counters of a byte; a task's own stop at 255
-CELLS_ROW = 1 << 16            # counters to a row while sketches are added up
+SAMPLE_DOCUMENTS = 20_000      # documents from which common shingles are told
+COMMON_SHINGLES = 1 << 18      # that many of them at most
 BUCKET_POSTINGS = 2_000_000
 BITMAP_BITS = 1 << 26
 CHUNK_POSTINGS = 250_000       # postings a bucket's task takes up at once
 LIST_COST = 4                  # what one posting costs against one subset key
 LARGEST_SMALL = 12             # the boundary is sought up to this size
+Common = tuple[np.ndarray, np.ndarray]      # sorted shingles and their levels
 
 
 def needed(n: int, m: int, threshold: tuple[int, int] = THRESHOLD) -> int:
@@ -100,53 +101,47 @@ def node_of(members: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(members.tobytes()) & 0x7FFFFFFFFFFFFFFF
 
 
-def sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
-    """One pass: (doc_id, node, n) of every document as a written table, and how common the shingles of each cell are.
+def sizes_of(docs: DataFrame) -> tuple[DataFrame, Common]:
+    """One pass: (doc_id, node, n) of every document as a written table, and which shingles are common.
 
-    A cell's level is the logarithm of its count over all documents. A task's counters leave it once, as rows that carry
-    -1 for n; they are added up by cell range, a row at a time, and only levels come to the driver.
+    Shingles are counted in at most ``SAMPLE_DOCUMENTS`` documents, drawn by the hash of their set; those met at least twice,
+    ``COMMON_SHINGLES`` at most, get the logarithm of their count as their level, all others are rare. The levels only order
+    a document's shingles, so what the sample misses costs time and never a link.
     """
+    share = SAMPLE_DOCUMENTS / max(1, docs.count())
+    limit = np.uint64(min(share, 1.0) * 0xFFFFFFFF)
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.uint8)
-        kinds = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+        kinds = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
         for some in utf8_slices(batches):
-            nodes, sizes, held = [], [], []
+            nodes, sizes, drawn = [], [], [np.zeros(0, np.uint64)]
             for text in some.column(1).to_pylist():
                 members = shingle_set(text)
                 nodes.append(node_of(members) if len(members) else None)
                 sizes.append(len(members))
-                held.append(members)
-            cells, times = np.unique(_cells(np.concatenate(held)), return_counts=True)
-            counts[cells] = np.minimum(255, counts[cells] + np.minimum(times, 255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.binary())], schema=kinds)
-        parts = counts.reshape(-1, CELLS_ROW)
-        rows = np.flatnonzero(parts.any(axis=1)).tolist()
-        for at in range(0, len(rows), 16):
-            some = rows[at:at + 16]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([-1] * len(some), pa.int64()),
-                                              pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some])], schema=kinds)
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                more = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint8)
-                totals[at] = totals.get(at, np.zeros(CELLS_ROW, np.int64)) + more
-        levels = [zlib.compress(np.floor(np.log2(np.maximum(c, 1))).astype(np.uint8).tobytes(), 1) for c in totals.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(levels, pa.binary()), pa.array([int(c.sum()) for c in totals.values()], pa.int64())], ["part", "levels", "total"])
+                if len(members) and mixed(np.array([nodes[-1]], np.uint64))[0] & np.uint64(0xFFFFFFFF) <= limit:
+                    drawn.append(members)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.int64())], schema=kinds)
+            met, times = np.unique(np.concatenate(drawn), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(met), pa.int64()), pa.nulls(len(met), pa.int64()), pa.array(-times), pa.array(met.view(np.int64))], schema=kinds)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    made = cut_lineage(rows.mapInArrow(sets, "doc_id long, node long, n long, counts binary"))
-    cells = made.filter("n < 0").select("node", "counts").repartition(F.col("node")).mapInArrow(added, "part long, levels binary, total long")
-    rarity, total = np.zeros((1 << CELL_BITS) // CELLS_ROW * CELLS_ROW, np.uint8).reshape(-1, CELLS_ROW), 0
-    for row in cells.collect():                     # 2**CELL_BITS bytes in all, whatever the corpus
-        rarity[row["part"]] = np.frombuffer(zlib.decompress(row["levels"]), np.uint8)
-        total += row["total"]
-    return made.filter("n >= 0").select("doc_id", "node", "n"), rarity.ravel(), total
+    made = cut_lineage(rows.mapInArrow(sets, "doc_id long, node long, n long, shingle long"))
+    counts = made.filter("n < 0").groupBy("shingle").agg((-F.sum("n")).alias("times")).filter("times > 1")
+    most = counts.orderBy(F.desc("times"), "shingle").limit(COMMON_SHINGLES).toArrow()           # at most COMMON_SHINGLES rows
+    shingles = most.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    levels = np.log2(most.column("times").to_numpy().astype(np.float64))[order].astype(np.uint8)
+    return made.filter("n >= 0").select("doc_id", "node", "n"), (shingles[order], levels)
 
 
-def _cells(members: np.ndarray) -> np.ndarray:
-    return (members >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def level_of(members: np.ndarray, common: Common) -> np.ndarray:
+    """How common each shingle is; 0 for all that the sample met once or never."""
+    shingles, levels = common
+    if not len(shingles):
+        return np.zeros(len(members), np.uint8)
+    at = np.minimum(np.searchsorted(shingles, members), len(shingles) - 1)
+    return np.where(shingles[at] == members, levels[at], np.uint8(0))
 
 
 def _needed(n: Column, m: Column, threshold: tuple[int, int] = THRESHOLD) -> Column:
@@ -161,18 +156,16 @@ def common_needed(n: Column, m: Column, threshold: tuple[int, int] = THRESHOLD)
     return _needed(n, m) - F.ceil(p * F.greatest(n, m) / q) + 1
 
 
-def postings(docs: DataFrame, levels: np.ndarray, small: int, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, common: Common, small: int, buckets: int) -> DataFrame:
     """Packed (token, node, n with the place in the prefix) triples by bucket: prefixes of large sets and of small ones near the boundary, and subset keys.
 
     Subset keys carry -n, so that a list knows them: their lists are complete once tied to the first set of each size.
     """
     crossing = _crossing(small)
-    # 2**CELL_BITS bytes at most.
-    sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1))
+    sent = docs.sparkSession.sparkContext.broadcast(common)       # nine bytes for each of COMMON_SHINGLES at most
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        rarity = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for some in utf8_slices(batches):
             tokens, nodes, sizes = [], [], []
             for text in some.column(0).to_pylist():
@@ -185,7 +178,7 @@ def postings(docs: DataFrame, levels: np.ndarray, small: int, buckets: int) -> D
                     seen.add(node)
                 found = []
                 if n > small or n in crossing:
-                    level = rarity[_cells(members)]
+                    level = level_of(members, sent.value)
                     found.append((members[np.argsort(level, kind="stable")[:prefix_length(n)]], n))
                 if n <= small:
                     found.append((np.unique(_subset_tokens(members, small)), -n))
@@ -318,11 +311,12 @@ def _pair(a: str, b: str) -> list[Column]:
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents as doc_id, node, n; components as node, component of the nodes that link to another)."""
     spark = docs.sparkSession
-    known, rarity, total = sketch(docs)
+    known, common = sizes_of(docs)
+    total = known.agg(F.sum("n")).first()[0] or 0
     sizes = known.filter(F.col("n").between(1, 2 * LARGEST_SMALL)).groupBy("n").agg(F.approx_count_distinct("node").alias("c"))
     small = boundary({r["n"]: r["c"] for r in sizes.collect()})
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (3 * BUCKET_POSTINGS) + 1)
-    lists = shared(postings(docs, rarity, small, buckets), buckets).withColumn("subset", F.col("n") < 0)
+    lists = shared(postings(docs, common, small, buckets), buckets).withColumn("subset", F.col("n") < 0)
     lists = cut_lineage(lists.withColumn("n", F.abs("n")))
     plain = lists.filter("NOT subset").drop("subset")
     needs = common_needed(F.col("n"), F.col("m"))
@@ -385,7 +379,32 @@ def groups(docs: DataFrame) -> DataFrame:
     return known.join(names, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def with_node(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the node of each text's shingle set in a new column ``name``; null for texts without words."""
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        sets = (shingle_set(text) for text in texts)
+        return pd.Series([node_of(s) if len(s) else None for s in sets], dtype="Int64")
+    return docs.withColumn(name, node(utf8("text")))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with all columns; of each group only the document whose doc_id names the component."""
-    drop = cut_lineage(groups(docs)).filter("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_d"], "left_anti")
+    """docs with all columns; one row of each group: of the rows with the smallest known doc_id, the one of the smallest node.
+
+    Rows are told apart by doc_id and shingle set, so an id that stands for several texts is decided for each of them; of rows
+    equal in both one stays. Where all ids of a group are null, a row of the smallest node stays. Texts without words stay.
+    """
+    known, found = links(docs)
+    members = known.filter("node IS NOT NULL").groupBy("doc_id", "node").agg(F.count("*").alias("rows")).join(found, "node", "left")
+    members = cut_lineage(members.withColumn("component", F.coalesce("component", "node")))
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    decided = members.join(first, "component").select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"), "rows", stays.alias("stays"))
+    name = "_node"
+    while name in docs.columns:
+        name += "_"
+    marked = with_node(docs, name)
+    marked, same = marked.alias("m"), F.col("m.doc_id").eqNullSafe(F.col("k._d")) & (F.col(f"m.{name}") == F.col("k._n"))
+    once = marked.join(decided.filter("NOT stays OR rows > 1").alias("k"), same, "left_anti")
+    repeated = marked.join(decided.filter("stays AND rows > 1").alias("k"), same, "left_semi").dropDuplicates(["doc_id", name])
+    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

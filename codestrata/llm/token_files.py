@@ -170,7 +170,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     ids = pd.array(file.doc_ids[some:some + 50_000], dtype="Int64")
                     ids[file.null[some:some + 50_000]] = pd.NA
                     yield pd.DataFrame({"doc_id": ids, "start": edges[:-1] + first, "n_tokens": np.diff(edges), "ids_crc32": sums})
-    tasks = manifest.select("uri", "first").repartition(F.col("uri"))
+    # A task for each file: the manifest is small, but each of its rows stands for a file.
+    tasks = manifest.select("uri", "first").repartition(max(1, manifest.count()), "uri")
     return tasks.mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

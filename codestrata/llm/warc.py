@@ -125,7 +125,9 @@ def read(selected: DataFrame, payloads: bool = True) -> DataFrame:
                             rows.append((page, urls[at], len(payload) if response else None, digest, fields["WARC-Type"], other, payload if payloads else None))
                         found = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"], dtype="object")
                         yield found.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
-    tasks = selected.select("uri", "offset", "length", "url").repartition(F.col("uri")).sortWithinPartitions("uri", "offset")
+    # As many tasks as archives: the index is small, but its rows stand for their records.
+    archives = max(1, selected.agg(F.count_distinct("uri")).first()[0])
+    tasks = selected.select("uri", "offset", "length", "url").repartition(archives, "uri").sortWithinPartitions("uri", "offset")
     return tasks.mapInPandas(fetch, RECORD)
 
 

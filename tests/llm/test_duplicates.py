@@ -137,3 +137,30 @@ def test_chains_become_one_component(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     found = {r.node: r.component for r in components(chain).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_an_id_with_two_texts_loses_no_group(odd_rows):
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(5, " ".join(a)), (7, " ".join(a + ["more"])), (None, " ".join(a + ["more"])), (3, " ".join(b)), (5, " ".join(b + ["more"])), (None, "c d e f g h"), (None, "c d e f g h"), (9, None), (9, "")]
+    kept = jaccard_join.keep_one(odd_rows(rows)).select("doc_id", "text").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([rows[0], rows[3], rows[5], rows[7], rows[8]], key=str)
+
+
+def test_only_shingles_the_sample_meets_twice_are_common(odd_rows, monkeypatch):
+    texts = [(i, f"same words in every line {i} x{i} y{i} z{i}") for i in range(30)]
+    _, (shingles, levels) = jaccard_join.sizes_of(odd_rows(texts))
+    assert len(shingles) == 1 and levels.tolist() == [4]
+    assert jaccard_join.level_of(np.array([shingles[0], 1], np.uint64), (shingles, levels)).tolist() == [4, 0]
+    monkeypatch.setattr(jaccard_join, "SAMPLE_DOCUMENTS", 0)
+    _, (none, _) = jaccard_join.sizes_of(odd_rows(texts))
+    assert len(none) == 0
+
+
+def test_ids_of_any_width_fall_into_batches(odd_rows):
+    rows = [(i, f"t{i % 3}") for i in (-2**63, -2**62, -5, 0, 7, 2**62, 2**63 - 1)] + [(None, "t0")]
+    docs = odd_rows(rows)
+    batches = [r.g for r in docs.select("doc_id", exact_dedup.by_arrival(docs, 4).alias("g")).orderBy("doc_id").collect()]
+    assert batches[0] is None and batches[1:] == sorted(batches[1:]) and set(batches[1:]) == {0, 1, 2, 3}
+    kept = {r.doc_id for r in exact_dedup.keep_one(docs).collect()}
+    want = {max((i for i, t in rows if i is not None and t == text)) for text in {t for _, t in rows}}
+    assert kept == want
