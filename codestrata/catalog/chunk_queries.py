@@ -164,12 +164,13 @@ def o5_warnings(spark, folder):
     nodes, edges = b.graph(spark, folder)
     files = nodes.where("kind = 'file'").withColumn("redacted", F.col("path").contains(".test."))
     diagnostics = edges.where("type_only").select("analysis_id", "ord", F.concat(F.lit("Odd import in "), "file_id").alias("message"))
-    return overview.snapshot_warnings(files, diagnostics, edges.where("kind = 'calls' AND start_line = 1"))
+    return overview.snapshot_warnings(files, diagnostics, edges.where("kind = 'calls' AND start_line = 1"), limit=100)
 
 
-O5_WARNINGS_SQL = b.with_graph("""SELECT analysis_id, concat('Secret-like content redacted: ', path) AS warning FROM nodes WHERE kind = 'file' AND path LIKE '%.test.%'
+O5_WARNINGS_SQL = b.with_graph("""SELECT analysis_id, concat('Secrets were masked in ', path) AS warning FROM nodes WHERE kind = 'file' AND path LIKE '%.test.%'
 UNION SELECT analysis_id, concat('Odd import in ', file_id) FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY ord, concat('Odd import in ', file_id)) AS r FROM edges WHERE type_only) x WHERE r <= 100
-UNION SELECT analysis_id, concat(count(*), ' unresolved static references; no edges were invented for them.') FROM edges WHERE kind = 'calls' AND start_line = 1 GROUP BY analysis_id""")
+UNION SELECT analysis_id, concat(count(*) - 100, ' more diagnostics are not listed.') FROM edges WHERE type_only GROUP BY analysis_id HAVING count(*) > 100
+UNION SELECT analysis_id, concat(count(*), ' references have no target; none was made up.') FROM edges WHERE kind = 'calls' AND start_line = 1 GROUP BY analysis_id""")
 
 QUERIES = {
     "c1_region_select": (c1, None), "c2_uncovered_runs": (c2, C2_SQL), "c3_size_split": (c3, None), "c3_chunk_reconstruction": (c3_rebuilt, C3_SQL),

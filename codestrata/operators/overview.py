@@ -106,9 +106,16 @@ def snapshot_counts(files: DataFrame, nodes: DataFrame, edges: DataFrame, chunks
 
 
 def snapshot_warnings(files: DataFrame, diagnostics: DataFrame, unresolved: DataFrame, limit: int | None = None) -> DataFrame:
-    """Distinct warnings: redacted files, all diagnostics or the first ``limit``, the number of unresolved references."""
-    redacted = files.where("redacted").select("analysis_id", F.concat(F.lit("Secret-like content redacted: "), "path").alias("warning"))
-    first = top_per_group(diagnostics, ["analysis_id"], [F.col("ord"), F.col("message")], limit).select("analysis_id", F.col("message").alias("warning"))
+    """Distinct warnings: redacted files, diagnostics, the number of unresolved references.
+
+    With a ``limit`` the first diagnostics of each snapshot are listed and one warning tells how many are not.
+    """
+    redacted = files.where("redacted").select("analysis_id", F.concat(F.lit("Secrets were masked in "), "path").alias("warning"))
+    told = diagnostics.select("analysis_id", F.col("message").alias("warning"))
+    if limit is not None:
+        told = top_per_group(diagnostics, ["analysis_id"], [F.col("ord"), F.col("message")], limit).select("analysis_id", F.col("message").alias("warning"))
+        rest = diagnostics.groupBy("analysis_id").agg((F.count("*") - limit).alias("n")).where("n > 0")
+        told = told.unionByName(rest.select("analysis_id", F.concat("n", F.lit(" more diagnostics are not listed.")).alias("warning")))
     open_ends = unresolved.groupBy("analysis_id").agg(F.count("*").alias("n")).select(
-        "analysis_id", F.concat("n", F.lit(" unresolved static references; no edges were invented for them.")).alias("warning"))
-    return redacted.unionByName(first).unionByName(open_ends).distinct()
+        "analysis_id", F.concat("n", F.lit(" references have no target; none was made up.")).alias("warning"))
+    return redacted.unionByName(told).unionByName(open_ends).distinct()
