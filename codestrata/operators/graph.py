@@ -265,6 +265,7 @@ def dependency_facts(nodes: DataFrame, edges: DataFrame, files: DataFrame, reque
     facts = cited.select("request_id", "number", sentence.alias("text"), F.lit("fact").alias("block_kind"),
                          F.when(F.col("citation").isNotNull(), F.concat(F.lit("G"), "number")).alias("citation"))
     names = requests.join(nodes.select("analysis_id", F.col("id").alias("node_id"), "name"), ["analysis_id", "node_id"])
+    # Fixed text: the sentence users are shown.
     empty = names.join(facts.select("request_id").distinct(), "request_id", "left_anti").select(
         "request_id", F.lit(1).alias("number"),
         F.concat(F.lit(f"No resolved {direction} were found for "), "name",

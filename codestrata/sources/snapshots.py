@@ -19,13 +19,18 @@ def clean_member(name: Column) -> Column:
     return let(name, lambda n: F.when(~unsafe_member(n), let(F.filter(F.split(n, "/"), lambda p: ~p.isin("", ".")), rest)))
 
 
-def scan_directory(spark: SparkSession, root: str, analysis_id: str) -> DataFrame:
-    """Eligible files below a folder as (analysis_id, path, raw, ord); oversized files are left out."""
+def scan_directory(spark: SparkSession, root: str, analysis_id: str, max_file: int | None = None) -> DataFrame:
+    """Eligible files below a folder as (analysis_id, path, raw, ord); all of them, or those of at most ``max_file`` bytes.
+
+    ``oversized_in`` lists what such a limit leaves out.
+    """
     base = root.rstrip("/") + "/"
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
               .select(F.regexp_replace("path", "^file:/+", "/").alias("full"), "length", "content"))
     relative = listed.withColumn("path", F.substring("full", F.lit(len(base) + 1), F.length("full")))
-    kept = relative.where(paths.is_eligible(F.col("path")) & (F.col("length") <= schemas.MAX_FILE_BYTES))
+    kept = relative.where(paths.is_eligible(F.col("path")))
+    if max_file is not None:
+        kept = kept.where(F.col("length") <= max_file)
     return kept.select(F.lit(analysis_id).alias("analysis_id"), "path", F.col("content").alias("raw"),
                        F.xxhash64("path").alias("ord"))
 
@@ -89,6 +94,11 @@ def snapshot_limits(files: DataFrame) -> DataFrame:
     return totals.withColumn("over_limit", reason)
 
 
-def oversized_warnings(files: DataFrame) -> DataFrame:
-    return files.where(F.octet_length("content") > schemas.MAX_FILE_BYTES).select(
-        "analysis_id", F.concat(F.lit("Skipped oversized file: "), "path").alias("warning"))
+def oversized_in(spark: SparkSession, root: str, analysis_id: str, max_file: int = schemas.MAX_FILE_BYTES) -> DataFrame:
+    """A warning row for each eligible file below a folder that is larger than ``max_file`` bytes; contents are not read."""
+    base = root.rstrip("/") + "/"
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+              .select(F.regexp_replace("path", "^file:/+", "/").alias("full"), "length"))
+    relative = listed.withColumn("path", F.substring("full", F.lit(len(base) + 1), F.length("full")))
+    return relative.where(paths.is_eligible(F.col("path")) & (F.col("length") > max_file)).select(
+        F.lit(analysis_id).alias("analysis_id"), F.concat(F.lit("Too large and left out: "), "path").alias("warning"))

@@ -39,6 +39,32 @@ def test_component_question_prefers_its_implementation(spark):
     assert "manifest" in evidence(spark, "Which dependencies does the heating POM declare?", "")
 
 
+def test_evidence_is_the_first_of_all_choices_that_keep_the_rules(spark):
+    """Each chosen list is compared with a search: the smallest list of places to which no earlier candidate could be added."""
+    rng = random.Random(8)
+    rows = [(f"q{q}", i + 1, f"c{i}", f"f{rng.randrange(4)}", f"m/p{i}.py", s := rng.randrange(1, 40), s + rng.randrange(0, 15), "word " * rng.choice([3, 40, 900]),
+             "plain question" if q % 2 else "what does this depend on", rng.random() < 0.6, q < 4, q == 1) for q in range(6) for i in range(25)]
+    table = spark.createDataFrame(rows, "request_id string, place int, chunk_id string, file_id string, path string, start_line int, end_line int, text string, question string, module_hit boolean, "
+                                        "any_module boolean, selection_named boolean")
+    got = {}
+    for r in retrieval.select_evidence(table, 9_000).orderBy("request_id", "number").collect():
+        got.setdefault(r.request_id, []).append(r.chunk_id)
+
+    def allowed(chosen, new):
+        own = [c for c in chosen if c[3] == new[3]]
+        lines = set(range(new[5], new[6] + 1))
+        shown = lines & {n for c in own for n in range(c[5], c[6] + 1)}
+        strangers = [c for c in chosen if c[10] and not c[9]]
+        return (len(new[7].strip()) >= 20 and len(chosen) < 16 and sum(len(c[7]) + 150 for c in [*chosen, new]) <= 9_000 and len(own) < (3 if new[11] else 2)
+                and (not new[10] or new[9] or len(strangers) < (2 if "depend" in new[8] else 0)) and len(shown) <= 0.7 * len(lines))
+    for q, ids in got.items():
+        mine = {r[2]: r for r in rows if r[0] == q}
+        chosen = [mine[i] for i in ids]
+        for r in mine.values():      # a candidate is chosen exactly if those chosen before it leave room for it
+            before = [c for c in chosen if c[1] < r[1]]
+            assert (r in chosen) == allowed(before, r), (q, r)
+
+
 def test_follow_up_topic(spark):
     turns = [("user", "Where are orders stored?"), ("assistant", "In a table."), ("user", "tell me more"), ("assistant", "Soon."), ("user", "explain in detail"), ("user", "Explain orders in detail")]
     rows = retrieval.followup_topic(spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id int, turn int, role string, text string")).orderBy("turn").collect()
