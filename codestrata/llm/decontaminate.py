@@ -31,7 +31,7 @@ from codestrata.llm.common import cut_lineage, utf8, utf8_slices
 SHARE = 0.25               # word edits allowed, per word of the item
 RECALL = 0.99              # of windows at the largest distance
 SAMPLED = 2                # places a table compares
-LEAST_WORDS = 8
+LEAST_WORDS = 8            # shorter items match by equality
 BLOCK_WORDS = 500_000      # words of items to a scan
 MOST_TABLES = 400
 PLACES = np.uint64(0x9E3779B97F4A7C15)
@@ -107,11 +107,15 @@ def tables_needed(sizes: list[int], share: float, recall: float, trials: int = 2
                     other.insert(at, int(draw.integers(1, 1 << 40)))
             other = (other + [0] * m)[:m]
             words[t], changed[t] = own, other
-        tables, size = Tables(MOST_TABLES, m, seed), np.full(trials, m)
-        met = tables.keys(words, size, size) == tables.keys(changed, size, size)
-        found = np.logical_or.accumulate(met, axis=1).mean(axis=0)
-        reached = np.flatnonzero(found >= recall)
-        most = max(most, int(reached[0]) + 1 if len(reached) else MOST_TABLES)
+        number, reached = MOST_TABLES // 2, []
+        while not len(reached):
+            number *= 2
+            if number > 8 * MOST_TABLES:
+                raise ValueError(f"{number // 2} tables find fewer than {recall:.0%} of windows of {m} words at {edits(m, share)} edits")
+            tables, size = Tables(number, m, seed), np.full(trials, m)
+            met = tables.keys(words, size, size) == tables.keys(changed, size, size)
+            reached = np.flatnonzero(np.logical_or.accumulate(met, axis=1).mean(axis=0) >= recall)
+        most = max(most, int(reached[0]) + 1)
     return most
 
 
@@ -142,8 +146,14 @@ class Items:
     def __init__(self, items: list[tuple[int, bytes]], share: float, least_words: int, tables: int | None = None, recall: float = RECALL):
         self.share = share
         split = [(i, text.lower().split()) for i, text in items]
+        short = [(i, words) for i, words in split if 0 < len(words) < least_words]
         split = [(i, words) for i, words in split if len(words) >= least_words]
-        self.vocabulary = {w: n for n, w in enumerate(sorted({w for _, words in split for w in words}), 1)}
+        self.vocabulary = {w: n for n, w in enumerate(sorted({w for _, words in [*split, *short] for w in words}), 1)}
+        # Items of few words match where all their words stand in order: run -> the items that are this run, by size.
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        for item, words in short:
+            self.short.setdefault(len(words), {}).setdefault(tuple(self.vocabulary[w] for w in words), []).append(item)
+        self.short_runs = {n: np.unique(self._grams(np.array([w for run in runs for w in run], np.int64), n)[::n]) for n, runs in self.short.items()}
         by_words: dict[tuple[int, ...], list[int]] = {}
         for item, words in split:
             by_words.setdefault(tuple(self.vocabulary[w] for w in words), []).append(item)
@@ -220,9 +230,20 @@ class Items:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(found_at), np.concatenate(found_size)
 
+    def _short_hits(self, ids: np.ndarray, begin: np.ndarray, doc_of: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The first place of each short item in each document; ids: documents with words one after another."""
+        found: dict[tuple[int, int, tuple[int, ...]], int] = {}
+        ends = np.append(begin[1:], len(ids))
+        for n, runs in self.short.items():
+            for at in np.flatnonzero(_within(self._grams(ids, n), self.short_runs[n])).tolist():
+                doc, run = int(np.searchsorted(begin, at, "right")) - 1, tuple(ids[at:at + n].tolist())
+                if at + n <= ends[doc] and run in runs:
+                    found.setdefault((int(doc_of[doc]), n, run), at - int(begin[doc]))
+        return [(doc, item, start, n, 0) for (doc, n, run), start in found.items() for item in self.short[n][run]]
+
     def scan(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item_id, first word, words, distance), the nearest and then first window of each text and item."""
-        if not self.words:
+        if not self.words and not self.short:
             return []
         split = [text.lower().split() for text in texts]
         lengths = np.array([len(w) for w in split], np.int64)
@@ -232,6 +253,9 @@ class Items:
         doc_of, begin = np.flatnonzero(filled), starts[filled]
         if not len(begin):
             return []
+        exact = self._short_hits(ids, begin, doc_of)
+        if not self.words:
+            return exact
         ends = np.append(begin[1:], len(ids))
         at, size = self._windows(ids, begin)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -255,7 +279,7 @@ class Items:
                     key = (int(doc_of[doc[row]]), owner)
                     found = (far, int(start[row] - begin[doc[row]]), int(length[row]))
                     best[key] = min(best.get(key, found), found)
-        return [(doc, item, start, n, far) for (doc, owner), (far, start, n) in sorted(best.items()) for item in self.names[owner]]
+        return exact + [(doc, item, start, n, far) for (doc, owner), (far, start, n) in sorted(best.items()) for item in self.names[owner]]
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:

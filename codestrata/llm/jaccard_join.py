@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut_lineage, utf8, utf8_slices
+from codestrata.llm.common import cut_lineage, giving_back, utf8, utf8_slices
 from codestrata.llm.components import components
 from codestrata.llm.shingles import mixed, shingle_set
 
@@ -126,7 +126,7 @@ def sizes_of(docs: DataFrame) -> tuple[DataFrame, Common]:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(met), pa.int64()), pa.nulls(len(met), pa.int64()), pa.array(-times), pa.array(met.view(np.int64))], schema=kinds)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    made = cut_lineage(rows.mapInArrow(sets, "doc_id long, node long, n long, shingle long"))
+    made = cut_lineage(rows.mapInArrow(giving_back(sets), "doc_id long, node long, n long, shingle long"))
     counts = made.filter("n < 0").groupBy("shingle").agg((-F.sum("n")).alias("times")).filter("times > 1")
     most = counts.orderBy(F.desc("times"), "shingle").limit(COMMON_SHINGLES).toArrow()           # at most COMMON_SHINGLES rows
     shingles = most.column("shingle").to_numpy().view(np.uint64)
@@ -195,7 +195,7 @@ def postings(docs: DataFrame, common: Common, small: int, buckets: int) -> DataF
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             parts = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (token, node, size)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), *[pa.array(p, pa.binary()) for p in parts]], ["bucket", "tokens", "nodes", "sizes"])
-    return docs.select(utf8("text").alias("text")).mapInArrow(packed, "bucket long, tokens binary, nodes binary, sizes binary")
+    return docs.select(utf8("text").alias("text")).mapInArrow(giving_back(packed), "bucket long, tokens binary, nodes binary, sizes binary")
 
 
 def shared(packed: DataFrame, buckets: int) -> DataFrame:
@@ -248,7 +248,7 @@ def shared(packed: DataFrame, buckets: int) -> DataFrame:
                     held, number = [], 0
         if held:
             yield take(*map(np.concatenate, zip(*held, strict=True)))
-    return packed.repartition(buckets, "bucket").mapInArrow(scan, "token long, node long, n long, place long")
+    return packed.repartition(buckets, "bucket").mapInArrow(giving_back(scan), "token long, node long, n long, place long")
 
 
 def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
                 rows = [(node_of(members), doc_id, members.tobytes()) for members, doc_id in zip(found, some.column(1).to_pylist(), strict=True) if len(members)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "doc_id", "members"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).select(place.alias("place"), "doc_id", "text")
-    made = cut_lineage(rows.mapInArrow(sets, "node long, doc_id long, members binary"))
+    made = cut_lineage(rows.mapInArrow(giving_back(sets), "node long, doc_id long, members binary"))
     chosen = wanted.select("node", F.col("doc_id").alias("d"))
     return made.join(chosen, "node").filter(F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "members")
 

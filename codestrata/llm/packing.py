@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut_lineage, utf8, utf8_slices
+from codestrata.llm.common import cut_lineage, giving_back, utf8, utf8_slices
 from codestrata.llm.tokens import encoder
 
 Filling = tuple[tuple[int, int], ...]            # (length, times), longest first
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                                              ["doc_id", "piece", "start", "length", "ids_crc32"])
     return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        giving_back(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(counts: np.ndarray) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut_lineage, utf8, utf8_slices
+from codestrata.llm.common import cut_lineage, giving_back, utf8, utf8_slices
 
 ORDER = 8
 DISCOUNT = 0.75
@@ -34,7 +34,7 @@ START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 LEVELS = (1.0, 2.0)
 FEATURES = ["highest", "highest_3", "highest_6", "above_1", "above_2", "mean", "words"]
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
 MOST_TEXTS = 8_000
 LEAST = 2                      # grams of the longer orders that came up less often leave their share to the order below
 SHORT = 4                      # up to this order all grams are kept
@@ -144,8 +144,8 @@ def train_counts(rows: DataFrame) -> DataFrame:
             table = pa.table([pa.array(found, pa.string()), *parts], names=["gram", *COUNTS]).group_by("gram").aggregate([(c, "sum") for c in COUNTS])
             yield from table.select(["gram", *[f"{c}_sum" for c in COUNTS]]).rename_columns(["gram", *COUNTS]).to_batches()
     kinds = ", ".join(f"{c} long" for c in COUNTS)
-    words = rows.select("toxic", "fold", "text").mapInArrow(count, f"word string, {kinds}").groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    return words.mapInArrow(grams, f"gram string, {kinds}").groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    words = rows.select("toxic", "fold", "text").mapInArrow(giving_back(count), f"word string, {kinds}").groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return words.mapInArrow(giving_back(grams), f"gram string, {kinds}").groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def _numbers(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +212,7 @@ def _features(model_of, rows: DataFrame) -> DataFrame:
             found = model_of(some)
             yield pa.RecordBatch.from_arrays([*some.columns[:-1], *map(pa.array, found.T)], [*some.schema.names[:-1], *FEATURES])
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.drop("text").dtypes)
-    return rows.mapInArrow(score, ", ".join([kinds, *[f"{n} double" for n in FEATURES]]))
+    return rows.mapInArrow(giving_back(score), ", ".join([kinds, *[f"{n} double" for n in FEATURES]]))
 
 
 def sampling_shares(counts: dict[int, int], most: int) -> dict[int, float]:

@@ -29,6 +29,9 @@ def plain_matches(rows, items):
         words = (text or "").lower().split()
         for item, other in items:
             own = (other or "").lower().split()
+            if 0 < len(own) < decontaminate.LEAST_WORDS:
+                places = [s for s in range(len(words) - len(own) + 1) if words[s:s + len(own)] == own]
+                found |= {(at, item): (0, places[0])} if places else {}
             if len(own) < decontaminate.LEAST_WORDS or not words:
                 continue
             far = min((table_distance(own, words[s:s + len(own)]), s) for s in range(max(1, len(words) - len(own) + 1)))
@@ -149,3 +152,22 @@ def test_a_rare_toxic_class_is_learnt_from_in_full(odd_rows, spark):
     assert toxicity.sampling_shares({0: 10**6, 1: 10}, 30) == {0: 20 / 10**6, 1: 1.0}
     assert toxicity.sampling_shares({0: 10**6, 1: 10**5}, 8000) == {0: 0.004, 1: 0.04}
     assert toxicity.sampling_shares({0: 3000, 1: 900}, 8000) == {0: 1.0, 1: 1.0}
+
+
+def test_short_items_match_by_equality(odd_rows, spark):
+    items = [(1, "One two THREE"), (2, "one two three"), (3, "alone"), (4, "a b c d e f g"), (5, None), (6, "  ")]
+    rows = [(1, "zero one TWO three one two three"), (2, "one two"), (2, "three"), (3, "x alone"), (4, "a b c d e f"), (5, "g a b c d e f g"), (None, "alone"), (6, None)]
+    benchmark = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
+    found = {(r.doc_id, r.item_id, r.start_word, r.n_words, r.distance) for r in decontaminate.matches(odd_rows(rows), benchmark).collect()}
+    assert found == {(1, 1, 1, 3, 0), (1, 2, 1, 3, 0), (3, 3, 1, 1, 0), (None, 3, 0, 1, 0), (5, 4, 1, 7, 0)}
+    assert sorted(r.text or "" for r in decontaminate.keep_clean(odd_rows(rows), benchmark).collect()) == ["", "a b c d e f", "one two", "three"]
+
+
+def test_missing_recall_is_an_error(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_TABLES", 1)
+    try:
+        decontaminate.tables_needed([40], 0.25, 0.999)
+    except ValueError as error:
+        assert "8 tables" in str(error)
+    else:
+        raise AssertionError
