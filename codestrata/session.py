@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(app: str = "codestrata", cpus: str | None = None) -> SparkSession:
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
@@ -40,8 +42,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate result as a table in the shared checkpoint folder and continue from it.
 
     It is computed once, survives the loss of executors, and its known size lets the planner choose the joins that follow.
+    The shuffle files behind it are removed as soon as the table is whole: later steps read the table.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/codestrata/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(written: DataFrame) -> None:
+    """Delete a table that ``cut_lineage`` returned and that a later written table has superseded."""
+    spark = written.sparkSession
+    own = f"{checkpoint_folder(spark)}/codestrata/"
+    folders = {f.rpartition("/")[0] for f in written.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(own).toUri().getPath()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
