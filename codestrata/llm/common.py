@@ -5,7 +5,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.session import checkpoint_folder, cut_lineage  # noqa: F401
+from codestrata.session import checkpoint_folder, cut_lineage, release  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

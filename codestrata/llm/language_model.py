@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut_lineage, utf8, utf8_slices
+from codestrata.llm.common import cut_lineage, release, utf8, utf8_slices
 
 CHUNK_BYTES = 8 << 20
 CLUSTERED = 1000               # most frequent words that the exchange sorts into classes
@@ -252,11 +252,13 @@ def cluster(corpus: DataFrame, places: DataFrame, words: DataFrame, seed: np.nda
         counted = cut_lineage(neighbours(corpus, places, assigned, kinds, step < PASSES))
         pairs = class_pairs(counted, kinds)
         if step and likelihood(pairs) <= best:
+            release(counted)
             break
         kept, table, best = assigned, pairs, likelihood(pairs)
         if step < PASSES:
             new = moved(counted, table, number, step % 2 if step else None)
             assigned = cut_lineage(assigned.join(new, "word", "left").select("word", "c", F.coalesce("new", "cls").alias("cls")))
+        release(counted)
     return kept, table
 
 
@@ -387,7 +389,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row."""
     corpus = chunks(docs, held_out)
     places, words, totals = count_words(corpus)
-    counted = bigrams(units(corpus, places, words)).toPandas()          # at most UNITS squared rows
+    counted = cut_lineage(bigrams(units(corpus, places, words))).toPandas()          # at most UNITS squared rows
     follows = np.zeros((UNITS, UNITS))
     follows[counted["a"], counted["b"]] = counted["n"]
     number = number_of_classes(totals["V"])
