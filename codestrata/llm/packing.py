@@ -97,12 +97,13 @@ def best_fit(counts: np.ndarray) -> list[tuple[Filling, int]]:
     return [*full.items(), *(item for group in open_bins for item in group.items())]
 
 
-def _undominated(counts: np.ndarray, room: int, most: int, keep: int, effort: int) -> list[tuple[int, Filling]]:
-    """Fillings of ``room`` from the lengths left, by waste; a filling of which one item could be swapped for a longer one
-    that is left and fits is dominated and not returned. The search goes from long items to short ones, and a branch ends
+def _undominated(counts: np.ndarray, room: int, most: int, keep: int, effort: int) -> tuple[list[tuple[int, Filling]], bool]:
+    """The first ``keep`` fillings of ``room`` from the lengths left, by waste, and whether these are all; a filling
+    of which one item could be swapped for a longer one that is left and fits is dominated and not returned. The search goes from long items to short ones, and a branch ends
     when even the items below cannot bring its waste under that of the fillings kept."""
     sizes = np.flatnonzero(counts[:min(room, most) + 1])
     found: list[tuple[int, Filling]] = []
+    whole = True
     volume = np.concatenate([[0], np.cumsum(sizes * counts[sizes])])
     steps = 0
 
@@ -110,7 +111,7 @@ def _undominated(counts: np.ndarray, room: int, most: int, keep: int, effort: in
         return found[-1][0] if len(found) >= keep else room + 1
 
     def search(left: int, below: int, chosen: tuple[tuple[int, int], ...]) -> None:
-        nonlocal steps
+        nonlocal steps, whole
         steps += 1
         top = min(below, int(np.searchsorted(sizes, left, "right")))
         if top == 0 or left == 0:
@@ -121,21 +122,28 @@ def _undominated(counts: np.ndarray, room: int, most: int, keep: int, effort: in
                     return
             found.append((left, chosen))
             found.sort(key=lambda f: f[0])
+            whole = whole and len(found) <= keep
             del found[keep:]
             return
         for at in range(top - 1, -1, -1):
             if steps > effort and found or (found and found[0][0] == 0 and len(found) >= keep):
+                whole = False
                 return
             if left - int(volume[at + 1]) >= worst():     # all that is left from here down wastes more
+                whole = False
                 return
             size = int(sizes[at])
             for times in range(min(left // size, int(counts[size])), 0, -1):
                 search(left - times * size, at, (*chosen, (size, times)))
                 if found and found[0][0] == 0 and len(found) >= keep:
+                    whole = False
                     return
 
     search(room, len(sizes), ())
-    return found or [(room, ())]
+    return found or [(room, ())], whole
+
+
+WIDER = 4                      # a node that comes up again lists so many times as many fillings
 
 
 def search_nodes(counts: np.ndarray) -> int:
@@ -150,6 +158,10 @@ def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nod
     counts allow. A branch ends when its waste exceeds what a packing with one bin less than the incumbent may waste. The
     first incumbent is best-fit decreasing.
 
+    A node first lists ``branches`` fillings. While there are more, the node itself waits as one more alternative, to list
+    WIDER times as many; using a filling once instead of as often as the counts allow is an alternative too. So nothing is
+    lost to the search but by ``nodes``.
+
     The search is by limited discrepancy: it descends by the fillings of least waste, then starts anew from the alternatives
     that leave such descents least often, in turn from the one nearest the root and from the one farthest. Every node
     expanded counts against ``nodes``; a search that ends so leaves out no item, and the log tells bins and lower bound.
@@ -159,8 +171,9 @@ def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nod
     incumbent = best_fit(counts)
     bins, bound = sum(n for _, n in incumbent), lower_bound(counts)
     budget = rest = search_nodes(counts) if nodes is None else nodes
-    # A node is (parent, filling, times, bins used, waste, depth, discrepancies); the counts left are kept for one node and replayed for another.
-    root = (None, (), 0, 0, 0, 0, 0)
+    # A node is (parent, filling, times, bins used, waste, depth, discrepancies, how often its list was made longer, fillings
+    # dealt with by then); the counts left are kept for one node and replayed for another.
+    root = (None, (), 0, 0, 0, 0, 0, 0, frozenset())
     node, at, left = root, root, counts.copy()
     near, far, waiting = [], [], {}                  # heaps of (discrepancies, depth or its negative, number) of waiting nodes
     number = turn = 0
@@ -172,7 +185,7 @@ def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nod
             if not heap:                              # both hold the same nodes
                 break
             node = waiting.pop(heapq.heappop(heap)[2])
-        parent, filling, times, used, waste, depth, apart = node
+        parent, filling, times, used, waste, depth, apart, widened, dealt = node
         if waste > (bins - 1) * capacity - total:
             node = None
             continue
@@ -182,7 +195,7 @@ def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nod
                 left[size] -= need * times
         elif node is not root:
             left, above = counts.copy(), node
-            while above is not root:
+            while above[0] is not None:
                 for size, need in above[1]:
                     left[size] -= need * above[2]
                 above = above[0]
@@ -190,22 +203,37 @@ def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nod
         there = np.flatnonzero(left)
         if not len(there):
             incumbent, bins, above = [], used, node
-            while above is not root:
+            while above[0] is not None:
                 incumbent.append((above[1], above[2]))
                 above = above[0]
             node = None
             continue
         longest = int(there[-1])
         left[longest] -= 1
-        options = _undominated(left, capacity - longest, longest, branches, effort) if longest < capacity else [(0, ())]
+        wider = WIDER ** widened
+        options, whole = _undominated(left, capacity - longest, longest, branches * wider, effort * wider) if longest < capacity else ([(0, ())], True)
         left[longest] += 1
+        if not whole:                                 # the same node with a longer list is one more alternative
+            number += 1
+            waiting[number] = (parent, filling, times, used, waste, depth, apart, widened + 1, dealt.union(others for _, others in options))
+            heapq.heappush(near, (apart + len(options), depth, number))
+            heapq.heappush(far, (apart + len(options), -depth, number))
+        node = None
         for rank, (lost, others) in enumerate(options):
+            if others in dealt:
+                continue
             merged = {longest: 1}
             for size, need in others:
                 merged[size] = merged.get(size, 0) + need
             times = min(int(left[size]) // need for size, need in merged.items())
-            child = (at, tuple(sorted(merged.items(), reverse=True)), times, used + times, waste + lost * times, depth + 1, apart + rank)
-            if rank == 0:
+            made = tuple(sorted(merged.items(), reverse=True))
+            child = (at, made, times, used + times, waste + lost * times, depth + 1, apart + rank, 0, frozenset())
+            if times > 1:
+                number += 1
+                waiting[number] = (at, made, 1, used + 1, waste + lost, depth + 1, apart + rank + 1, 0, frozenset())
+                heapq.heappush(near, (apart + rank + 1, depth, number))
+                heapq.heappush(far, (apart + rank + 1, -depth, number))
+            if node is None:
                 node = child
             else:
                 number += 1
@@ -231,8 +259,9 @@ def _slots(plan: list[tuple[Filling, int]], capacity: int) -> dict[int, tuple[np
     return {size: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for size, rows in runs.items()}
 
 
-def pack(pieces: DataFrame, capacity: int) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, branches: int = 3, effort: int = 400, nodes: int | None = None) -> DataFrame:
     """Add sequence_id and offset to a table with a column ``length`` (1 to ``capacity``), in as few sequences as it can.
+    ``branches``, ``effort`` and ``nodes`` are those of ``bin_completion``.
 
     Pieces of one length are alike, so each gets a rank among them and the rank decides its place. Ranks are counted in
     slices; the more pieces a length has, the more slices, so a length that a third of all pieces share is no hot group.
@@ -242,7 +271,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     counts = np.zeros(capacity + 1, np.int64)
     for row in held.groupBy("length").count().collect():          # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
-    slots = _slots(bin_completion(counts), capacity)
+    slots = _slots(bin_completion(counts, branches, effort, nodes), capacity)
     # At most ``capacity`` rows.
     lengths = spark.createDataFrame([(int(n), int(-(-counts[n] // RANKED_TOGETHER))) for n in np.flatnonzero(counts)],
                                     "length long, _slices long")
@@ -273,9 +302,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInPandas(place, ranked.schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Every piece of every document with its sequence and its place there."""
-    return pack(pieces(docs, tokenizer, capacity, end_id), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, **search: int) -> DataFrame:
+    """Every piece of every document with its sequence and its place there; ``search``: as in ``pack``."""
+    return pack(pieces(docs, tokenizer, capacity, end_id), capacity, **search)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

@@ -61,6 +61,23 @@ def test_bin_completion_is_optimal_on_small_cases_and_always_complete():
         assert packing.lower_bound(counts) <= sum(n for _, n in plan) == (exact_bins(items, capacity) if items else 0)
 
 
+def test_narrow_lists_lose_no_filling():
+    """With lists of one filling at first, the search still ends where wide lists end."""
+    draw = np.random.default_rng(12)
+    for _ in range(150):
+        capacity = int(draw.choice([20, 30, 60]))
+        counts = np.bincount(draw.integers(max(1, capacity // 10), capacity * 7 // 10, int(draw.integers(8, 24))), minlength=capacity + 1)
+        wide = packing.bin_completion(counts, branches=10_000, effort=10**6, nodes=300)
+        narrow = packing.bin_completion(counts, branches=1, effort=1, nodes=20_000)
+        assert sum(n for _, n in narrow) <= sum(n for _, n in wide)
+        held = np.zeros_like(counts)
+        for filling, number in narrow:
+            assert sum(size * times for size, times in filling) <= capacity
+            for size, times in filling:
+                held[size] += times * number
+        assert (held == counts).all()
+
+
 def test_bin_completion_beats_best_fit():
     counts = np.zeros(101, np.int64)
     for size, number in ((34, 50), (33, 50), (51, 20), (48, 30), (27, 30), (11, 9)):
