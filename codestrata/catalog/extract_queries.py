@@ -2,6 +2,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import extract
+from ..session import cut_lineage
+from ..sources import snapshots
 from . import bindings as b
 from .intake_queries import files_of
 
@@ -134,7 +136,39 @@ X16_SQL = """SELECT analysis_id, source, target, kind, coalesce(start_line, 0) A
   CASE WHEN l_linestatus = 'O' THEN l_linenumber END AS start_line, l_orderkey AS ord, l_extendedprice AS price FROM lineitem) x
 QUALIFY row_number() OVER (PARTITION BY source, target, kind, start_line ORDER BY ord, price) = 1"""
 
+def package_files(spark, folder):
+    """A workspace package per source and a script per document, which reaches its neighbours through the package's star
+    pattern, its nested conditions, an alias and a path that is not exported."""
+    b.open_tables(spark, folder)
+    return cut_lineage(snapshots.profile_files(spark.sql("""
+      WITH d AS (SELECT coalesce(lang, 'und') AS analysis_id, coalesce(source, 'none') AS s, doc_id FROM documents WHERE doc_id IS NOT NULL)
+      SELECT analysis_id, concat('kits/', s, '/src/parts/d', doc_id, '.ts') AS path, concat(
+        'import "@kit/', s, '/part/d', doc_id, '";\\n', 'import "@kit/', s, '";\\n', 'import "~/', s, '/src/parts/d', doc_id, '";\\n',
+        'import "@kit/', s, '/src/parts/d', doc_id, '";\\n', 'import "outside', doc_id, '";\\n') AS content, doc_id AS ord FROM d
+      UNION ALL SELECT DISTINCT analysis_id, concat('kits/', s, '/package.json'), concat('{"name": "@kit/', s,
+        '", "exports": {"./*": null, "./part/*": "./src/parts/*.ts", ".": {"node": "./no.js", "import": {"default": "./src/entry.ts"}}}}'), -2L FROM d
+      UNION ALL SELECT DISTINCT analysis_id, concat('kits/', s, '/src/entry.ts'), 'export const a = 1;\\n', -1L FROM d
+      UNION ALL SELECT DISTINCT analysis_id, 'tsconfig.json', '{"compilerOptions": {"paths": {"~/*": ["none/*", "kits/*"]}}}', -3L FROM d""")))
+
+
+def x6_packages(spark, folder):
+    files = package_files(spark, folder)
+    resolved = extract.resolve(cut_lineage(extract.imports(files)), files)
+    return resolved.select("analysis_id", "path", "line_no", "specifier", "target")
+
+
+X6_PACKAGES_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS analysis_id, coalesce(source, 'none') AS s, doc_id, concat('kits/', coalesce(source, 'none'), '/src/parts/d', doc_id, '.ts') AS path
+           FROM documents WHERE doc_id IS NOT NULL)
+SELECT analysis_id, path, 1 AS line_no, concat('@kit/', s, '/part/d', doc_id) AS specifier, path AS target FROM d
+UNION ALL SELECT analysis_id, path, 2, concat('@kit/', s), concat('kits/', s, '/src/entry.ts') FROM d
+UNION ALL SELECT analysis_id, path, 3, concat('~/', s, '/src/parts/d', doc_id), path FROM d
+UNION ALL SELECT analysis_id, path, 4, concat('@kit/', s, '/src/parts/d', doc_id), NULL FROM d
+UNION ALL SELECT analysis_id, path, 5, concat('outside', doc_id), NULL FROM d"""
+
+
 QUERIES = {
+    "x6_package_exports": (x6_packages, X6_PACKAGES_SQL),
     "x1_source_lines": (x1, X1_SQL), "x2_import_extract": (x2, X2_SQL), "x3_comment_mask": (x3, X3_SQL),
     "x4_import_resolve_python": (_resolver("resolve_python", ["python"]), _resolver_sql("('python', '')")), "x5_import_resolve_java": (_resolver("resolve_java", ["java"]), _resolver_sql("('java', '')")),
     "x6_import_resolve_js": (_resolver("resolve_script", ["typescript", "javascript"]), _resolver_sql("('typescript', 'javascript')")), "x7_external_nodes": (x7, X7_SQL), "x8_unresolved_refs": (x8, X8_SQL),

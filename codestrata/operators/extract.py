@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, paths, text
 from ..functions.binding import let
-from . import declarations
+from ..session import cut_lineage
+from . import declarations, packages
 from . import source_code as code
+from .packages import package_root, workspace_packages
 from .source_code import FILE, LITERAL
 
 # Comments and string literals, longest forms first.
@@ -163,31 +165,21 @@ def script_candidates(target: Column) -> Column:
     return F.filter(F.concat(swap, rest), lambda p: p.rlike(r"(?i)\.([cm]?[jt]s|[jt]sx)$"))
 
 
-def package_root(specifier: Column) -> Column:
-    parts = F.split(specifier, "/")
-    return F.when(specifier.startswith("@"), F.array_join(F.slice(parts, 1, 2), "/")).otherwise(F.element_at(parts, 1))
-
-
-def workspace_packages(files: DataFrame) -> DataFrame:
-    manifest = F.from_json("content", "name string, types string, module string, main string, exports string")
-    rows = files.where(paths.base_name(F.col("path")) == "package.json").withColumn("m", manifest).where("m.name IS NOT NULL")
-    return rows.groupBy("analysis_id", F.col("m.name").alias("package")).agg(F.max_by(F.struct(paths.parent_directory(F.col("path")).alias("folder"), "m"), "ord").alias("p")).select(
-        "analysis_id", "package", "p.folder", "p.m.*")
-
-
 def resolve_script(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Relative specifiers from their folder; bare ones through the workspace package of that name."""
+    """Relative specifiers from their folder; others through path aliases, the base URL, then the workspace package of that name."""
+    def below(folder: Column, relative: Column) -> Column:
+        return script_candidates(joined_path(F.when(folder == ".", "").otherwise(folder), relative))
+
     scripts = found.where(F.col("language").isin("typescript", "javascript") & ~F.col("computed")).dropDuplicates(["analysis_id", "import_id"])
-    folder = paths.parent_directory(F.col("path"))
-    near = scripts.where(F.col("specifier").startswith(".")).withColumn("target", joined_path(F.when(folder == ".", "").otherwise(folder), F.col("specifier")))
-    bare = scripts.where(~F.col("specifier").startswith(".")).withColumn("package", package_root(F.col("specifier"))).join(workspace_packages(files), ["analysis_id", "package"])
-    sub = F.substring("specifier", F.length("package") + 1, F.length("specifier"))
-    conditions = lambda path: F.coalesce(*[F.get_json_object("exports", f"{path}.{c}") for c in ("types", "import", "default", "require")])
-    exported = F.when(sub == "", F.coalesce(conditions("$['.']"), F.get_json_object("exports", "$['.']"), conditions("$"), F.when(~F.col("exports").startswith("{"), F.col("exports"))))
-    entry = F.when(F.col("exports").isNotNull(), exported).when(sub != "", F.concat(F.lit("."), sub)).otherwise(F.coalesce("types", "module", "main", F.lit("./index")))
-    far = bare.withColumn("target", joined_path(F.when(F.col("folder") == ".", "").otherwise(F.col("folder")), entry))
-    both = near.select("analysis_id", "import_id", "target").unionByName(far.select("analysis_id", "import_id", "target")).where("target IS NOT NULL")
-    return _first_match(both.withColumn("candidates", script_candidates(F.col("target"))), files)
+    near = scripts.where(F.col("specifier").startswith(".")).withColumn("candidates", below(paths.parent_directory(F.col("path")), F.col("specifier")))
+    bare = cut_lineage(scripts.where(~F.col("specifier").startswith(".")).select("analysis_id", "import_id", "path", "specifier"))
+    both = bare.join(packages.aliased(bare, files), ["analysis_id", "import_id"], "left").join(packages.entries(bare, files), ["analysis_id", "import_id"], "left")
+    root = F.concat_ws("/", "owner", F.coalesce("base", F.lit(".")))
+    by_alias = F.flatten(F.transform("targets", lambda t: below(root, F.replace(t, F.lit("*"), F.col("star")))))
+    by_base = F.when(F.col("base").isNotNull(), below(root, F.col("specifier")))
+    tried = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in (by_alias, by_base, below(F.col("folder"), F.col("entry")))])
+    rows = near.select("analysis_id", "import_id", "candidates").unionByName(both.select("analysis_id", "import_id", tried.alias("candidates")))
+    return _first_match(rows, files)
 
 
 def resolve(found: DataFrame, files: DataFrame) -> DataFrame:
@@ -208,7 +200,9 @@ def split_unresolved(resolved: DataFrame, files: DataFrame) -> tuple[DataFrame,
     script = F.col("language").isin("typescript", "javascript")
     root = F.when(script, package_root(F.col("specifier"))).otherwise(F.element_at(F.split("specifier", r"\."), 1))
     open_ends = resolved.where("target IS NULL").withColumn("root", root).join(names, ["analysis_id", "root"], "left")
-    local = _is_local(F.coalesce("ours", F.lit(False))) | F.col("computed")
+    meant = packages.aliased(open_ends.where(script), files).where("targets IS NOT NULL").select("analysis_id", "import_id", F.lit(True).alias("alias"))
+    open_ends = open_ends.join(meant, ["analysis_id", "import_id"], "left")
+    local = _is_local(F.coalesce("ours", F.lit(False)) | F.coalesce("alias", F.lit(False))) | F.col("computed")
     external = open_ends.where(~local & (F.col("root") != "")).select(*FILE, "path", "line_no", "specifier", "kind", "type_only", "dynamic", F.concat(F.lit("external:"), "root").alias("target"), "root")
     unresolved = open_ends.where(local).select(*FILE, "path", "line_no", F.concat(F.repeat(F.lit("."), F.col("level")), "specifier").alias("specifier"),
                                               F.when(F.col("computed"), "The specifier is computed.").otherwise("No source target in the snapshot.").alias("reason"))
