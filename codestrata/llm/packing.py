@@ -164,7 +164,7 @@ def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nod
 
     The search is by limited discrepancy: it descends by the fillings of least waste, then starts anew from the alternatives
     that leave such descents least often, in turn from the one nearest the root and from the one farthest. Every node
-    expanded counts against ``nodes``; a search that ends so leaves out no item, and the log tells bins and lower bound.
+    expanded counts against ``nodes``, with a longer list as often as that is longer; a search that ends so leaves out no item, and the log tells bins and lower bound.
     """
     counts = np.asarray(counts, dtype=np.int64)
     capacity, total = len(counts) - 1, int((counts * np.arange(len(counts))).sum())
@@ -189,7 +189,8 @@ def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nod
         if waste > (bins - 1) * capacity - total:
             node = None
             continue
-        rest -= 1
+        wider = WIDER ** widened
+        rest = max(0, rest - wider)
         if parent is at:
             for size, need in filling:
                 left[size] -= need * times
@@ -210,7 +211,6 @@ def bin_completion(counts: np.ndarray, branches: int = 3, effort: int = 400, nod
             continue
         longest = int(there[-1])
         left[longest] -= 1
-        wider = WIDER ** widened
         options, whole = _undominated(left, capacity - longest, longest, branches * wider, effort * wider) if longest < capacity else ([(0, ())], True)
         left[longest] += 1
         if not whole:                                 # the same node with a longer list is one more alternative
