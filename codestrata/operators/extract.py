@@ -199,7 +199,7 @@ def split_unresolved(resolved: DataFrame, files: DataFrame) -> tuple[DataFrame,
     names = workspace_packages(files).select("analysis_id", F.col("package").alias("root"), F.lit(True).alias("ours"))
     script = F.col("language").isin("typescript", "javascript")
     root = F.when(script, package_root(F.col("specifier"))).otherwise(F.element_at(F.split("specifier", r"\."), 1))
-    open_ends = resolved.where("target IS NULL").withColumn("root", root).join(names, ["analysis_id", "root"], "left")
+    open_ends = cut_lineage(resolved.where("target IS NULL").withColumn("root", root).join(names, ["analysis_id", "root"], "left"))
     meant = packages.aliased(open_ends.where(script), files).where("targets IS NOT NULL").select("analysis_id", "import_id", F.lit(True).alias("alias"))
     open_ends = open_ends.join(meant, ["analysis_id", "import_id"], "left")
     local = _is_local(F.coalesce("ours", F.lit(False)) | F.coalesce("alias", F.lit(False))) | F.col("computed")
