@@ -57,6 +57,52 @@ def t6_refunds(spark, folder):
     return admission.counted_allowance_with_refunds(_log(spark, folder).withColumn("refund", F.col("event_type") == "error"), ["user_id"], 5)
 
 
+# The gates' plain loops: one recursive step per event of each key, in the order of arrival.
+_ARRIVALS = """arrivals AS MATERIALIZED (SELECT {key} AS key, event_id, epoch_us(ts) // 1000 AS ms, {columns},
+  row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS place FROM log)"""
+
+T6_REFUNDS_SQL = f"""WITH RECURSIVE log AS ({b.LOG}), {_ARRIVALS.format(key="user_id", columns="event_type = 'error' AS refund")},
+steps AS (SELECT key, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS event_id, true AS granted, CAST(0 AS BIGINT) AS used FROM arrivals WHERE place = 1
+  UNION ALL SELECT a.key, a.place, a.event_id, a.refund OR s.used < 5, CASE WHEN a.refund THEN greatest(0, s.used - 1) WHEN s.used < 5 THEN s.used + 1 ELSE s.used END
+  FROM steps s JOIN arrivals a ON a.key = s.key AND a.place = s.place + 1)
+SELECT event_id, granted, used FROM steps WHERE place > 0"""
+
+T4_SQL = f"""WITH RECURSIVE log AS ({b.LOG}), {_ARRIVALS.format(key="user_id", columns="1 AS one")},
+steps AS (SELECT key, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS event_id, ms AS opened, CAST(0 AS BIGINT) AS n, ms AS now FROM arrivals WHERE place = 1
+  UNION ALL SELECT a.key, a.place, a.event_id, CASE WHEN a.ms >= s.opened + 86400000 THEN a.ms ELSE s.opened END, CASE WHEN a.ms >= s.opened + 86400000 THEN 1 ELSE s.n + 1 END, a.ms
+  FROM steps s JOIN arrivals a ON a.key = s.key AND a.place = s.place + 1)
+SELECT event_id, n <= 2 AS admitted, CASE WHEN n <= 2 THEN 0 ELSE CAST(greatest(1, ceil((opened + 86400000 - now) / 1000)) AS BIGINT) END AS wait_seconds FROM steps WHERE place > 0"""
+
+T5_SQL = f"""WITH RECURSIVE log AS ({b.LOG}), {_ARRIVALS.format(key="event_type", columns="1 AS one")},
+steps AS (SELECT key, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS event_id, true AS admitted, CAST([] AS BIGINT[]) AS taken FROM arrivals WHERE place = 1
+  UNION ALL SELECT key, place, event_id, len(live) < most, CASE WHEN len(live) < most THEN list_append(live, ms) ELSE live END
+  FROM (SELECT a.key, a.place, a.event_id, a.ms, CASE WHEN a.key = 'click' THEN 2 ELSE 1 END AS most, list_filter(s.taken, lambda t: t >= a.ms - 60000) AS live
+    FROM steps s JOIN arrivals a ON a.key = s.key AND a.place = s.place + 1) x)
+SELECT event_id, admitted FROM steps WHERE place > 0"""
+
+
+_PACIFIC = "CAST(timezone('America/Los_Angeles', timezone('UTC', ts)) AS DATE)"
+_RESET = f"""CAST(greatest(1, ceil((epoch_us(timezone('America/Los_Angeles', CAST({_PACIFIC} + 1 AS TIMESTAMP))) - epoch_us(timezone('UTC', ts))) / 1000000)) AS BIGINT)"""
+_T1_COLUMNS = f"event_id % 3 + 1 AS n, tokens AS t, class = 'index' AS i, {_PACIFIC} AS day, {_RESET} AS day_wait"
+T1_SQL = f"""WITH RECURSIVE log AS ({b.LOG}), {_ARRIVALS.format(key="event_type", columns=_T1_COLUMNS)},
+steps AS (SELECT key, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS event_id, 'ok' AS reason, CAST(0 AS BIGINT) AS wait_seconds, CAST([] AS STRUCT(ms BIGINT, n BIGINT, t BIGINT, i BOOLEAN)[]) AS live,
+    day, CAST(0 AS HUGEINT) AS day_n, CAST(0 AS HUGEINT) AS day_i FROM arrivals WHERE place = 1
+  UNION ALL SELECT key, place, event_id, reason, CASE reason WHEN 'ok' THEN 0 WHEN 'day' THEN day_wait WHEN 'too_large' THEN NULL
+      ELSE coalesce(CAST(ceil(greatest(1000, oldest + 60001 - ms) / 1000) AS BIGINT), 60) END,
+    CASE WHEN reason = 'ok' THEN list_append(live, {{'ms': ms, 'n': n, 't': t, 'i': i}}) ELSE live END, day,
+    day_n + CASE WHEN reason = 'ok' THEN n ELSE 0 END, day_i + CASE WHEN reason = 'ok' AND i THEN n ELSE 0 END
+  FROM (SELECT *, CASE WHEN n > CASE WHEN i THEN 3 ELSE 4 END OR t > CASE WHEN i THEN 2000 ELSE 2500 END THEN 'too_large'
+      WHEN all_n + n > 4 OR all_t + t > 2500 THEN 'minute' WHEN i AND (mine_n + n > 3 OR mine_t + t > 2000) THEN 'minute'
+      WHEN day_n + n > 300 OR i AND day_i + n > 250 THEN 'day' ELSE 'ok' END AS reason,
+      CASE WHEN all_n + n > 4 OR all_t + t > 2500 THEN live[1].ms ELSE mine[1].ms END AS oldest
+    FROM (SELECT *, coalesce(list_sum([e.n for e in live]), 0) AS all_n, coalesce(list_sum([e.t for e in live]), 0) AS all_t,
+        coalesce(list_sum([e.n for e in mine]), 0) AS mine_n, coalesce(list_sum([e.t for e in mine]), 0) AS mine_t
+      FROM (SELECT *, list_filter(live, lambda e: e.i) AS mine
+        FROM (SELECT a.*, list_filter(s.live, lambda e: e.ms > a.ms - 60000) AS live, CASE WHEN s.day = a.day THEN s.day_n ELSE 0 END AS day_n, CASE WHEN s.day = a.day THEN s.day_i ELSE 0 END AS day_i
+          FROM steps s JOIN arrivals a ON a.key = s.key AND a.place = s.place + 1) x) y) z) w)
+SELECT event_id, reason = 'ok' AS admitted, reason, wait_seconds FROM steps WHERE place > 0"""
+
+
 def t7(spark, folder):
     return jobs.latest_progress(_log(spark, folder), "user_id", ["ts", "event_id"], ["event_type", "value", "event_id"])
 
@@ -181,8 +227,8 @@ L4_SAVED_SQL = """SELECT id, analysis_id, user_id, created_at, place, n >= 40 AS
   row_number() OVER (PARTITION BY user_id % 50, event_type ORDER BY ts DESC, event_id DESC) AS place, count(*) OVER (PARTITION BY user_id % 50, event_type) AS n FROM events) x WHERE place <= 40"""
 
 QUERIES = {
-    "t1_quota_admission": (t1, None), "t2_quota_limits": (t2, T2_SQL), "t3_usage_reconcile": (t3, T3_SQL), "t4_submission_allowance": (t4, None), "t5_request_rate_limit": (t5, None),
-    "t6_counted_allowance": (t6, T6_SQL), "t6_counted_allowance_refunds": (t6_refunds, None), "t7_job_progress_latest": (t7, T7_SQL), "t7_job_progress_changes": (t7_changes, T7_CHANGES_SQL),
+    "t1_quota_admission": (t1, T1_SQL), "t2_quota_limits": (t2, T2_SQL), "t3_usage_reconcile": (t3, T3_SQL), "t4_submission_allowance": (t4, T4_SQL), "t5_request_rate_limit": (t5, T5_SQL),
+    "t6_counted_allowance": (t6, T6_SQL), "t6_counted_allowance_refunds": (t6_refunds, T6_REFUNDS_SQL), "t7_job_progress_latest": (t7, T7_SQL), "t7_job_progress_changes": (t7_changes, T7_CHANGES_SQL),
     "t8_stale_lease_recovery": (t8, T8_SQL), "t9_retry_schedule": (t9, T9_SQL), "t12_arrival_minutes": (t12("minute"), T12_MINUTE), "t12_arrival_sliding": (t12("sliding"), T12_SLIDING),
     "t12_arrival_sessions": (t12("session"), T12_SESSION), "t_pacific_reset": (t_reset, T_RESET_SQL), "l1_repository_list": (l1, L1_SQL), "l2_snapshot_list": (l2, L2_SQL),
     "l3_access_filter": (l3, L3_SQL), "l4_latest_n_per_owner": (l4, L4_SQL), "l4_saved_investigations": (l4_saved, L4_SAVED_SQL),

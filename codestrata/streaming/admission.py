@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.clock import epoch_millis, pacific_reset_seconds
 from ..functions.ranking import top_per_group
+from .clamps import running_clamp
 from .folds import fold
 
 WINDOW_MS = 60_000
@@ -141,10 +142,11 @@ def counted_allowance(events: DataFrame, keys: list[str], order: list[Column], l
 
 
 def counted_allowance_with_refunds(events: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Uses and refunds in order: a use is granted below the limit, a refund never goes below zero. events: …, refund."""
-    def step(state: dict, row) -> tuple:
-        used = state.get("used", 0)
-        granted = row.refund or used < limit
-        state["used"] = max(0, used - 1) if row.refund else used + int(granted)
-        return bool(granted), state["used"]
-    return fold(events, keys, ["ms", "event_id"], float("inf"), dict, step, "event_id", "event_id long, granted boolean, used long")
+    """Uses and refunds in order: a use is granted below the limit, a refund never goes below zero.
+
+    events: keys, event_id, ts, refund (null: a use). The counter is a clamp between 0 and the limit, so a key of any size
+    is spread over tasks. Of a use and a refund that are equal in ts and event_id the refund comes first.
+    """
+    plain = events.select(*keys, "event_id", "ts", F.coalesce("refund", F.lit(False)).alias("refund"))
+    counted = running_clamp(plain, keys, ["ts", "event_id"], F.when(F.col("refund"), -1).otherwise(1), 0, limit)
+    return counted.select("event_id", (F.col("refund") | (F.col("before") < limit)).alias("granted"), F.col("after").alias("used"))

@@ -18,7 +18,7 @@ def canonical(frame: pd.DataFrame) -> list:
     for row in frame.itertuples(index=False):
         cells = []
         for v in row:
-            if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+            if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
                 cells.append("~")
             elif isinstance(v, bool) or type(v).__name__ == "bool_":
                 cells.append(str(bool(v)))
