@@ -54,16 +54,33 @@ def r4_batches(spark, folder):
     return retrieval.pack_batches(r4(spark, folder), 18_000)
 
 
-R4_BATCHES_SQL = b.with_chunks("""SELECT p.analysis_id, p.position, p.cost, max(w.position) AS batch_start FROM placed p JOIN walk w ON w.analysis_id = p.analysis_id AND w.position <= p.position
-  AND w.position > p.position - 8 GROUP BY ALL""", """placed AS MATERIALIZED (SELECT analysis_id, row_number() OVER (PARTITION BY analysis_id ORDER BY ord) AS position, octet_length(encode(text)) + 128 AS cost FROM chunks),
+_R4_JUMPS = """placed AS MATERIALIZED (SELECT analysis_id, row_number() OVER (PARTITION BY analysis_id ORDER BY ord) AS position, octet_length(encode(text)) + 128 AS cost FROM chunks),
 sums AS (SELECT *, sum(cost) OVER (PARTITION BY analysis_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS c2, sum(cost) OVER (PARTITION BY analysis_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS c3,
   sum(cost) OVER (PARTITION BY analysis_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS c4, sum(cost) OVER (PARTITION BY analysis_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS c5,
   sum(cost) OVER (PARTITION BY analysis_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS c6, sum(cost) OVER (PARTITION BY analysis_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS c7,
   sum(cost) OVER (PARTITION BY analysis_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS c8 FROM placed),
 jumps AS MATERIALIZED (SELECT analysis_id, position, position + CASE WHEN c2 > 18000 THEN 1 WHEN c3 > 18000 THEN 2 WHEN c4 > 18000 THEN 3 WHEN c5 > 18000 THEN 4 WHEN c6 > 18000 THEN 5 WHEN c7 > 18000 THEN 6
-  WHEN c8 > 18000 THEN 7 ELSE 8 END AS nxt FROM sums),
+  WHEN c8 > 18000 THEN 7 ELSE 8 END AS nxt FROM sums)"""
+R4_BATCHES_SQL = b.with_chunks("""SELECT p.analysis_id, p.position, p.cost, max(w.position) AS batch_start FROM placed p JOIN walk w ON w.analysis_id = p.analysis_id AND w.position <= p.position
+  AND w.position > p.position - 8 GROUP BY ALL""", f"""{_R4_JUMPS},
 walk AS (SELECT analysis_id, position, nxt FROM jumps WHERE position = 1 UNION ALL SELECT j.analysis_id, j.position, j.nxt FROM walk w JOIN jumps j ON j.analysis_id = w.analysis_id AND j.position = w.nxt)""").replace("WITH ", "WITH RECURSIVE ", 1)
 
+
+def r4_calls(spark, folder):
+    """A day whose requests end three quarters of the way through each snapshot."""
+    placed = cut_lineage(r4(spark, folder))
+    left = placed.groupBy("analysis_id").agg(F.floor(F.count("*") * 3 / 4).cast("long").alias("left"))
+    return retrieval.calls_of_a_day(retrieval.pack_batches(placed, 18_000), left, 18_000)
+
+
+R4_CALLS_SQL = b.with_chunks("SELECT analysis_id, start AS call_start, CASE WHEN size <= room THEN size ELSE 0 END AS size, refusals + CASE WHEN size <= room THEN 0 ELSE 1 END AS refusals FROM walk WHERE size <= room OR size = 1",
+                             f"""{_R4_JUMPS},
+ends AS (SELECT analysis_id, max(position) AS n FROM placed GROUP BY analysis_id),
+sizes AS MATERIALIZED (SELECT analysis_id, position, least(nxt - position, n - position + 1) AS size, n * 3 // 4 AS room FROM jumps JOIN ends USING (analysis_id)),
+walk AS (SELECT analysis_id, position AS start, size, room, 0 AS refusals FROM sizes WHERE position = 1
+  UNION ALL SELECT z.analysis_id, z.position, CASE WHEN w.size <= w.room THEN z.size ELSE w.size // 2 END, CASE WHEN w.size <= w.room THEN w.room - w.size ELSE w.room END, CASE WHEN w.size <= w.room THEN 0 ELSE w.refusals + 1 END
+  FROM walk w JOIN sizes z ON z.analysis_id = w.analysis_id AND z.position = CASE WHEN w.size <= w.room THEN w.start + w.size ELSE w.start END WHERE w.size <= w.room OR w.size > 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
 _SPACES = """SELECT vec_id, embedding, label, concat('m:64:v', vec_id % 2) AS embedding_config FROM embeddings"""
 
 
@@ -249,7 +266,7 @@ def r20(spark, folder):
 R20_SQL = "SELECT vec_id, concat('model-', label) AS model, CAST(64 AS INT) AS dimensions, concat('model-', label, ':64:v', vec_id % 2) AS embedding_config FROM embeddings WHERE label <> 4"
 
 QUERIES = {
-    "r1_followup_topic": (r1, R1_SQL), "r3_embed_batch_job": (r3, R3_SQL), "r4_token_cost": (r4, R4_SQL), "r4_token_batching": (r4_batches, R4_BATCHES_SQL),
+    "r1_followup_topic": (r1, R1_SQL), "r3_embed_batch_job": (r3, R3_SQL), "r4_token_cost": (r4, R4_SQL), "r4_token_batching": (r4_batches, R4_BATCHES_SQL), "r4_calls_of_a_day": (r4_calls, R4_CALLS_SQL),
     "r5_vector_topk": (r5, R5_SQL), "r6_lexical_topk": (r6, R6_SQL), "r7_search_terms": (r7, R7_SQL), "r8_rrf_fusion": (r8, R8_SQL), "r9_rank_boosts": (r9, R9_SQL),
     "r10_target_files": (r10, R10_SQL), "r11_graph_expansion": (r11, None), "r12_diversify": (r12, R12_SQL), "r13_evidence_select": (r13, None),
     "r14_evidence_registry": (r14, R14_SQL), "r15_payload_budget": (r15, None), "r18_recall_at_k": (r18, R18_SQL), "r20_query_vs_index_space": (r20, R20_SQL),

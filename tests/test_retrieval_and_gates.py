@@ -97,6 +97,46 @@ def test_packing_across_blocks(spark):
     assert sorted({r.batch_start for r in retrieval.pack_batches(table, 25).select("batch_start").collect()}) == starts
 
 
+def test_entries_come_down_a_tree_of_maps(spark):
+    rng, size, rows, want = random.Random(9), 8, [], {}
+    for name, blocks in (("a", 9000), ("b", 64), ("c", 1)):
+        maps = [[rng.randrange(size) for _ in range(size)] for _ in range(blocks)]
+        rows += [(name, n, m) for n, m in enumerate(maps)]
+        at = 0
+        for n, m in enumerate(maps):
+            want[name, n], at = at, m[at]
+    table = spark.createDataFrame(rows, "analysis_id string, _block long, _next array<int>")
+    got = {(r["analysis_id"], r["_block"]): r["first"] for r in retrieval.chained_entries(table, size).collect()}
+    assert got == want
+    assert retrieval.chained_entries(table.where("false"), size).count() == 0
+
+
+def test_a_refused_batch_is_halved(spark):
+    rng = random.Random(4)
+    costs = {f"s{n}": [rng.choice([1, 3, 9, 20]) for _ in range(rng.randint(1, 60))] for n in range(30)}
+    left = {name: rng.randint(-1, 60) for name in list(costs)[:25]}
+    want = []
+    for name, own in costs.items():
+        at, room, done = 0, max(0, left.get(name, 10**6)), False
+        while at < len(own) and not done:
+            size = 1
+            while at + size < len(own) and size < 8 and sum(own[at:at + size + 1]) <= 25:
+                size += 1
+            refusals = 0
+            while size > room and not done:
+                refusals += 1
+                if size == 1:
+                    done = True
+                else:
+                    size //= 2
+            want.append((name, at + 1, 0 if done else size, refusals))
+            at, room = at + size, room - size
+    table = spark.createDataFrame([(n, i + 1, c) for n, own in costs.items() for i, c in enumerate(own)], "analysis_id string, position long, cost long")
+    remaining = spark.createDataFrame(list(left.items()), "analysis_id string, left long")
+    calls = retrieval.calls_of_a_day(retrieval.pack_batches(table, 25), remaining, 25)
+    assert sorted(map(tuple, calls.collect())) == sorted(want) and any(r for *_, r in want)
+
+
 def test_embedding_reuses_the_cache(spark):
     items = spark.createDataFrame([("1", "h1", "alpha beta"), ("2", "h1", "alpha beta"), ("3", "h2", "gamma")], "id string, input_hash string, embedding_text string")
     empty = spark.createDataFrame([], "input_hash string, embedding_config string, embedding array<double>")
