@@ -1,9 +1,13 @@
 """Gates, schedules, windows and access queries over the event log."""
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.clock import pacific_reset_seconds
 from ..operators import access
-from ..streaming import admission, jobs
+from ..session import checkpoint_folder
+from ..streaming import admission, jobs, ledger
 from . import bindings as b
 
 
@@ -144,6 +148,32 @@ T9_SQL = """SELECT event_id, attempt, delay_seconds, ts + to_seconds(CAST(delay_
     SELECT *, event_type IN ('error', 'click') AS failed, sum(CASE WHEN event_type IN ('error', 'click') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events) a) c WHERE failed) x"""
 
 
+_MEMBERS = {"documents": "source AS analysis_id, concat('d', doc_id) AS path, text AS content",
+            "pages": "concat('src', page_id % 20) AS analysis_id, concat('p', page_id) AS path, html AS content"}
+
+
+def _file_facts(members):
+    return members.select("analysis_id", "path", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("content_hash"))
+
+
+def _snapshot_totals(files):
+    return files.groupBy("analysis_id").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.countDistinct("content_hash").alias("contents"))
+
+
+def t10(spark, folder):
+    """Documents, then pages, arrive as members of the same snapshots: the second arrival merges with the first and runs its stages again."""
+    out = f"{checkpoint_folder(spark)}/codestrata/{uuid.uuid4().hex}"
+    for table, columns in _MEMBERS.items():
+        # A pattern, as a stream takes a single file by that only; a folder of files fits it as well.
+        arriving = spark.readStream.schema(spark.read.parquet(f"{folder}/{table}.parquet").schema).parquet(f"{folder}/{table}.[p]arquet").selectExpr(*[c.strip() for c in re.split(r",(?![^(]*\))", columns)])
+        ledger.staged_intake(arriving, [("files", _file_facts), ("totals", _snapshot_totals)], f"{out}/tables", f"{out}/{table}").awaitTermination()
+    return ledger.current(spark, f"{out}/tables", "totals")
+
+
+T10_SQL = f"""SELECT analysis_id, count(*) AS files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes, count(DISTINCT sha256(content)) AS contents
+FROM ({' UNION ALL '.join(f'SELECT {columns} FROM {table}' for table, columns in _MEMBERS.items())}) m GROUP BY analysis_id"""
+
+
 def t12(which):
     def call(spark, folder):
         return jobs.arrival_windows(_log(spark, folder), "event_type")[which]
@@ -229,7 +259,7 @@ L4_SAVED_SQL = """SELECT id, analysis_id, user_id, created_at, place, n >= 40 AS
 QUERIES = {
     "t1_quota_admission": (t1, T1_SQL), "t2_quota_limits": (t2, T2_SQL), "t3_usage_reconcile": (t3, T3_SQL), "t4_submission_allowance": (t4, T4_SQL), "t5_request_rate_limit": (t5, T5_SQL),
     "t6_counted_allowance": (t6, T6_SQL), "t6_counted_allowance_refunds": (t6_refunds, T6_REFUNDS_SQL), "t7_job_progress_latest": (t7, T7_SQL), "t7_job_progress_changes": (t7_changes, T7_CHANGES_SQL),
-    "t8_stale_lease_recovery": (t8, T8_SQL), "t9_retry_schedule": (t9, T9_SQL), "t12_arrival_minutes": (t12("minute"), T12_MINUTE), "t12_arrival_sliding": (t12("sliding"), T12_SLIDING),
+    "t8_stale_lease_recovery": (t8, T8_SQL), "t9_retry_schedule": (t9, T9_SQL), "t10_incremental_ingest": (t10, T10_SQL), "t12_arrival_minutes": (t12("minute"), T12_MINUTE), "t12_arrival_sliding": (t12("sliding"), T12_SLIDING),
     "t12_arrival_sessions": (t12("session"), T12_SESSION), "t_pacific_reset": (t_reset, T_RESET_SQL), "l1_repository_list": (l1, L1_SQL), "l2_snapshot_list": (l2, L2_SQL),
     "l3_access_filter": (l3, L3_SQL), "l4_latest_n_per_owner": (l4, L4_SQL), "l4_saved_investigations": (l4_saved, L4_SAVED_SQL),
 }
