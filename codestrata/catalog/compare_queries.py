@@ -216,6 +216,21 @@ SELECT answer_id, blocks, citations_used, odd = 0 AND odd_edges = 0 AND uncited
   CASE WHEN blocks > 20 THEN 'shape' WHEN odd > 0 THEN 'citation' WHEN odd_edges > 0 THEN 'relationship' WHEN uncited > 0 THEN 'uncited_fact' END AS reason, inference_warning FROM per"""
 
 
+# Here an assistant's block cites what the user's block before it cites.
+_FOLLOWING = f"""SELECT answer_id, block_no, cite, CASE WHEN kind = 'inference' THEN concat('S', block_no - 1) ELSE '' END AS also FROM ({_BLOCKS}) z"""
+
+
+def v7_used(spark, folder):
+    b.open_tables(spark, folder)
+    blocks = spark.sql(_FOLLOWING).select("answer_id", "block_no", F.filter(F.array("cite", "also"), lambda x: x != "").alias("citation_ids"))
+    return quality.used_citations(blocks, spark.sql(_REGISTRY))
+
+
+V7_USED_SQL = f"""SELECT answer_id, citation_id, min(block_no) AS first_block, count(*) AS uses FROM (SELECT DISTINCT answer_id, block_no, citation_id FROM (
+  SELECT answer_id, block_no, cite AS citation_id FROM ({_FOLLOWING}) a UNION ALL SELECT answer_id, block_no, also FROM ({_FOLLOWING}) c) u) d
+WHERE EXISTS (SELECT 1 FROM ({_REGISTRY}) r WHERE r.answer_id = d.answer_id AND r.citation_id = d.citation_id) GROUP BY answer_id, citation_id"""
+
+
 def v8(spark, folder):
     b.open_tables(spark, folder)
     bent = spark.sql("SELECT vec_id AS id, CASE WHEN label = 1 THEN slice(embedding, 1, 63) WHEN label = 2 THEN transform(embedding, x -> cast(0 AS float)) "
@@ -225,10 +240,23 @@ def v8(spark, folder):
 
 V8_SQL = "SELECT vec_id AS id, CASE label WHEN 1 THEN 'dimension' WHEN 2 THEN 'zero' ELSE 'not_finite' END AS problem FROM embeddings WHERE label IN (1, 2, 3)"
 
+
+_SENT, _RECEIVED = ("SELECT cast(floor(vec_id / 8) AS bigint) AS batch_id, vec_id FROM embeddings", "SELECT cast(floor(vec_id / 8) AS bigint) AS batch_id, vec_id FROM embeddings WHERE label <> 2")
+
+
+def v8_batches(spark, folder):
+    """Batches of eight inputs; the answer lacks the vectors of one label."""
+    b.open_tables(spark, folder)
+    return quality.batch_mismatches(spark.sql(_SENT), spark.sql(_RECEIVED))
+
+
+V8_BATCHES_SQL = f"""SELECT batch_id, asked, coalesce(returned, 0) AS returned FROM (SELECT batch_id, count(*) AS asked FROM ({_SENT}) s GROUP BY batch_id) a
+LEFT JOIN (SELECT batch_id, count(*) AS returned FROM ({_RECEIVED}) r GROUP BY batch_id) g USING (batch_id) WHERE asked <> coalesce(returned, 0)"""
+
 QUERIES = {
     "d1_file_changes": (d1, D1_SQL), "d2_symbol_delta": (d2, D2_SQL), "d3_relationship_delta": (d3, D3_SQL), "d3_relationship_totals": (d3_totals, D3_TOTALS_SQL),
     "d4_line_delta": (d4, D4_SQL), "d4_line_totals": (d4_totals, D4_TOTALS_SQL), "d5_same_repository_guard": (d5, D5_SQL), "d6_changed_file_coverage": (d6, D6_SQL),
     "d9_paged_listing": (d9, D9_SQL), "v1_dangling_edges": (v1, V1_SQL), "v2_duplicate_nodes": (v2, V2_SQL), "v3_range_check": (v3, V3_SQL),
     "v4_enum_and_schema_check": (v4, V4_SQL), "v5_count_reconcile": (v5, V5_SQL), "v6_citation_check": (v6, V6_SQL), "v7_answer_grounding": (v7, V7_SQL),
-    "v8_vector_check": (v8, V8_SQL),
+    "v7_used_citations": (v7_used, V7_USED_SQL), "v8_vector_check": (v8, V8_SQL), "v8_batch_equality": (v8_batches, V8_BATCHES_SQL),
 }

@@ -263,6 +263,15 @@ UNION ALL SELECT concat(analysis_id, '#', id), 1, concat('No resolved dependents
   JOIN nodes n ON n.k = e.sk WHERE e.kind <> 'contains')""", *breadth_first_sql(1, 30))
 
 
+def g11_warnings(spark, folder):
+    nodes, edges, focus, _ = _focus(spark, folder)
+    return graph.dependency_warnings(nodes, edges, focus, "both", 3)
+
+
+G11_WARNINGS_SQL = b.with_graph("""SELECT request_id, omitted, concat('Showing a bounded view; ', omitted, ' additional nodes omitted.') AS warning FROM left_out""",
+                                START, BOTH_LINKS, *breadth_first_sql(1, 3))
+
+
 def _entries(nodes, focus):
     picked = focus.join(nodes.select("analysis_id", F.col("id").alias("node_id"), "path", "ord"), ["analysis_id", "node_id"])
     return picked.select("analysis_id", "path", "ord")
@@ -361,6 +370,6 @@ QUERIES = {
     "g2_graph_project_modules": (g2_modules, G2_MODULES_SQL), "g3_module_boundaries": (g3, G3_SQL), "g4_module_rollup": (g4, G4_SQL),
     "g4_module_rollup_members": (g4_members, G4_MEMBERS_SQL), "g5_container_drill": (g5, G5_SQL), "g6_file_relationships": (g6, G6_SQL),
     "g7_impact": (g7, G7_SQL), "g8_impact_tests": (g8, G8_SQL), "g9_impact_routes": (g9, G9_SQL), "g10_edge_citation": (g10, G10_SQL),
-    "g11_dependency_facts": (g11, G11_SQL), "g12_dependents_rank": (g12, G12_SQL), "g13_architecture_walk": (g13, G13_SQL),
+    "g11_dependency_facts": (g11, G11_SQL), "g11_dependency_warnings": (g11_warnings, G11_WARNINGS_SQL), "g12_dependents_rank": (g12, G12_SQL), "g13_architecture_walk": (g13, G13_SQL),
     "g13_walk_starts": (g13_starts, G13_STARTS_SQL), "g14_directory_listing": (g14, G14_SQL), "g15_node_search": (g15, G15_SQL),
 }

@@ -257,6 +257,13 @@ R18_SQL = f"""WITH {_COSINE} SELECT concat(s.embedding_config, '#', s.label) AS
 FROM spaced s LEFT JOIN top20 t ON t.rank <= 10 AND t.item_id = s.vec_id AND t.request_id = concat(s.embedding_config, '#', s.label) GROUP BY s.embedding_config, s.label"""
 
 
+def r18_macro(spark, folder):
+    return retrieval.macro_recall(r18(spark, folder))
+
+
+R18_MACRO_SQL = f"SELECT round(avg(recall), 6) AS recall, count(*) AS requests, round(avg(recall), 6) >= 0.85 AS passed FROM ({R18_SQL}) q"
+
+
 def r20(spark, folder):
     b.open_tables(spark, folder)
     profiles = spark.sql("SELECT vec_id, concat('p:chunk-v2:model-', label, CASE WHEN label = 4 THEN ':wide' ELSE ':64' END, ':v', vec_id % 2) AS profile FROM embeddings")
@@ -269,5 +276,5 @@ QUERIES = {
     "r1_followup_topic": (r1, R1_SQL), "r3_embed_batch_job": (r3, R3_SQL), "r4_token_cost": (r4, R4_SQL), "r4_token_batching": (r4_batches, R4_BATCHES_SQL), "r4_calls_of_a_day": (r4_calls, R4_CALLS_SQL),
     "r5_vector_topk": (r5, R5_SQL), "r6_lexical_topk": (r6, R6_SQL), "r7_search_terms": (r7, R7_SQL), "r8_rrf_fusion": (r8, R8_SQL), "r9_rank_boosts": (r9, R9_SQL),
     "r10_target_files": (r10, R10_SQL), "r11_graph_expansion": (r11, None), "r12_diversify": (r12, R12_SQL), "r13_evidence_select": (r13, None),
-    "r14_evidence_registry": (r14, R14_SQL), "r15_payload_budget": (r15, None), "r18_recall_at_k": (r18, R18_SQL), "r20_query_vs_index_space": (r20, R20_SQL),
+    "r14_evidence_registry": (r14, R14_SQL), "r15_payload_budget": (r15, None), "r18_recall_at_k": (r18, R18_SQL), "r18_macro_recall": (r18_macro, R18_MACRO_SQL), "r20_query_vs_index_space": (r20, R20_SQL),
 }

@@ -148,6 +148,17 @@ T9_SQL = """SELECT event_id, attempt, delay_seconds, ts + to_seconds(CAST(delay_
     SELECT *, event_type IN ('error', 'click') AS failed, sum(CASE WHEN event_type IN ('error', 'click') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events) a) c WHERE failed) x"""
 
 
+def t9_rules(spark, folder):
+    """A task's delay and whether its user may set the time themselves, for every event as a failed try."""
+    attempt, told = F.pmod("event_id", F.lit(6)).cast("int"), F.when(F.col("value") > 100, F.col("value"))
+    asked = F.timestamp_add("HOUR", (F.pmod("event_id", F.lit(80)) - 10).cast("int"), F.col("ts"))
+    return _log(spark, folder).select("event_id", F.round(jobs.task_retry_delay(attempt, F.col("event_type") == "error", told), 6).alias("delay_seconds"),
+                                      jobs.user_retry_allowed(F.col("ts"), asked).alias("user_allowed"))
+
+
+T9_RULES_SQL = """SELECT event_id, round(greatest(least(240, CASE WHEN event_type = 'error' THEN 60 ELSE 10 END * pow(2, event_id % 6)), coalesce(CASE WHEN value > 100 THEN value END, 0)), 6) AS delay_seconds,
+  event_id % 80 - 10 > 0 AND event_id % 80 - 10 <= 48 AS user_allowed FROM events"""
+
 _MEMBERS = {"documents": "source AS analysis_id, concat('d', doc_id) AS path, text AS content",
             "pages": "concat('src', page_id % 20) AS analysis_id, concat('p', page_id) AS path, html AS content"}
 
@@ -259,7 +270,7 @@ L4_SAVED_SQL = """SELECT id, analysis_id, user_id, created_at, place, n >= 40 AS
 QUERIES = {
     "t1_quota_admission": (t1, T1_SQL), "t2_quota_limits": (t2, T2_SQL), "t3_usage_reconcile": (t3, T3_SQL), "t4_submission_allowance": (t4, T4_SQL), "t5_request_rate_limit": (t5, T5_SQL),
     "t6_counted_allowance": (t6, T6_SQL), "t6_counted_allowance_refunds": (t6_refunds, T6_REFUNDS_SQL), "t7_job_progress_latest": (t7, T7_SQL), "t7_job_progress_changes": (t7_changes, T7_CHANGES_SQL),
-    "t8_stale_lease_recovery": (t8, T8_SQL), "t9_retry_schedule": (t9, T9_SQL), "t10_incremental_ingest": (t10, T10_SQL), "t12_arrival_minutes": (t12("minute"), T12_MINUTE), "t12_arrival_sliding": (t12("sliding"), T12_SLIDING),
+    "t8_stale_lease_recovery": (t8, T8_SQL), "t9_retry_schedule": (t9, T9_SQL), "t9_retry_rules": (t9_rules, T9_RULES_SQL), "t10_incremental_ingest": (t10, T10_SQL), "t12_arrival_minutes": (t12("minute"), T12_MINUTE), "t12_arrival_sliding": (t12("sliding"), T12_SLIDING),
     "t12_arrival_sessions": (t12("session"), T12_SESSION), "t_pacific_reset": (t_reset, T_RESET_SQL), "l1_repository_list": (l1, L1_SQL), "l2_snapshot_list": (l2, L2_SQL),
     "l3_access_filter": (l3, L3_SQL), "l4_latest_n_per_owner": (l4, L4_SQL), "l4_saved_investigations": (l4_saved, L4_SAVED_SQL),
 }

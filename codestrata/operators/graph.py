@@ -274,6 +274,14 @@ def dependency_facts(nodes: DataFrame, edges: DataFrame, files: DataFrame, reque
     return facts.unionByName(empty)
 
 
+def dependency_warnings(nodes: DataFrame, edges: DataFrame, requests: DataFrame, direction: str = "both", cap: int = 30) -> DataFrame:
+    """What ``dependency_facts`` leaves out under the same limit: request_id, omitted, warning; no row where nothing is missing."""
+    _, _, omitted = neighbors(nodes, edges, requests, direction, 1, cap)
+    # Fixed text: the sentence users are shown.
+    text = F.concat(F.lit("Showing a bounded view; "), F.col("omitted").cast("string"), F.lit(" additional nodes omitted."))
+    return omitted.where("omitted > 0").select("request_id", "omitted", text.alias("warning"))
+
+
 def suggested_files(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Up to four files to start from: the three with most dependents, one entry point, then the next ones."""
     degree = (edges.where("kind IN ('imports', 'reexports')").groupBy("analysis_id", F.col("target").alias("id"))

@@ -101,6 +101,16 @@ def grounding(blocks: DataFrame, registry: DataFrame, relations: DataFrame) -> D
                          (F.col("has_inference") == 1).alias("inference_warning"))
 
 
+def used_citations(blocks: DataFrame, registry: DataFrame) -> DataFrame:
+    """The registered citations that an answer's blocks use: answer_id, citation_id, first_block, uses (blocks that name it).
+
+    blocks: answer_id, block_no, citation_ids.  registry: answer_id, citation_id. A citation named twice in a block counts once.
+    """
+    named = blocks.select("answer_id", "block_no", F.explode(F.array_distinct("citation_ids")).alias("citation_id"))
+    known = named.join(registry.select("answer_id", "citation_id"), ["answer_id", "citation_id"], "left_semi")
+    return known.groupBy("answer_id", "citation_id").agg(F.min("block_no").alias("first_block"), F.count("*").alias("uses"))
+
+
 def bad_vectors(rows: DataFrame, dimensions: int) -> DataFrame:
     """rows: id, embedding. Vectors of wrong size, with odd values, or of length zero."""
     return rows.select("id", vectors.vector_problem(F.col("embedding"), dimensions).alias("problem")).where("problem IS NOT NULL")
