@@ -26,6 +26,16 @@ def c1(spark, folder):
     return chunking.select_regions(regions_of(files_of(spark, folder))).select("analysis_id", "file_id", "start_line", "end_line")
 
 
+# One step per region of a file, smallest first.
+C1_SQL = b.with_members("SELECT analysis_id, file_id, CAST(s AS INT) AS start_line, CAST(e AS INT) AS end_line FROM walk WHERE joined", """
+regions AS MATERIALIZED (SELECT analysis_id, file_id, s, e, row_number() OVER (PARTITION BY analysis_id, file_id ORDER BY e - s, s, e) AS turn FROM (
+  SELECT analysis_id, file_id, s, least(n, s + ord % 5) AS e FROM (SELECT *, unnest(generate_series(1, n, 3)) AS s FROM (SELECT *, len(string_split(content, chr(10))) AS n FROM files) a) x) y),
+walk AS (SELECT analysis_id, file_id, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, false AS joined, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS kept FROM regions WHERE turn = 1
+  UNION ALL SELECT analysis_id, file_id, turn, s, e, fits, CASE WHEN fits THEN list_append(kept, {'s': s, 'e': e}) ELSE kept END
+  FROM (SELECT r.*, w.kept, len([k for k in w.kept if r.s <= k.e AND k.s <= r.e]) = 0 AS fits
+    FROM walk w JOIN regions r ON r.analysis_id = w.analysis_id AND r.file_id = w.file_id AND r.turn = w.turn + 1) z)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def c2(spark, folder):
     files = files_of(spark, folder)
     return chunking.uncovered_runs(sized(files), regions_of(files).where("start_line % 2 = 1"))
@@ -173,7 +183,7 @@ UNION SELECT analysis_id, concat(count(*) - 100, ' more diagnostics are not list
 UNION SELECT analysis_id, concat(count(*), ' references have no target; none was made up.') FROM edges WHERE kind = 'calls' AND start_line = 1 GROUP BY analysis_id""")
 
 QUERIES = {
-    "c1_region_select": (c1, None), "c2_uncovered_runs": (c2, C2_SQL), "c3_size_split": (c3, None), "c3_chunk_reconstruction": (c3_rebuilt, C3_SQL),
+    "c1_region_select": (c1, C1_SQL), "c2_uncovered_runs": (c2, C2_SQL), "c3_size_split": (c3, None), "c3_chunk_reconstruction": (c3_rebuilt, C3_SQL),
     "c4_small_group": (c4, None), "c5_chunk_record": (c5, C5_SQL), "c6_preview_order": (c6_order, C6_SQL), "c6_preview_select": (c6, None), "c7_coverage": (c7, C7_SQL),
     "o1_manifest_dependencies": (o1, O1_SQL), "o2_framework_detection": (o2, O2_SQL), "o3_entry_points": (o3, O3_SQL), "o4_route_table": (o4, O4_SQL), "o5_snapshot_counts": (o5, O5_SQL),
     "o5_snapshot_warnings": (o5_warnings, O5_WARNINGS_SQL),

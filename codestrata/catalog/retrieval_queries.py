@@ -215,16 +215,34 @@ def r12(spark, folder):
     return _ranked(spark, folder).select("request_id", "chunk_id", "place")
 
 
-R12_SQL = b.with_chunks("""SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN first AND lead <= 8 THEN 0 ELSE 1 END, rank) AS place FROM (
+_PLACED = """SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN first AND lead <= 8 THEN 0 ELSE 1 END, rank) AS place FROM (
   SELECT *, rank = min(rank) OVER (PARTITION BY request_id, file_id) AS first, sum(CASE WHEN fr = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY rank) AS lead FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id, file_id ORDER BY rank) AS fr FROM (
-      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM boosted) a) c) d""", _BM25, _NEAR, _R9)
+      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM boosted) a) c) d"""
+R12_SQL = b.with_chunks(_PLACED, _BM25, _NEAR, _R9)
 
 
 def r13(spark, folder):
     return retrieval.select_evidence(_ranked(spark, folder))
 
 
+# One step per candidate in order; each adds itself to what is kept or leaves it as it was.
+R13_SQL = b.with_chunks("SELECT request_id, chunk_id, len(kept) AS number FROM walk WHERE joined", _BM25, _NEAR, _R9, f"""placed AS MATERIALIZED ({_PLACED}),
+judged AS (SELECT p.request_id, p.place, c.chunk_id, c.file_id, c.start_line AS s, c.end_line AS e, length(c.text) + {retrieval.EVIDENCE_EXTRA} AS cost, CASE WHEN c.path LIKE 'src1%' THEN 0 ELSE 1 END AS away,
+    CASE WHEN regexp_matches(q.question, '{retrieval.RELATION_PATTERN}') THEN 2 ELSE 0 END AS away_limit, CASE WHEN regexp_matches(q.question, '(?i)the') THEN 3 ELSE 2 END AS per_file,
+    NOT regexp_matches(q.question, '{retrieval.TEST_PATTERN}') AND (contains(lower(c.path), '/test/') OR lower(c.path) LIKE '%test.java')
+    OR length(regexp_replace(regexp_replace(c.text, '^\\s+', ''), '\\s+$', '')) < 20 AND count(*) OVER (PARTITION BY p.request_id) > 1
+    OR NOT regexp_matches(q.question, '{retrieval.BUILD_PATTERN}') AND regexp_matches(lower(c.path), '/(pom[.]xml|package[.]json|build[.]gradle([.]kts)?|pyproject[.]toml|requirements[.]txt)$') AS refused
+  FROM placed p JOIN questions q ON q.request_id = p.request_id JOIN chunks c ON c.chunk_id = p.chunk_id),
+candidates AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY place) AS turn FROM judged WHERE NOT refused),
+walk AS (SELECT request_id, CAST(0 AS BIGINT) AS turn, '' AS chunk_id, false AS joined, CAST([] AS STRUCT(f VARCHAR, s BIGINT, e BIGINT, cost BIGINT, away INTEGER)[]) AS kept FROM candidates WHERE turn = 1
+  UNION ALL SELECT request_id, turn, chunk_id, fits, CASE WHEN fits THEN list_append(kept, {{'f': file_id, 's': s, 'e': e, 'cost': cost, 'away': away}}) ELSE kept END
+  FROM (SELECT c.*, w.kept, len(w.kept) < {retrieval.EVIDENCE_CHUNKS} AND coalesce(list_sum([k.cost for k in w.kept]), 0) + c.cost <= {retrieval.EVIDENCE_CHARS}
+      AND (c.away = 0 OR coalesce(list_sum([k.away for k in w.kept]), 0) < c.away_limit) AND len([k for k in w.kept if k.f = c.file_id]) < c.per_file
+      AND (c.e < c.s OR len(list_distinct(flatten([generate_series(greatest(k.s, c.s), least(k.e, c.e)) for k in w.kept if k.f = c.file_id]))) <= {retrieval.EVIDENCE_OVERLAP} * (c.e - c.s + 1)) AS fits
+    FROM walk w JOIN candidates c ON c.request_id = w.request_id AND c.turn = w.turn + 1) x)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def r14(spark, folder):
     chunks, questions = _chunks(spark, folder)
     picked = retrieval.lexical_topk(questions, chunks).select("request_id", "chunk_id", F.col("rank").alias("number"))
@@ -275,6 +293,6 @@ R20_SQL = "SELECT vec_id, concat('model-', label) AS model, CAST(64 AS INT) AS d
 QUERIES = {
     "r1_followup_topic": (r1, R1_SQL), "r3_embed_batch_job": (r3, R3_SQL), "r4_token_cost": (r4, R4_SQL), "r4_token_batching": (r4_batches, R4_BATCHES_SQL), "r4_calls_of_a_day": (r4_calls, R4_CALLS_SQL),
     "r5_vector_topk": (r5, R5_SQL), "r6_lexical_topk": (r6, R6_SQL), "r7_search_terms": (r7, R7_SQL), "r8_rrf_fusion": (r8, R8_SQL), "r9_rank_boosts": (r9, R9_SQL),
-    "r10_target_files": (r10, R10_SQL), "r11_graph_expansion": (r11, None), "r12_diversify": (r12, R12_SQL), "r13_evidence_select": (r13, None),
+    "r10_target_files": (r10, R10_SQL), "r11_graph_expansion": (r11, None), "r12_diversify": (r12, R12_SQL), "r13_evidence_select": (r13, R13_SQL),
     "r14_evidence_registry": (r14, R14_SQL), "r15_payload_budget": (r15, None), "r18_recall_at_k": (r18, R18_SQL), "r18_macro_recall": (r18_macro, R18_MACRO_SQL), "r20_query_vs_index_space": (r20, R20_SQL),
 }
