@@ -3,27 +3,32 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import chunking, extract, overview
+from ..session import cut_lineage
 from . import bindings as b
 from .intake_queries import files_of
 
 CONFIG = "hash:64:code-v1"
 
 
-def regions_of(files):
-    """A region every third line, up to five lines long, so neighbours overlap in some files."""
-    n = F.size(text.lines_with_ends(F.col("content")))
-    spread = files.select("analysis_id", "file_id", "path", "ord", n.alias("n")).where("n > 0").withColumn("s", F.explode(F.expr("sequence(1, n, 3)")))
+def counted(files):
+    """Number of lines (``n``) of each file, written once for all that reads it; the texts stay behind."""
+    return cut_lineage(files.select("analysis_id", "file_id", "path", "language", "ord", F.size(text.lines_with_ends(F.col("content"))).alias("n")))
+
+
+def regions_of(lines):
+    """A region every third line, up to five lines long, so neighbours overlap in some files. lines: of ``counted``."""
+    spread = lines.select("analysis_id", "file_id", "path", "ord", "n").where("n > 0").withColumn("s", F.explode(F.expr("sequence(1, n, 3)")))
     return spread.select("analysis_id", "file_id", F.col("s").cast("int").alias("start_line"), F.expr("cast(least(n, s + ord % 5) AS int)").alias("end_line"),
                          F.lit("function").alias("kind"), F.concat_ws(":", F.lit("symbol"), "path", "s").alias("symbol_id"),
                          F.concat(F.lit("f"), "s").alias("symbol"), F.concat(F.lit("f"), "s", F.lit("()")).alias("signature"))
 
 
-def sized(files):
-    return files.select("analysis_id", "file_id", "language", F.size(text.lines_with_ends(F.col("content"))).alias("lines"))
+def sized(lines):
+    return lines.select("analysis_id", "file_id", "language", F.col("n").alias("lines"))
 
 
 def c1(spark, folder):
-    return chunking.select_regions(regions_of(files_of(spark, folder))).select("analysis_id", "file_id", "start_line", "end_line")
+    return chunking.select_regions(regions_of(counted(files_of(spark, folder)))).select("analysis_id", "file_id", "start_line", "end_line")
 
 
 # One step per region of a file, smallest first.
@@ -37,8 +42,8 @@ walk AS (SELECT analysis_id, file_id, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGIN
 
 
 def c2(spark, folder):
-    files = files_of(spark, folder)
-    return chunking.uncovered_runs(sized(files), regions_of(files).where("start_line % 2 = 1"))
+    lines = counted(files_of(spark, folder))
+    return chunking.uncovered_runs(sized(lines), regions_of(lines).where("start_line % 2 = 1"))
 
 
 C2_SQL = b.with_members("""
@@ -50,8 +55,10 @@ SELECT analysis_id, file_id, min(line) AS start_line, max(line) AS end_line, CAS
 
 def _pieces(spark, folder):
     files = files_of(spark, folder)
-    chosen = chunking.select_regions(regions_of(files))
-    runs = chunking.uncovered_runs(sized(files), chosen)
+    lines = counted(files)
+    # Read four times below, as its own table: the islands are found once.
+    chosen = cut_lineage(chunking.select_regions(regions_of(lines)))
+    runs = chunking.uncovered_runs(sized(lines), chosen)
     return chunking.split_regions(files, chosen.unionByName(runs, allowMissingColumns=True))
 
 
@@ -70,7 +77,7 @@ C3_SQL = b.with_members("SELECT analysis_id, file_id, md5(content) AS digest, tr
 
 def c4(spark, folder):
     files = files_of(spark, folder)
-    return chunking.build_chunks(files, regions_of(files), CONFIG).select("analysis_id", "id", "file_id", "kind", "start_line", "end_line", "signature")
+    return chunking.build_chunks(files, regions_of(counted(files)), CONFIG).select("analysis_id", "id", "file_id", "kind", "start_line", "end_line", "signature")
 
 
 def _whole_files(files):

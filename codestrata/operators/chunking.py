@@ -40,11 +40,12 @@ def uncovered_runs(files: DataFrame, regions: DataFrame) -> DataFrame:
     before = Window.partitionBy(*FILE_KEY).orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
     gaps = spans.withColumn("_from", F.coalesce(F.max("end_line").over(before), F.lit(0)) + 1).select(
         *FILE_KEY, F.col("_from").alias("start_line"), (F.col("start_line") - 1).alias("end_line"))
-    tails = files.join(spans.groupBy(*FILE_KEY).agg(F.max("end_line").alias("_last")), FILE_KEY, "left").select(
+    # Files and what lies in them grow together: neither side of these joins is ever collected, however small it is written.
+    tails = files.join(spans.groupBy(*FILE_KEY).agg(F.max("end_line").alias("_last")).hint("merge"), FILE_KEY, "left").select(
         *FILE_KEY, (F.coalesce("_last", F.lit(0)) + 1).alias("start_line"), F.col("lines").alias("end_line"))
     kind = F.when(F.col("language") == "markdown", "documentation").otherwise("top-level")
     known = files.select(*FILE_KEY, "language", "lines")
-    runs = gaps.unionByName(tails).join(known, FILE_KEY).withColumn("end_line", F.least("end_line", "lines"))
+    runs = gaps.unionByName(tails).join(known.hint("merge"), FILE_KEY).withColumn("end_line", F.least("end_line", "lines"))
     return runs.where("start_line <= end_line").select(*FILE_KEY, "start_line", "end_line", kind.alias("kind"))
 
 
@@ -70,7 +71,7 @@ def split_regions(files: DataFrame, regions: DataFrame) -> DataFrame:
     """
     carried = ["start_line", "end_line", "kind", "symbol_id", "symbol", "signature"]
     per_file = regions.groupBy(*FILE_KEY).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) if c.endswith("_line") else F.col(c) for c in carried]))).alias("regions"))
-    base = files.select(*FILE_KEY, "path", "language", text.lines_with_ends(F.col("content")).alias("lines")).join(per_file, FILE_KEY)
+    base = files.select(*FILE_KEY, "path", "language", text.lines_with_ends(F.col("content")).alias("lines")).join(per_file.hint("merge"), FILE_KEY)
     base = base.withColumn("regions", F.expr("filter(regions, r -> r.start_line <= size(lines))"))
     # Each piece takes its text along inside the row; what is exploded no longer holds the file's lines.
     whole = ("CASE WHEN c.s = c.e AND length(element_at(lines, c.s)) > %d THEN substring(element_at(lines, c.s), c.o + 1, %d) "

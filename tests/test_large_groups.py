@@ -52,3 +52,19 @@ def test_named_files_pairs_no_question_with_all_files_of_a_name(spark):
         want = [i for i, name, path in files if plain(name) in plain(question) or path.split("/")[0] in plain(question)][:5]
         assert sorted(by_request[request]) == [(k + 1, f) for k, f in enumerate(want)]
     assert most_joined_rows(got) <= 200 * 5
+
+
+def test_uncovered_runs_reads_texts_once(spark):
+    from codestrata.catalog import chunk_queries
+    plan = chunk_queries.c2(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan
+
+
+def test_lines_are_cut_behind_each_separator(spark):
+    from codestrata.functions import text
+    rng = random.Random(4)
+    values = [None, "", "\r\n", "\n\r\n\r"] + ["".join(rng.choices("ab\r\n\x0b \x85", k=rng.randrange(1, 30))) for _ in range(400)]
+    rows = spark.createDataFrame([(v,) for v in values], "t string").select("t", text.lines_with_ends(text.F.col("t")).alias("lines")).collect()
+    separator = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+    for t, lines in rows:
+        assert lines == (None if t is None else re.findall(f"[^{separator}]*(?:\r\n|[{separator}])|[^{separator}]+", t))
