@@ -119,3 +119,14 @@ def test_search_by_piece_and_by_scan(spark):
     asked = spark.createDataFrame([("long", "a", "SERVICE"), ("short", "a", "db"), ("all", "a", "")], "request_id string, analysis_id string, query string")
     _, totals = graph.node_search(nodes, asked)
     assert {r.request_id: r.total for r in totals.collect()} == {"long": 3, "short": 1, "all": 5}
+
+
+def test_expansion_looks_up_only_the_nodes_it_meets(spark):
+    from codestrata.operators.traversal import expand
+    links = spark.createDataFrame([("a", "n", x, i, f"l{i}") for i, x in enumerate(["lost", "m", "o", "p"])] + [("a", "m", "gone", 9, "l9"), ("b", "n", "m", 1, "l1")],
+                                  "analysis_id string, node string, neighbor string, k1 int, k2 string")
+    known = spark.createDataFrame([("a", x) for x in ("n", "m", "o", "p")] + [("b", "gone")], "analysis_id string, node string")
+    start = spark.createDataFrame([("q", "a", "n")], "request_id string, analysis_id string, node string")
+    seen, omitted = expand(start, links, 2, 3, known)
+    assert sorted((r.node, r.distance, r.position) for r in seen.collect()) == [("m", 1, 1), ("n", 0, 0), ("o", 1, 2)]
+    assert [(r.request_id, r.omitted) for r in omitted.collect()] == [("q", 1)]
