@@ -107,14 +107,14 @@ def tables_needed(sizes: list[int], share: float, recall: float, trials: int = 2
                     other.insert(at, int(draw.integers(1, 1 << 40)))
             other = (other + [0] * m)[:m]
             words[t], changed[t] = own, other
-        number, reached = MOST_TABLES // 2, []
+        number, reached = MOST_TABLES, []
         while not len(reached):
-            number *= 2
             if number > 8 * MOST_TABLES:
                 raise ValueError(f"{number // 2} tables find fewer than {recall:.0%} of windows of {m} words at {edits(m, share)} edits")
             tables, size = Tables(number, m, seed), np.full(trials, m)
             met = tables.keys(words, size, size) == tables.keys(changed, size, size)
             reached = np.flatnonzero(np.logical_or.accumulate(met, axis=1).mean(axis=0) >= recall)
+            number *= 2
         most = max(most, int(reached[0]) + 1)
     return most
 
