@@ -130,3 +130,23 @@ def test_expansion_looks_up_only_the_nodes_it_meets(spark):
     seen, omitted = expand(start, links, 2, 3, known)
     assert sorted((r.node, r.distance, r.position) for r in seen.collect()) == [("m", 1, 1), ("n", 0, 0), ("o", 1, 2)]
     assert [(r.request_id, r.omitted) for r in omitted.collect()] == [("q", 1)]
+
+
+def test_rows_without_a_file_spread_over_the_tasks_of_the_citation_join(spark):
+    from pyspark.sql import functions as F
+    rows = spark.createDataFrame([("a", f"e{i}", None, 1, 1) for i in range(200)] + [("a", "file:f", "file:f", 1, 2), ("a", "file:g", None, 1, 1), ("a", "x", "file:g", 1, 9),
+                                  (None, "y", "file:f", 1, 1), ("a", None, None, 1, 1)], "analysis_id string, id string, file_id string, start_line int, end_line int")
+    files = spark.createDataFrame([("a", "file:f", "f", 2), ("a", "file:g", "g", 2)], "analysis_id string, file_id string, path string, line_count int")
+    wanted = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {n: spark.conf.get(n) for n in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        found = graph.with_citation(rows, files, "id")
+        assert found.columns == ["analysis_id", "file_id", "id", "start_line", "end_line", "citation_path", "citation"]
+        found = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(found) == 205 and {(r.id, r.citation_path) for r in found if r.citation or r.citation_path} == {("file:f", "f")}
+    assert len({r.task for r in found if r.file_id is None}) > 4
