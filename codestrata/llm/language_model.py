@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut_lineage, release, utf8, utf8_slices
+from codestrata.llm.common import cut_lineage, giving_back, release, utf8, utf8_slices
 
 CHUNK_BYTES = 8 << 20
 CLUSTERED = 1000               # most frequent words that the exchange sorts into classes
@@ -91,7 +91,7 @@ def chunks(docs: DataFrame, held_out: Column) -> DataFrame:
                 ["chunk", "doc_ids", "held", "lengths", "codes", "words", "counts"])
             number += 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), utf8("text").alias("text"))
-    return cut_lineage(rows.mapInArrow(encode, CHUNK))
+    return cut_lineage(rows.mapInArrow(giving_back(encode), CHUNK))
 
 
 def count_words(corpus: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
@@ -144,7 +144,7 @@ def units(corpus: DataFrame, places: DataFrame, words: DataFrame) -> DataFrame:
     def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one, _, codes, own in _each_chunk(batches):
             yield pa.RecordBatch.from_arrays([one.column(1), one.column(2), pa.array([packed(own["unit"][codes].astype(np.uint16))])], ["held", "lengths", "units"])
-    return with_own(corpus, places, words, "unit").mapInArrow(translate, SEEDED)
+    return with_own(corpus, places, words, "unit").mapInArrow(giving_back(translate), SEEDED)
 
 
 def neighbours(corpus: DataFrame, places: DataFrame, assigned: DataFrame, kinds: int, of_words: bool) -> DataFrame:
@@ -170,7 +170,7 @@ def neighbours(corpus: DataFrame, places: DataFrame, assigned: DataFrame, kinds:
             starts = pa.array(starts, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(mine, pa.int32()), pa.ListArray.from_arrays(starts, pa.array(keys, pa.int32())),
                                               pa.ListArray.from_arrays(starts, pa.array(counts, pa.int64()))], ["word", "own", "keys", "counts"])
-    return with_own(corpus, places, assigned, "cls").mapInArrow(count, NEIGHBOURS)
+    return with_own(corpus, places, assigned, "cls").mapInArrow(giving_back(count), NEIGHBOURS)
 
 
 def class_pairs(counted: DataFrame, kinds: int) -> np.ndarray:
@@ -240,7 +240,7 @@ def moved(counted: DataFrame, table: np.ndarray, number: int, half: int | None)
     rows = counted.filter("word IS NOT NULL")
     if half is not None:
         rows = rows.filter(F.pmod(F.xxhash64("word"), F.lit(2)) == half)
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word long, new int")
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(giving_back(choose), "word long, new int")
 
 
 def cluster(corpus: DataFrame, places: DataFrame, words: DataFrame, seed: np.ndarray, number: int) -> tuple[DataFrame, np.ndarray]:
@@ -278,7 +278,7 @@ def classified(corpus: DataFrame, places: DataFrame, assigned: DataFrame, totals
             yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), pa.array([packed(kind[codes].astype(np.uint16))]),
                                               *[pa.array([x], pa.list_(t)) for x, t in zip(sums, (pa.float64(), pa.int64(), pa.float64()), strict=True)]],
                                              ["doc_ids", "held", "lengths", "classes", "base", "known", "emission"])
-    return with_own(corpus, places, assigned, "c", "cls").mapInArrow(translate, SCORED)
+    return with_own(corpus, places, assigned, "c", "cls").mapInArrow(giving_back(translate), SCORED)
 
 
 def _before(sequence: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
@@ -300,7 +300,7 @@ def bigrams(sequences: DataFrame) -> DataFrame:
                 total += np.bincount((_before(sequence, lengths, END) * UNITS + sequence)[train], minlength=UNITS * UNITS)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there // UNITS), pa.array(there % UNITS), pa.array(total[there])], ["a", "b", "n"])
-    made = sequences.select("held", "lengths", "units").mapInArrow(count, "a long, b long, n long")
+    made = sequences.select("held", "lengths", "units").mapInArrow(giving_back(count), "a long, b long, n long")
     return made.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -410,7 +410,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                                                   pa.array(np.full(len(lengths), total, np.int64)), one.column(4).flatten(), pa.array(found), pa.array(10 ** (-found / lengths))],
                                                  ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
     return classified(corpus, places, assigned, totals, kinds).mapInArrow(
-        texts, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+        giving_back(texts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def hashed_seventh(name: str = "doc_id") -> Column:

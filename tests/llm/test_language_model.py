@@ -87,3 +87,11 @@ def test_classes_of_all_words_are_the_best_by_full_likelihood():
     after[words] = found
     assert lm.likelihood(table(after)) > lm.likelihood(table(held))
     assert lm.number_of_classes(10) == lm.CLASSES < lm.number_of_classes(10**6) < lm.number_of_classes(10**8)
+
+
+def test_every_task_gives_its_memory_back(odd_rows, monkeypatch):
+    from codestrata.llm.common import giving_back
+    given = []
+    monkeypatch.setattr(lm, "giving_back", lambda task: given.append(task.__qualname__.split(".")[0]) or giving_back(task), raising=False)
+    assert lm.score(odd_rows([(i, f"a b c{i % 3} d") for i in range(30)]), lm.hashed_seventh()).count() == 30
+    assert set(given) == {"chunks", "units", "neighbours", "moved", "bigrams", "classified", "score"}
