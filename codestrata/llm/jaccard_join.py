@@ -11,11 +11,14 @@ different ways, and a cost model on the histogram of set sizes draws the boundar
   orders, so its errors cost time and never a link.
 
 Lists are scanned where they meet, in one pass per bucket of shingles; what stays are the postings of shingles that two nodes
-share. Every member is first checked against the list's most central member, the one that meets most others on all its
+of sizes that can link share. Every member is first checked against the list's most central member, the one that meets most others on all its
 lists, which among near copies is the original. Checked links form components, and only lists on which several components
 still meet are scanned again: first between one member of each component, and at last over their pairs of different
-components, by the shorter prefixes that the two sizes need and with as many common shingles as they need. So a group of
-copies costs its size and not its square, and no link between components is lost.
+components. So a group of copies costs its size and not its square, and no link between components is lost.
+
+That last join is a prefix filter once more, now over the lists whose lengths are known: a linked pair of sizes n and m shares c
+of its shingles on open lists, so with these ordered by the length of their lists it meets already on the first t - c + 1 of
+either node's t. Shingles that the sample took for rare and that the whole corpus shares come last there.
 
 Results for odd input: null text is an empty text; texts without words have an empty set, which links with nothing; a text
 with fewer words than a shingle has its whole word sequence as its one shingle; documents with equal sets link; rows with
@@ -29,7 +32,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import cut_lineage, giving_back, utf8, utf8_slices
@@ -275,9 +278,9 @@ def sets_of(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
                 rows = [(node_of(members), doc_id, members.tobytes()) for members, doc_id in zip(found, some.column(1).to_pylist(), strict=True) if len(members)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "doc_id", "members"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).select(place.alias("place"), "doc_id", "text")
-    made = cut_lineage(rows.mapInArrow(giving_back(sets), "node long, doc_id long, members binary"))
+    made = rows.mapInArrow(giving_back(sets), "node long, doc_id long, members binary")
     chosen = wanted.select("node", F.col("doc_id").alias("d"))
-    return made.join(chosen, "node").filter(F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "members")
+    return cut_lineage(made.join(chosen, "node").filter(F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "members"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -308,6 +311,40 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
+def near_on_lists(lists: DataFrame) -> DataFrame:
+    """The postings, once each, of members with another on their list whose size lets them link; lists of equal members are
+    one, with their number as its ``weight``, a member's first place on them, and the number of members as its length.
+
+    A linked pair keeps all the lists that it shares. Lists are told apart by a hash of their members; two that fell together
+    would only bring more pairs to be checked.
+    """
+    p, q = THRESHOLD
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    once = lists.withColumn("last", F.lag("node").over(by_size)).filter("last IS NULL OR last <> node").drop("last")
+    sized = once.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
+    near = sized.filter((F.col("below") * q >= F.col("n") * p) | (F.col("n") * q >= F.col("above") * p)).drop("below", "above")
+    of_list = Window.partitionBy("token")
+    near = near.withColumn("length", F.count("*").over(of_list)).withColumn("members", F.bit_xor(F.xxhash64("node")).over(of_list))
+    near = near.select("node", "n", "place", "length", F.xxhash64("length", "members").alias("token"))
+    return near.repartition("node").groupBy("node", "n", "token", "length").agg(F.count("*").alias("weight"), F.min("place").alias("place"))
+
+
+def meeting_pairs(rows: DataFrame) -> DataFrame:
+    """(node, other) of every pair of different components that may link. rows: list, node, n, first place on the list,
+    component, and of the node's ``tokens`` shingles the ``rank`` of the list's first by the lengths of lists.
+
+    A linked pair shares c = ``common_needed`` shingles within the places that reach them (n less the larger set's suffix). The
+    first of these by rank has c - 1 others behind it in either node, so its list is met on both sides.
+    """
+    p, q = THRESHOLD
+    partner = rows.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("place").alias("place_m"),
+                          F.col("rank").alias("rank_m"), F.col("tokens").alias("tokens_m"))
+    common, tail = common_needed(F.col("n"), F.col("m")), F.ceil(p * F.greatest("n", "m") / q)
+    reach = (F.col("place") <= F.col("n") - tail) & (F.col("place_m") <= F.col("m") - tail)
+    ranks = (F.col("rank") <= F.col("tokens") - common + 1) & (F.col("rank_m") <= F.col("tokens_m") - common + 1)
+    return rows.join(partner, (rows["token"] == partner["token"]) & (F.col("component") < F.col("c")) & _near("n", "m") & reach & ranks).select("node", "other")
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents as doc_id, node, n; components as node, component of the nodes that link to another)."""
     spark = docs.sparkSession
@@ -318,16 +355,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (3 * BUCKET_POSTINGS) + 1)
     lists = shared(postings(docs, common, small, buckets), buckets).withColumn("subset", F.col("n") < 0)
     lists = cut_lineage(lists.withColumn("n", F.abs("n")))
-    plain = lists.filter("NOT subset").drop("subset")
+    plain = near_on_lists(lists.filter("NOT subset").drop("subset"))
     needs = common_needed(F.col("n"), F.col("m"))
 
     # Each member against the most central one of its list, if they meet on a fair part of the lists that a link needs.
-    met_on = plain.join(plain.groupBy("token").agg(F.count("*").alias("length")), "token").groupBy("node").agg(F.sum("length").alias("central"), F.count("*").alias("tokens"))
-    plain = plain.join(met_on, "node")
-    lead = plain.groupBy("token").agg(F.max(F.struct("central", "node", "n")).alias("lead")).select("token", F.col("lead.node").alias("lead"), F.col("lead.n").alias("m"))
-    plain = cut_lineage(plain.join(lead, "token"))
-    ties = cut_lineage(plain.filter("node <> lead").groupBy("node", "lead", "n", "m").agg(F.count("*").alias("common")))
-    first = ties.filter(_near("n", "m") & (F.col("common") * 4 >= needs)).select(*_pair("node", "lead"))
+    of_list, of_node = Window.partitionBy("token"), Window.partitionBy("node")       # a node has no more rows than its prefix
+    plain = plain.withColumn("central", F.sum(F.col("length") * F.col("weight")).over(of_node)).drop("length")
+    plain = plain.withColumn("lead", F.max(F.struct("central", "node", "n")).over(of_list))
+    plain = cut_lineage(plain.select("token", "node", "n", "place", "weight", "central", F.col("lead.node").alias("lead"), F.col("lead.n").alias("m")))
+    ties = plain.filter((F.col("node") != F.col("lead")) & _near("n", "m")).groupBy("node", "lead", "n", "m").agg(F.sum("weight").alias("common"))
+    first = ties.filter(F.col("common") * 4 >= needs).select(*_pair("node", "lead"))
     # A subset list ties each set to one of the other size, or to its first set where only one size has come.
     keyed = lists.filter("subset").select("token", "node", "n")
     ends = keyed.groupBy("token").agg(F.min(F.struct("n", "node")).alias("low"), F.max(F.struct("n", "node")).alias("high"))
@@ -338,33 +375,31 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = cut_lineage(verified(pairs, sets))
     found = components(held)
 
-    # Lists on which several components still meet: those with a member that is not in its most central member's component.
-    def named(rows: DataFrame, node: str, name: str) -> DataFrame:
-        return rows.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    apart = named(named(ties, "node", "x"), "lead", "y").filter("x <> y").select("node", "lead")
-    tokens = plain.join(apart, ["node", "lead"], "left_semi").select("token").distinct()
-    open_lists = cut_lineage(plain.drop("lead", "m").join(tokens, "token", "left_semi"))
+    # Lists on which several components still meet.
+    def still_open(rows: DataFrame) -> DataFrame:
+        rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = rows.withColumn("low", F.min("component").over(of_list)).withColumn("high", F.max("component").over(of_list))
+        return rows.filter("low < high").drop("low", "high")
+    open_lists = plain.drop("lead", "m")
     for last in (False, True):
-        rows = named(open_lists, "node", "component")
-        meeting = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
-        rows = rows.join(meeting, "token")
-        if last:       # every pair of different components, by the prefixes that their sizes need
-            partner = rows.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("place").alias("q"), F.col("tokens").alias("t"))
-            reach = (F.col("place") <= F.col("n") - _needed(F.col("n"), F.col("m"))) & (F.col("q") <= F.col("m") - _needed(F.col("n"), F.col("m")))
-            met = rows.join(partner, (rows["token"] == partner["token"]) & (F.col("component") < F.col("c")) & _near("n", "m") & reach
-                            & (F.least("tokens", "t") >= needs))
+        if last:       # every pair of different components that shares what its sizes need
+            rows = still_open(open_lists).withColumn("length", F.count("*").over(of_list))
+            before = of_node.orderBy("length", "token").rowsBetween(Window.unboundedPreceding, -1)
+            rows = rows.withColumn("rank", F.coalesce(F.sum("weight").over(before), F.lit(0)) + 1).withColumn("tokens", F.sum("weight").over(of_node))
+            rows = cut_lineage(rows.select("token", "node", "n", "place", "component", "rank", "tokens"))
+            met = meeting_pairs(rows)
         else:          # the most central member of each component with the most central of all
-            one_each = rows.groupBy("token", "component").agg(F.max(F.struct("central", "node", "n")).alias("one")).select("token", "component", "one.*")
-            top = one_each.groupBy("token").agg(F.max(F.struct("central", "node", "n", "component")).alias("top")).select(
-                F.col("token"), F.col("top.node").alias("other"), F.col("top.n").alias("m"), F.col("top.component").alias("c"))
-            met = one_each.join(top, "token").filter(F.col("component") != F.col("c")).filter(_near("n", "m")).groupBy("node", "other", "n", "m").agg(F.count("*").alias("common"))
+            rows = cut_lineage(still_open(open_lists))
+            one_each = rows.groupBy("token", "component").agg(F.max(F.struct("central", "node", "n")).alias("one"), F.max("weight").alias("weight")).select("token", "component", "weight", "one.*")
+            met = one_each.withColumn("top", F.max(F.struct("central", "node", "n", "component")).over(of_list)).select(
+                "node", "n", "component", "weight", F.col("top.node").alias("other"), F.col("top.n").alias("m"), F.col("top.component").alias("c"))
+            met = met.filter(F.col("component") != F.col("c")).filter(_near("n", "m")).groupBy("node", "other", "n", "m").agg(F.sum("weight").alias("common"))
             met = met.filter(F.col("common") * 4 >= needs)
+            open_lists = rows.drop("component")
         more = cut_lineage(met.select(*_pair("node", "other")).distinct().join(pairs, ["a", "b"], "left_anti"))
-        nodes = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
-        lacking = nodes.join(sets.select("node"), "node", "left_anti")
-        sets = sets.unionByName(sets_of(docs, known, lacking))
+        nodes = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node")))
         pairs = pairs.unionByName(more)
-        held = held.unionByName(cut_lineage(verified(more, sets)))
+        held = held.unionByName(cut_lineage(verified(more, sets_of(docs, known, nodes))))
         found = components(held)
     return known, found
 

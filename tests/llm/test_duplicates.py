@@ -164,3 +164,47 @@ def test_ids_of_any_width_fall_into_batches(odd_rows):
     kept = {r.doc_id for r in exact_dedup.keep_one(docs).collect()}
     want = {max((i for i, t in rows if i is not None and t == text)) for text in {t for _, t in rows}}
     assert kept == want
+
+
+def test_documents_that_share_less_than_a_link_needs_are_not_paired(spark, monkeypatch):
+    """Passages that the sample takes for rare: their lists are long, but no pair comes of them, and lists of equal members are one."""
+    monkeypatch.setattr(jaccard_join, "SAMPLE_DOCUMENTS", 0)
+    made, seen = jaccard_join.meeting_pairs, []
+
+    def counted(rows):
+        met = made(rows)
+        seen.append((rows.count(), met.count()))
+        return met
+    monkeypatch.setattr(jaccard_join, "meeting_pairs", counted)
+    passage = [f"p{k}" for k in range(12)]
+    rows = [(i, " ".join([*(f"u{i}x{k}" for k in range(48)), *passage])) for i in range(40)]
+    rows += [(100 + i, " ".join([*(f"v{k}" for k in range(60)), f"w{i}"])) for i in range(3)]
+    found = jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(tuple(r) for r in found.collect()) == plain_groups(rows)
+    assert seen[0][0] <= 43 and seen[0][1] == 0
+
+
+def test_pairs_that_share_enough_on_open_lists_always_meet(spark):
+    draw = random.Random(5)
+    sizes = {node: draw.choice([8, 10, 13]) for node in range(40)}
+    lists = {node: draw.sample(range(18), jaccard_join.prefix_length(n)) for node, n in sizes.items()}
+    rows = [(token, node, sizes[node], place) for node, tokens in lists.items() for place, token in enumerate(sorted(tokens))]
+    near = jaccard_join.near_on_lists(spark.createDataFrame([*rows, *rows[:9]], "token long, node long, n long, place long"))
+    kept = [r.asDict() for r in near.collect()]
+    assert len(kept) == len({(r["token"], r["node"]) for r in kept})
+    ranked = []
+    for node in sizes:
+        total = 0
+        own = sorted((r for r in kept if r["node"] == node), key=lambda r: (r["length"], r["token"]))
+        for r in own:
+            ranked.append((r["token"], node, r["n"], r["place"], node, total + 1, sum(x["weight"] for x in own)))
+            total += r["weight"]
+    met = jaccard_join.meeting_pairs(spark.createDataFrame(ranked, "token long, node long, n long, place long, component long, rank long, tokens long"))
+    met = {(r["node"], r["other"]) for r in met.collect()}
+    for a in sizes:
+        for b in range(a + 1, len(sizes)):
+            n, m = sizes[a], sizes[b]
+            tail = -(-3 * max(n, m) // 4)
+            common = set(sorted(lists[a])[:max(0, n - tail + 1)]) & set(sorted(lists[b])[:max(0, m - tail + 1)])
+            if 4 * n >= 3 * m and 4 * m >= 3 * n and len(common) >= jaccard_join.needed(n, m) - tail + 1:
+                assert (a, b) in met
