@@ -11,10 +11,31 @@ import struct
 KNOWN_WORDS = 150_000      # words of a generation that a worker keeps; words of the one before move over when met again
 LONG_WORD = 64             # longer words are encoded but not kept
 
-# Words for which the library's normalizer and splitter have nothing to decide: letters of Latin-1 with plain marks after
-# them. They are composed already, only their case changes, and letters and marks are one piece each. The merges, which
-# take the time, are then asked for directly; every other word goes through the whole library.
-PLAIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+# Words for which the library's normalizer and splitter have nothing to decide: letters of Latin-1 with marks of ASCII, but
+# neither ' nor a special string's <, before or after them. They are composed already, only their case changes, and letters
+# and marks are one piece each. The merges, which take the time, are then asked for directly; every other word goes through
+# the whole library.
+MARKS = r"[!-&(-/:-@\[-`{-~]*"
+PLAIN_WORD = re.compile(rf"((?!.*<){MARKS})([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)({MARKS})")
+
+# In texts of Latin-1 letters and ASCII alone the library may be handed A-Z in lower case, since it lowers all letters and
+# nothing composes there. Where no two marks stand side by side, a mark may be cut off what is before it too, since its pattern
+# ends a piece there. So a word is one entry however it is written and whatever follows it. What looks like a special string
+# is left as it is.
+LOWERED_BYTES = bytes(range(128)) + bytes(range(0x80, 0xC0)) + b"\xc3"
+SHAPE = bytes(32 if b in b" \t\n\v\f\r" else 97 if chr(b).isalnum() or b >= 0x80 else 46 for b in range(128)) + b"a" * 128
+CUT_MARKS = (b".", b",", b";", b":", b"!", b"?")
+SIGNS = ("\u00d7".encode(), "\u00f7".encode())      # the two of these bytes that are no letters
+
+
+def simplified(text: bytes) -> bytes:
+    if text.translate(None, LOWERED_BYTES) or b"<|" in text:
+        return text
+    text = text.lower()
+    if b".." not in text.translate(SHAPE) and SIGNS[0] not in text and SIGNS[1] not in text:
+        for mark in CUT_MARKS:
+            text = text.replace(mark, b" " + mark)
+    return text
 
 
 def byte_characters() -> dict[int, str]:
@@ -57,8 +78,9 @@ class WordEncoder(dict):
             text = word.decode("utf-8", "replace")
             match = PLAIN_WORD.fullmatch(text)
             if match:
-                found = self._piece(match[1].lower())
-                found = found + self._piece(match[2]) if match[2] else found
+                found = self._piece(match[2].lower())
+                found = self._piece(match[1]) + found if match[1] else found
+                found = found + self._piece(match[3]) if match[3] else found
             else:
                 ids = self.library.encode(text, add_special_tokens=False).ids
                 found = struct.pack(f"<{len(ids)}I", *ids)
@@ -70,7 +92,7 @@ class WordEncoder(dict):
         if len(self) > KNOWN_WORDS:
             self.older = dict(self)
             self.clear()
-        return [b"".join(map(self.__getitem__, text.split())) for text in texts]
+        return [b"".join(map(self.__getitem__, simplified(text).split())) for text in texts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

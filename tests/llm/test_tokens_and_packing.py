@@ -28,6 +28,18 @@ def test_words_one_by_one_give_the_ids_of_whole_texts():
     assert own == [x.tobytes() for x in library_ids(texts)]
 
 
+def test_simplified_texts_keep_their_ids_and_words_are_one_entry():
+    draw = random.Random(2)
+    pieces = ["Wort", "été", "É", "ÿ", "X1", "22", ".", ",", "!", "?", ":", ";", "#", "&&&", "'s", "'T", "'", '"', "_", "<|", "|>", "<|ENDOFTEXT|>",
+              "<|endoftext|>", "×", "÷", "»", "\u00a0", "\x1c", "\x1f", "\x00", "J\u030c", "I\u0307", "\u212a", " ", " ", " ", "\n", "\t"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(25))) for _ in range(6000)]
+    encoder = WordEncoder(PATH)
+    assert encoder.encode([t.encode() for t in texts]) == [x.tobytes() for x in library_ids(texts)]
+    encoder = WordEncoder(PATH)
+    encoder.encode([b"Words, words. WORDS!", b"Two; words"])
+    assert set(encoder) == {b"words", b"two", b",", b".", b"!", b";"}
+
+
 def exact_bins(items, capacity):
     """Fewest bins by trying every placement."""
     best = [len(items)]
