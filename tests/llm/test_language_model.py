@@ -95,3 +95,13 @@ def test_every_task_gives_its_memory_back(odd_rows, monkeypatch):
     monkeypatch.setattr(lm, "giving_back", lambda task: given.append(task.__qualname__.split(".")[0]) or giving_back(task), raising=False)
     assert lm.score(odd_rows([(i, f"a b c{i % 3} d") for i in range(30)]), lm.hashed_seventh()).count() == 30
     assert set(given) == {"chunks", "units", "neighbours", "moved", "bigrams", "classified", "score"}
+
+
+def test_cells_are_counted_in_place_as_numpy_counts_them():
+    draw = np.random.default_rng(4)
+    for number, kind in ((0, np.uint32), (1, np.int64), (5000, np.uint32), (5000, np.int64)):
+        cells = draw.integers(0, 700, number).astype(kind)
+        wanted = np.unique(cells, return_counts=True)
+        found = lm.runs_of(cells)
+        assert all((a == b).all() for a, b in zip(found, wanted, strict=True))
+        assert found[0].dtype == kind
