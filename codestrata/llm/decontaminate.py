@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut_lineage, utf8, utf8_slices
+from codestrata.llm.common import cut_lineage, giving_back, utf8, utf8_slices
 
 SHARE = 0.25               # word edits allowed, per word of the item
 RECALL = 0.99              # of windows at the largest distance
@@ -305,7 +305,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall:
                 ids, hashes = part.column(0).to_pylist(), part.column(1).to_pylist()
                 hits = [(ids[d], hashes[d], *rest) for d, *rest in block.scan(part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in range(6)], names)
-        hit = rows.mapInArrow(scan, MATCH)
+        hit = rows.mapInArrow(giving_back(scan), MATCH)
         found = hit if found is None else found.unionByName(hit)
     return found
 

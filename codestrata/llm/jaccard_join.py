@@ -299,7 +299,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THR
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(check, "a long, b long").distinct()
+    return both.mapInArrow(giving_back(check), "a long, b long").distinct()
 
 
 def _near(a: str, b: str, threshold: tuple[int, int] = THRESHOLD):
