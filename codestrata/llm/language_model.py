@@ -1,7 +1,8 @@
 """Brown class-based n-grams: exchange clustering, class transitions, word emissions, and the log-probability of every text.
 
-The corpus is written once as chunks of word codes. Counts of all training words are an aggregation over the chunks' word
-lists, and each chunk gets its own words' counts back by a join; nothing of the vocabulary is broadcast.
+The corpus is written once as chunks of word codes. Words are dealt by hash to parts (``word_parts``), where the chunks' counts
+of a word are added up; each chunk gets its own words' counts and classes back from the parts; nothing of the vocabulary is
+broadcast.
 
 The number of classes is the cube root of the number of training words, ``CLASSES`` at least. The most frequent words are
 the seed, by the exchange algorithm: each in turn moves to the class where it adds most to the likelihood of the class
@@ -22,9 +23,7 @@ Words are told apart by 64-bit hashes. Results for odd input: null texts are emp
 not held out; repeated ids are scored row by row; without training rows N and V are 0 and scores are those of the smoothing
 alone; an empty table gives no rows; columns besides doc_id and text are not read.
 """
-import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import cut_lineage, giving_back, release, utf8, utf8_slices
+from codestrata.llm.word_parts import dealt, packed, places_of, to_chunks, unpacked
 
 CHUNK_BYTES = 8 << 20
 CLUSTERED = 1000               # most frequent words that the exchange sorts into classes
@@ -51,17 +51,7 @@ END_WORD = 0                   # the end's hash
 CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, codes binary, words array<long>, counts array<long>"
 SEEDED = "held array<boolean>, lengths array<long>, units binary"
 SCORED = "doc_ids array<long>, held array<boolean>, lengths array<long>, classes binary, base array<double>, known array<long>, emission array<double>"
-NEIGHBOURS = "word long, own int, keys array<int>, counts array<long>"
-
-
-def packed(numbers: np.ndarray) -> bytes:
-    """Numbers by byte planes, compressed: most high bytes are zero."""
-    return zlib.compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
-
-
-def unpacked(data, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+NEIGHBOURS = "part int, chunk long, keys array<int>, counts array<long>, times binary, cells binary, many binary"
 
 
 class _Codes(dict):
@@ -82,28 +72,30 @@ def chunks(docs: DataFrame, held_out: Column) -> DataFrame:
                 parts.append(np.fromiter(map(codes.__getitem__, words), np.uint32, len(words)))
                 lengths.append(len(words))
             train = np.concatenate([p for p, held in zip(parts, some.column(1).to_pylist(), strict=True) if not held] or [np.zeros(0, np.uint32)])
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else END_WORD for w in codes), np.uint64, len(codes)).view(np.int64)
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else END_WORD for w in codes), np.uint64, len(codes))
+            order = np.argsort(hashes)                     # the word list by hash, so a part's words are a run of it
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
             yield pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), *[pa.array([x], pa.list_(t)) for x, t in (
                     (some.column(0).to_pylist(), pa.int64()), (some.column(1).to_pylist(), pa.bool_()), (lengths, pa.int64()))],
-                pa.array([packed(np.concatenate(parts))]), pa.array([hashes], pa.list_(pa.int64())),
-                pa.array([np.bincount(train, minlength=len(codes))], pa.list_(pa.int64()))],
+                pa.array([packed(place[np.concatenate(parts)])]), pa.array([hashes[order].view(np.int64)], pa.list_(pa.int64())),
+                pa.array([np.bincount(train, minlength=len(codes))[order]], pa.list_(pa.int64()))],
                 ["chunk", "doc_ids", "held", "lengths", "codes", "words", "counts"])
             number += 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), utf8("text").alias("text"))
     return cut_lineage(rows.mapInArrow(giving_back(encode), CHUNK))
 
 
-def count_words(corpus: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
-    """(chunk, place, word) of all chunks; (word, c, unit) of all words; totals."""
-    places = corpus.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    counted = cut_lineage(places.groupBy("word").agg(F.sum("n").alias("c")))
+def count_words(corpus: DataFrame) -> tuple[DataFrame, list[int], dict]:
+    """The parts of the words with their counts; the most frequent words; totals."""
+    parts = dealt(corpus)
+    counted = parts.select(F.explode(F.arrays_zip("words", "c")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.c").alias("c"))
     # CLUSTERED rows, a bound that does not depend on the corpus.
-    top = counted.filter((F.col("c") > 0) & (F.col("word") != END_WORD)).orderBy(F.desc("c"), "word").limit(CLUSTERED).collect()
-    spark = corpus.sparkSession
-    ranked = spark.createDataFrame([(r["word"], i) for i, r in enumerate(top)], "word long, rank int")
+    top = [r["word"] for r in counted.filter((F.col("c") > 0) & (F.col("word") != END_WORD)).orderBy(F.desc("c"), "word").limit(CLUSTERED).collect()]
+    ranked = corpus.sparkSession.createDataFrame([(w, i) for i, w in enumerate(top)], "word long, rank int")
     tier = F.when(F.col("word") == END_WORD, END).when(F.col("c") == 0, UNSEEN).otherwise(CLUSTERED + F.floor(F.log2(F.col("c").cast("double")) + 1e-9))
-    words = counted.join(F.broadcast(ranked), "word", "left").select("word", "c", F.coalesce("rank", tier).cast("int").alias("unit"))
+    words = counted.join(F.broadcast(ranked), "word", "left").select("c", F.coalesce("rank", tier).cast("int").alias("unit"))
     per_unit = words.groupBy("unit").agg(F.sum("c").alias("c"), F.sum((F.col("c") > 0).cast("long")).alias("types"), F.sum((F.col("c") == 1).cast("long")).alias("once"),
                                          F.sum((F.col("c") == 2).cast("long")).alias("twice")).collect()      # at most UNITS rows
     mass = np.zeros(UNITS)
@@ -111,40 +103,58 @@ def count_words(corpus: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
         mass[r["unit"]] = r["c"]
     once, twice = sum(r["once"] for r in per_unit), sum(r["twice"] for r in per_unit)
     totals = {"N": int(mass.sum()), "V": sum(r["types"] for r in per_unit), "mass": mass, "unseen": once / max(1.0, once + 2.0 * twice) if once else 0.5}
-    return places, words, totals
+    return parts, top, totals
+
+
+def with_units(parts: DataFrame, top: list[int]) -> DataFrame:
+    """(part, kinds): the unit of each word of a part, its rank among ``top`` or the tier of its count."""
+    ranks = np.argsort(np.array(top, np.int64))
+    known = np.append(np.array(top, np.int64)[ranks], np.iinfo(np.int64).max)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                words, c = (batch.column(i)[row].values.to_numpy() for i in (1, 2))
+                unit = np.where(c == 0, UNSEEN, CLUSTERED + np.floor(np.log2(np.maximum(c, 1).astype(float)) + 1e-9).astype(np.int64))
+                unit[words == END_WORD] = END
+                at = np.searchsorted(known[:-1], words)
+                there = (known[at] == words) & (at < len(ranks))
+                unit[there] = ranks[at[there]]
+                found.append(packed(unit.astype(np.uint16)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["part", "kinds"])
+    return cut_lineage(parts.select("part", "words", "c").mapInArrow(name, "part int, kinds binary"))
 
 
 def number_of_classes(v: int) -> int:
     return max(CLASSES, round(v ** (1 / 3)))
 
 
-def with_own(corpus: DataFrame, places: DataFrame, words: DataFrame, *columns: str) -> DataFrame:
-    """Each chunk with what ``words`` says of its own words, by place in its word list."""
+def with_own(corpus: DataFrame, found: DataFrame) -> DataFrame:
+    """Each chunk with what ``to_chunks`` found of its own words."""
     number = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), corpus.count() // 4)
-    found = places.select("chunk", "place", "word").join(words, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", *columns)).alias("own"))
-    return corpus.select("chunk", "doc_ids", "held", "lengths", "codes", "words").repartition(number, "chunk").join(found, "chunk").select("doc_ids", "held", "lengths", "codes", "own", "words")
+    return corpus.select("chunk", "doc_ids", "held", "lengths", "codes").repartition(number, "chunk").join(found, "chunk").select("doc_ids", "held", "lengths", "codes", "own", "chunk")
 
 
-def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
-    """(row, lengths, codes, what with_own added by code) of every chunk."""
+def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, list[tuple[int, int]]]]:
+    """(row, lengths, codes, kinds by code, counts by code if they were asked for, (part, words) of each part) of every chunk."""
     for batch in batches:
         for row in range(batch.num_rows):
             one = batch.slice(row, 1)
-            own = one.column(4).flatten()
-            place = own.field("place").to_numpy(zero_copy_only=False)
-            by_code = {}
-            for field in own.type:
-                by_code[field.name] = np.zeros(len(place), np.int64)
-                by_code[field.name][place] = own.field(field.name).to_numpy(zero_copy_only=False)
-            yield one, one.column(2).flatten().to_numpy(), unpacked(one.column(3)[0].as_buffer(), np.uint32), by_code
+            own = one.column(4)[0].values
+            order = np.argsort(own.field("part").to_numpy())
+            kinds = [unpacked(own.field("kinds")[int(i)].as_buffer(), np.uint16) for i in order]
+            counts = None if own.field("c").null_count else np.concatenate([unpacked(own.field("c")[int(i)].as_buffer(), np.int64) for i in order])
+            runs = list(zip(own.field("part").to_numpy()[order].tolist(), map(len, kinds), strict=True))
+            yield one, one.column(2).flatten().to_numpy(), unpacked(one.column(3)[0].as_buffer(), np.uint32), np.concatenate(kinds), counts, runs
 
 
-def units(corpus: DataFrame, places: DataFrame, words: DataFrame) -> DataFrame:
+def units(corpus: DataFrame, parts: DataFrame, named: DataFrame) -> DataFrame:
     """Each chunk as a sequence of units."""
     def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one, _, codes, own in _each_chunk(batches):
-            yield pa.RecordBatch.from_arrays([one.column(1), one.column(2), pa.array([packed(own["unit"][codes].astype(np.uint16))])], ["held", "lengths", "units"])
-    return with_own(corpus, places, words, "unit").mapInArrow(giving_back(translate), SEEDED)
+        for one, _, codes, unit, _, _ in _each_chunk(batches):
+            yield pa.RecordBatch.from_arrays([one.column(1), one.column(2), pa.array([packed(unit[codes])])], ["held", "lengths", "units"])
+    return with_own(corpus, to_chunks(parts, named)).mapInArrow(giving_back(translate), SEEDED)
 
 
 def runs_of(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,44 +164,48 @@ def runs_of(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cells[starts], np.diff(np.append(starts, len(cells)))
 
 
-def neighbours(corpus: DataFrame, places: DataFrame, assigned: DataFrame, kinds: int, of_words: bool) -> DataFrame:
-    """Counts in training text by chunk: a row without a word holds the class bigrams (class before * kinds + class); with
-    ``of_words`` a row per word seen more than once holds the classes before it and (kinds + class) those after it."""
+def neighbours(corpus: DataFrame, parts: DataFrame, assigned: DataFrame, kinds: int, of_words: bool) -> DataFrame:
+    """Counts in training text by chunk: a row without a part holds the class bigrams (class before * kinds + class); with
+    ``of_words`` a row per part holds, for its words seen more than once, the classes before them and (kinds + class) after."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one, lengths, codes, own in _each_chunk(batches):
-            kind_of = own["cls"].astype(np.int32)
-            kind = kind_of[codes]
+        for one, lengths, codes, own, _, runs in _each_chunk(batches):
+            kind = own.astype(np.int32)[codes]
             before = _before(kind, lengths, kinds - 1)
             train = np.repeat(~one.column(1).flatten().to_numpy(zero_copy_only=False).astype(bool), lengths)
             pairs = np.bincount((before * np.int32(kinds) + kind)[train], minlength=kinds * kinds)
             there = np.flatnonzero(pairs)
-            word, mine, keys, counts, starts = [None], [-1], there, pairs[there], np.array([0, len(there)])
+            part, keys, counts, times, cells_of, many = [None], [there], [pairs[there]], [None], [None], [None]
             if of_words:
                 at = np.flatnonzero(train & (kind < kinds - 2) & (kind != kinds - TIERS - 1))       # never a text's last place, an end
                 # Cells in as many bits as the chunk's words and the classes need: half the memory, and a quicker sort.
-                bits = np.uint32 if len(kind_of) * 2 * kinds < 1 << 32 else np.int64
+                bits = np.uint32 if len(own) * 2 * kinds < 1 << 32 else np.int64
                 cells = np.empty(2 * len(at), bits)
                 cells[:len(at)] = cells[len(at):] = codes[at].astype(bits) * bits(2 * kinds)
                 cells[:len(at)] += before[at].astype(bits)
                 cells[len(at):] += (kind[at + 1] + kinds).astype(bits)
-                del at, kind, before, train
-                found, times = runs_of(cells)
+                del at, kind, before, train, codes
+                found, number = runs_of(cells)
                 del cells
-                found = found.astype(np.int64)
-                code = found // (2 * kinds)
-                edges = np.flatnonzero(np.diff(code, prepend=-1))
-                word, mine = [None, *one.column(5).flatten().to_numpy()[code[edges]].tolist()], [-1, *kind_of[code[edges]].tolist()]
-                starts = np.concatenate([[0], len(there) + np.append(edges, len(code))])
-                keys, counts = np.concatenate([there, found % (2 * kinds)]), np.concatenate([counts, times])
-            starts = pa.array(starts, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(mine, pa.int32()), pa.ListArray.from_arrays(starts, pa.array(keys, pa.int32())),
-                                              pa.ListArray.from_arrays(starts, pa.array(counts, pa.int64()))], ["word", "own", "keys", "counts"])
-    return with_own(corpus, places, assigned, "cls").mapInArrow(giving_back(count), NEIGHBOURS)
+                first = 0
+                for name, words in runs:
+                    some = slice(*np.searchsorted(found, np.array([first, first + words], np.int64) * (2 * kinds)))
+                    code, key = found[some] // bits(2 * kinds), found[some] % bits(2 * kinds)
+                    if len(code):
+                        part.append(name)
+                        times.append(packed(np.bincount(code.astype(np.int64) - first, minlength=words).astype(np.uint32)))
+                        cells_of.append(packed(key.astype(np.uint32)))
+                        many.append(packed(number[some].astype(np.uint32)))
+                    first += words
+            rest = [None] * (len(part) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([one.column(5)[0].as_py()] * len(part), pa.int64()), pa.array(keys + rest, pa.list_(pa.int32())),
+                                              pa.array(counts + rest, pa.list_(pa.int64())), *[pa.array(x, pa.binary()) for x in (times, cells_of, many)]],
+                                             ["part", "chunk", "keys", "counts", "times", "cells", "many"])
+    return with_own(corpus, to_chunks(parts, assigned)).mapInArrow(giving_back(count), NEIGHBOURS)
 
 
 def class_pairs(counted: DataFrame, kinds: int) -> np.ndarray:
     """The class bigram table; it grows with the square of the classes, not with the corpus."""
-    pairs = counted.filter("word IS NULL").select(F.explode(F.arrays_zip("keys", "counts")).alias("p")).groupBy("p.keys").agg(F.sum("p.counts").alias("n")).toPandas()
+    pairs = counted.filter("part IS NULL").select(F.explode(F.arrays_zip("keys", "counts")).alias("p")).groupBy("p.keys").agg(F.sum("p.counts").alias("n")).toPandas()
     table = np.zeros(kinds * kinds)
     table[pairs["keys"].to_numpy(np.int64)] = pairs["n"]
     return table.reshape(kinds, kinds)
@@ -226,75 +240,78 @@ def best_classes(table: np.ndarray, number: int, own: np.ndarray, row: np.ndarra
     return new
 
 
-def moved(counted: DataFrame, table: np.ndarray, number: int, half: int | None) -> DataFrame:
-    """(word, new) of the words that change their class: of all, or of one half of them."""
+def moved(counted: DataFrame, parts: DataFrame, assigned: DataFrame, table: np.ndarray, number: int, half: int | None) -> DataFrame:
+    """(part, kinds) after the words that gain by it changed their class: of all, or of one half of them."""
     kinds = len(table)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, own, key, n = (np.zeros(0, np.int64) for _ in range(4))
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                times = np.diff(batch.column(2).offsets.to_numpy())
-                word, own = (np.concatenate([x, np.repeat(batch.column(i).to_numpy(), times)]) for i, x in ((0, word), (1, own)))
-                key, n = (np.concatenate([x, batch.column(i).flatten().to_numpy()]) for i, x in ((2, key), (3, n)))
-            if not len(word):
-                continue
-            edge = np.diff(word, prepend=word[0]) != 0
-            row = np.cumsum(edge)
-            heads = np.append(0, np.flatnonzero(edge))
-            names, kind = word[heads], own[heads]
-            cell, back = np.unique(row * (2 * kinds) + key, return_inverse=True)
-            n = np.bincount(back, n).astype(np.int64)
-            row, key = cell // (2 * kinds), cell % (2 * kinds)
-            done = len(names) - (batch is not None)        # the last word may go on in the next batch
-            ready = row < done
-            if done:
-                new = best_classes(table, number, kind[:done], row[ready], key[ready], n[ready].astype(float))
-                other = new != kind[:done]
-                yield pa.RecordBatch.from_arrays([pa.array(names[:done][other]), pa.array(new[other], pa.int32())], ["word", "new"])
-            word, own, key, n = names[row[~ready]], kind[row[~ready]], key[~ready], n[~ready]
-    rows = counted.filter("word IS NOT NULL")
-    if half is not None:
-        rows = rows.filter(F.pmod(F.xxhash64("word"), F.lit(2)) == half)
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(giving_back(choose), "word long, new int")
-
-
-def cluster(corpus: DataFrame, places: DataFrame, words: DataFrame, seed: np.ndarray, number: int) -> tuple[DataFrame, np.ndarray]:
-    """((word, c, cls) of all words, class bigram table), from the class of each unit."""
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = unpacked(batch.column(1)[row].as_buffer(), np.uint16).astype(np.int64)
+                blocks = batch.column(4)[row].values
+                if blocks is not None and len(blocks):
+                    places = dict(zip(batch.column(2)[row].values.to_pylist(), batch.column(3)[row].values, strict=True))
+                    cells = np.concatenate([np.repeat(places_of(places[chunk].as_buffer()), unpacked(times.as_buffer(), np.uint32)) * (2 * kinds) + unpacked(keys.as_buffer(), np.uint32)
+                                            for chunk, times, keys in zip(blocks.field("chunk").to_pylist(), blocks.field("times"), blocks.field("cells"), strict=True)])
+                    n = np.concatenate([unpacked(m.as_buffer(), np.uint32) for m in blocks.field("many")])
+                    if half is not None:
+                        mine = batch.column(5)[row].values.to_numpy(zero_copy_only=False)[cells // (2 * kinds)]
+                        cells, n = cells[mine], n[mine]
+                    cells, n = summed(cells, n)
+                    words, place = np.unique(cells // (2 * kinds), return_inverse=True)
+                    if len(words):
+                        own[words] = best_classes(table, number, own[words], place, cells % (2 * kinds), n.astype(float))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([packed(own.astype(np.uint16))], pa.binary())], ["part", "kinds"])
+    blocks = counted.filter("part IS NOT NULL").groupBy("part").agg(F.collect_list(F.struct("chunk", "times", "cells", "many")).alias("blocks"))
+    # A part's words stay in its row; which half a word is in depends on the word alone.
+    halves = [] if half is None else [F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(2)) == half).alias("mine")]
+    rows = assigned.join(parts.select("part", "chunks", "places", *halves), "part").join(blocks, "part", "left")
+    return rows.select("part", "kinds", "chunks", "places", "blocks", *["mine"] * len(halves)).mapInArrow(giving_back(choose), "part int, kinds binary")
+
+
+def summed(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells in order and the sum of each one's numbers."""
+    order = np.argsort(cells, kind="stable")
+    cells, n = cells[order], n[order].astype(np.int64)
+    starts = np.flatnonzero(np.diff(cells, prepend=-1))
+    return cells[starts], np.add.reduceat(n, starts) if len(n) else n
+
+
+def cluster(corpus: DataFrame, parts: DataFrame, named: DataFrame, seed: np.ndarray, number: int) -> tuple[DataFrame, np.ndarray]:
+    """((part, kinds) with the class of every word, class bigram table), from the class of each unit."""
     kinds = number + TIERS + 1
-    names = corpus.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(seed)], "unit int, cls int")      # UNITS rows
-    assigned, kept, table, best = words.join(F.broadcast(names), "unit").select("word", "c", "cls"), None, None, -np.inf
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(seed[unpacked(k.as_buffer(), np.uint16)].astype(np.uint16)) for k in batch.column(1)], pa.binary())], ["part", "kinds"])
+    assigned, kept, table, best = cut_lineage(named.mapInArrow(begin, "part int, kinds binary")), None, None, -np.inf
     for step in range(PASSES + 1):
-        counted = cut_lineage(neighbours(corpus, places, assigned, kinds, step < PASSES))
+        counted = cut_lineage(neighbours(corpus, parts, assigned, kinds, step < PASSES))
         pairs = class_pairs(counted, kinds)
         if step and likelihood(pairs) <= best:
             release(counted)
             break
         kept, table, best = assigned, pairs, likelihood(pairs)
         if step < PASSES:
-            new = moved(counted, table, number, step % 2 if step else None)
-            assigned = cut_lineage(assigned.join(new, "word", "left").select("word", "c", F.coalesce("new", "cls").alias("cls")))
+            assigned = cut_lineage(moved(counted, parts, assigned, table, number, step % 2 if step else None))
         release(counted)
     return kept, table
 
 
-def classified(corpus: DataFrame, places: DataFrame, assigned: DataFrame, totals: dict, kinds: int) -> DataFrame:
+def classified(corpus: DataFrame, parts: DataFrame, assigned: DataFrame, totals: dict, table: np.ndarray) -> DataFrame:
     """Each chunk as a sequence of classes, with what can be summed per text already: base score, known words, word emissions."""
-    n, v, mass = totals["N"], totals["V"], np.zeros(kinds)
-    for r in assigned.groupBy("cls").agg(F.sum("c").alias("c")).collect():          # at most a row a class
-        mass[r["cls"]] = r["c"]
+    n, v, mass = totals["N"], totals["V"], table.sum(0)         # each training token stands after something, so a column has its class's tokens
 
     def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one, lengths, codes, own in _each_chunk(batches):
-            c, kind = own["c"], own["cls"]
+        for one, lengths, codes, kind, c, _ in _each_chunk(batches):
             emission = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(mass[kind], 1)), 0.0)
             base = np.log10((c + 1) / (n + v + 1))
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             sums = [np.add.reduceat(x[codes], starts) for x in (base, (c > 0).astype(np.int64), emission)]
-            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), pa.array([packed(kind[codes].astype(np.uint16))]),
+            yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), pa.array([packed(kind[codes])]),
                                               *[pa.array([x], pa.list_(t)) for x, t in zip(sums, (pa.float64(), pa.int64(), pa.float64()), strict=True)]],
                                              ["doc_ids", "held", "lengths", "classes", "base", "known", "emission"])
-    return with_own(corpus, places, assigned, "c", "cls").mapInArrow(giving_back(translate), SCORED)
+    return with_own(corpus, to_chunks(parts, assigned, counts=True)).mapInArrow(giving_back(translate), SCORED)
 
 
 def _before(sequence: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
@@ -405,14 +422,15 @@ def model(classes: np.ndarray, table: np.ndarray, totals: dict) -> tuple[np.ndar
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row."""
     corpus = chunks(docs, held_out)
-    places, words, totals = count_words(corpus)
-    counted = cut_lineage(bigrams(units(corpus, places, words))).toPandas()          # at most UNITS squared rows
+    parts, top, totals = count_words(corpus)
+    named = with_units(parts, top)
+    counted = cut_lineage(bigrams(units(corpus, parts, named))).toPandas()          # at most UNITS squared rows
     follows = np.zeros((UNITS, UNITS))
     follows[counted["a"], counted["b"]] = counted["n"]
     number = number_of_classes(totals["V"])
     kinds = number + TIERS + 1
     seed, _ = exchange(follows, np.concatenate([np.arange(CLUSTERED) % number, np.arange(number, kinds)]), CLUSTERED, number)
-    assigned, table = cluster(corpus, places, words, seed, number)
+    assigned, table = cluster(corpus, parts, named, seed, number)
     steps, total, end = transitions(table, int(seed[CLUSTERED]), int(seed[UNSEEN]), totals["unseen"]), totals["N"], kinds - 1
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,7 +444,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([one.column(0).flatten(), one.column(1).flatten(), pa.array(lengths), one.column(5).flatten(),
                                                   pa.array(np.full(len(lengths), total, np.int64)), one.column(4).flatten(), pa.array(found), pa.array(10 ** (-found / lengths))],
                                                  ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
-    return classified(corpus, places, assigned, totals, kinds).mapInArrow(
+    return classified(corpus, parts, assigned, totals, table).mapInArrow(
         giving_back(texts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 

@@ -105,3 +105,22 @@ def test_cells_are_counted_in_place_as_numpy_counts_them():
         found = lm.runs_of(cells)
         assert all((a == b).all() for a, b in zip(found, wanted, strict=True))
         assert found[0].dtype == kind
+
+
+def test_words_meet_their_chunks_in_parts_and_not_row_by_row(odd_rows, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 600)
+    draw = np.random.default_rng(11)
+    texts = [(i, " ".join(f"w{w}" for w in draw.integers(0, 200, 30))) for i in range(60)]
+    corpus = lm.chunks(odd_rows(texts), lm.hashed_seventh())
+    parts, top, totals = lm.count_words(corpus)
+    named = lm.with_units(parts, top)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t in texts if not held(i) for w in t.encode().split() + [b""])
+    assert sorted(c for r in parts.collect() for c in r.c if c) == sorted(counts.values())
+    assert totals["N"] == sum(counts.values()) and totals["V"] == len(counts) and len(top) == len(counts) - 1
+    number, kinds = parts.count(), lm.CLASSES + lm.TIERS + 1
+    seed = np.concatenate([np.arange(lm.CLUSTERED) % lm.CLASSES, np.arange(lm.CLASSES, kinds)])
+    assigned, table = lm.cluster(corpus, parts, named, seed, lm.CLASSES)
+    rows = lm.neighbours(corpus, parts, assigned, kinds, True).collect()
+    assert 0 < len(rows) <= corpus.count() * (number + 1) < sum(len(r.words) for r in corpus.collect())
+    assert table.sum() == totals["N"]
