@@ -2,9 +2,10 @@
 import glob
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from codestrata.session import SHUFFLE_CLEANUP, checkpoint_folder, cut_lineage, release
+from codestrata.session import ARROW_BYTES, SHUFFLE_CLEANUP, checkpoint_folder, cut_lineage, release
 
 
 def test_written_table_is_whole_and_setting_is_restored(spark):
@@ -26,3 +27,15 @@ def test_release_drops_only_its_own_table(spark, tmp_path):
     release(spark.read.parquet(other))
     assert spark.read.parquet(other).count() == 5
     assert checkpoint_folder(spark)
+
+
+def test_python_tasks_of_a_written_table_get_bounded_batches(spark):
+    before = spark.conf.get(ARROW_BYTES)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["size"])
+    rows = spark.range(0, 40, 1, 1).select(F.expr("repeat('x', 1048576)").cast("binary").alias("text"))
+    found = [r["size"] for r in cut_lineage(rows.mapInArrow(sizes, "size long")).collect()]
+    assert sum(found) >= 40 << 20 and max(found) <= 10 << 20
+    assert spark.conf.get(ARROW_BYTES) == before
