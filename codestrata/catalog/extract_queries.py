@@ -55,7 +55,7 @@ X3_SQL = b.with_members("SELECT analysis_id, file_id, length(content) AS charact
 def _resolver(name, language):
     def call(spark, folder):
         files = files_of(spark, folder)
-        found = extract.imports(files)
+        found = cut_lineage(extract.imports(files))
         hits = getattr(extract, name)(found, files)
         return found.where(F.col("language").isin(*language)).join(hits, ["analysis_id", "import_id"]).select("analysis_id", "path", "line_no", "target")
     return call
@@ -153,7 +153,7 @@ def package_files(spark, folder):
 
 def x6_packages(spark, folder):
     files = package_files(spark, folder)
-    resolved = extract.resolve(cut_lineage(extract.imports(files)), files)
+    resolved = extract.resolve(extract.imports(files), files)
     return resolved.select("analysis_id", "path", "line_no", "specifier", "target")
 
 

@@ -64,7 +64,9 @@ def imports(files: DataFrame, parts: code.Parts | None = None) -> DataFrame:
                              kind.alias("kind"), type_only.alias("type_only"), dynamic.alias("dynamic"), computed.alias("computed"))
 
     statements = code.python_statements(files) if parts is None else parts.statements
-    python = statements.withColumn("language", F.lit("python")).withColumn("said", F.regexp_replace("said", r"\\(\r?\n)", " $1"))
+    said = F.regexp_replace("said", r"\\(\r?\n)", " $1").alias("said")
+    # Both forms read the few statements that hold the word.
+    python = cut_lineage(statements.where(F.col("said").contains("import")).select(*FILE, "path", F.lit("python").alias("language"), "line", said))
     said = F.col("said")
     from_form = _PYTHON_LEAD + r"from\s*((?:\.\s*)*)([\w.]*)\s*\bimport\b([\s\S]*)"
     level = F.length(F.regexp_replace(F.regexp_extract(said, from_form, 1), r"\s", ""))
@@ -81,12 +83,13 @@ def imports(files: DataFrame, parts: code.Parts | None = None) -> DataFrame:
     found.append(rows(java.where(said.rlike(java_form)), name, F.col("line") + code.breaks(code.first_of(F.col("piece"), F.regexp_extract(said, java_form, 1))),
                       bindings=F.when(last != "*", F.array(F.struct(last.alias("name"), last.alias("alias")))).otherwise(no_bindings)))
 
-    shielded = code.shield(F.col("content"), code.SCRIPT_TEXT)
-    scripts = files.where(F.col("language").isin(code.SCRIPTS)).select(*FILE, "path", "language", shielded.alias("raw")).withColumn("said", code.bare(F.col("raw")))
-    scripts = scripts.where(said.rlike(r"\b(?:import|export|require)\b"))
-    every = "|".join(f"(?:{form})" for form in _SCRIPT_FORMS.values())
-    scripts = scripts.withColumn("hit", F.explode(F.transform(code.matches_with_places(said, every), lambda h: F.struct(
-        code.breaks(F.substring("raw", F.lit(1), h["at"])).alias("after"), h["text"].alias("text"))))).withColumn("text", F.col("hit.text"))
+    every = "(?=[eir])(?:" + "|".join(f"(?:{form})" for form in _SCRIPT_FORMS.values()) + ")"
+    # A file's text is shielded once: its hits are made in one expression.
+    placed = lambda raw, bare: F.transform(code.matches_with_places(bare, every), lambda h: F.struct(
+        code.breaks(F.substring(raw, F.lit(1), h["at"])).alias("after"), h["text"].alias("text")))
+    hits = let(code.shield(F.col("content"), code.SCRIPT_TEXT), lambda raw: let(code.bare(raw), lambda bare: F.when(bare.rlike(r"\b(?:import|export|require)\b"), placed(raw, bare))))
+    scripts = files.where(F.col("language").isin(code.SCRIPTS) & F.col("content").rlike("import|export|require"))
+    scripts = scripts.select(*FILE, "path", "language", F.explode(hits).alias("hit")).withColumn("text", F.col("hit.text"))
     scripts = scripts.withColumn("form", F.coalesce(*[F.when(F.col("text").rlike(f"^{form}"), F.lit(kind)) for kind, form in _SCRIPT_FORMS.items()]))
     part = lambda n: F.coalesce(*[F.when(F.col("form") == kind, F.regexp_extract("text", form, n)) for kind, form in _SCRIPT_FORMS.items()])
     scripts = scripts.withColumn("marked", part(1) != "").withColumn("clause", part(2)).withColumn("target", F.regexp_replace(part(3), r"^\s+|\s+$", "")).where("form IS NOT NULL")
@@ -137,7 +140,7 @@ def resolve_java(found: DataFrame, files: DataFrame) -> DataFrame:
         parts = F.split(name, r"\.")
         return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))).otherwise(F.array().cast("array<string>"))
 
-    classes = java_classes(files)
+    classes = cut_lineage(java_classes(files))
     asked = found.where("language = 'java'").select("analysis_id", "import_id", "specifier").distinct()
     pick = lambda rows, tier: rows.select("analysis_id", "import_id", F.lit(tier).alias("tier"), "ord", "path")
     exact = asked.join(classes.withColumnRenamed("qualified", "specifier"), ["analysis_id", "specifier"])
@@ -168,7 +171,7 @@ def script_candidates(target: Column) -> Column:
 def resolve_script(found: DataFrame, files: DataFrame) -> DataFrame:
     """Relative specifiers from their folder; others through path aliases, the base URL, then the workspace package of that name."""
     def below(folder: Column, relative: Column) -> Column:
-        return script_candidates(joined_path(F.when(folder == ".", "").otherwise(folder), relative))
+        return let(joined_path(F.when(folder == ".", "").otherwise(folder), relative), script_candidates)
 
     scripts = found.where(F.col("language").isin("typescript", "javascript") & ~F.col("computed")).dropDuplicates(["analysis_id", "import_id"])
     near = scripts.where(F.col("specifier").startswith(".")).withColumn("candidates", below(paths.parent_directory(F.col("path")), F.col("specifier")))
@@ -183,7 +186,8 @@ def resolve_script(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def resolve(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Imports with their target path, null when nothing in the snapshot matches."""
+    """Imports with their target path, null when nothing in the snapshot matches. They are written once: all resolvers read them."""
+    found = cut_lineage(found)
     hits = resolve_python(found, files).unionByName(resolve_java(found, files)).unionByName(resolve_script(found, files))
     return found.join(hits, ["analysis_id", "import_id"], "left")
 

@@ -26,12 +26,14 @@ _IN_VALUE = "\ue27b\ue27d"      # braces that hold no statements
 HIDDEN = r"[\uE000-\uE27E]"
 LITERAL = r"[\uE022\uE027\uE060][\uE000-\uE07E]*"      # a string literal, quotes included
 
-# What is shielded in each language, longest forms first.
+# What is shielded in each language, longest forms first. The bodies are possessive: each character is looked at once.
 _QUOTED = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"' r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
-PYTHON_TEXT = r"#[^\n]*|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|" + _QUOTED
-JAVA_TEXT = r"//[^\n]*|/\*[\s\S]*?\*/|\"{3}[\s\S]*?\"{3}|" + _QUOTED
-SCRIPT_TEXT = (r"//[^\n]*|/\*[\s\S]*?\*/|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`|" + _QUOTED
-               + r"|(?<=[=(,:;!&|?{}\[\n]\s{0,20})/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+_DOUBLES, _SINGLES = r'"{3}[^"]*+(?:"(?!"")[^"]*+)*+"{3}', r"'{3}[^']*+(?:'(?!'')[^']*+)*+'{3}"
+_REMARK = r"//[^\n]*|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
+PYTHON_TEXT = rf"#[^\n]*|{_DOUBLES}|{_SINGLES}|{_QUOTED}"
+JAVA_TEXT = f"{_REMARK}|{_DOUBLES}|{_QUOTED}"
+SCRIPT_TEXT = (_REMARK + r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`|" + _QUOTED
+               + r"|/(?<=[=(,:;!&|?{}\[\n]\s{0,20}/)(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 SCRIPTS = ["typescript", "javascript"]
 
 
@@ -49,6 +51,11 @@ def bare(shielded: Column) -> Column:
     return F.translate(shielded, _IN_COMMENT, " " * len(_IN_COMMENT))
 
 
+def squeezed(shielded: Column) -> Column:
+    """The bare text with one blank for each run of comments and blanks."""
+    return F.regexp_replace(shielded, f"[ {any_of(_IN_COMMENT)}]+", " ")
+
+
 def first_of(shielded: Column, prefix: Column) -> Column:
     """The characters of the text that ``prefix``, found in its bare form, covers."""
     return F.substring(shielded, F.lit(1), F.length(prefix))
@@ -59,8 +66,16 @@ def unquoted(literal: Column) -> Column:
     return F.regexp_replace(restore(literal), r"^['\"`]+|['\"`]+$", "")
 
 
+def any_of(characters: str) -> str:
+    """What stands between the brackets of a pattern for any of the characters, neighbours as ranges."""
+    codes = sorted(map(ord, characters))
+    firsts = [c for c in codes if c - 1 not in codes]
+    lasts = [c for c in codes if c + 1 not in codes]
+    return "".join(rf"\x{{{first:X}}}-\x{{{last:X}}}" for first, last in zip(firsts, lasts))
+
+
 def count_of(value: Column, characters: str) -> Column:
-    return F.length(value) - F.length(F.translate(value, characters, ""))
+    return F.length(value) - F.length(F.regexp_replace(value, f"[{any_of(characters)}]+", ""))
 
 
 def breaks(shielded: Column) -> Column:
@@ -105,9 +120,8 @@ def python_statements(files: DataFrame) -> DataFrame:
     shielded = shield(F.col("content"), PYTHON_TEXT)
     pieces = F.regexp_extract_all(shielded, F.lit(r"[^\n;]*[\n;]|[^\n;]+"), F.lit(0))
     rows = with_places(files.where("language = 'python'"), pieces, ["path"])
-    code = F.regexp_replace("piece", HIDDEN, "")
     ordered = Window.partitionBy(*FILE).orderBy("seq")
-    rows = rows.withColumn("net", count_of(code, "([{") - count_of(code, ")]}"))
+    rows = rows.withColumn("net", count_of(F.col("piece"), "([{") - count_of(F.col("piece"), ")]}"))
     open_before = F.coalesce(F.sum("net").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = F.lag("piece").over(ordered)
     rows = rows.withColumn("begins", (last.isNull() | ((open_before <= 0) & ~last.rlike(r"\\\r?\n$"))).cast("int"))
@@ -115,7 +129,7 @@ def python_statements(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("statement", F.sum("begins").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda p: p["piece"]), "")
     found = rows.groupBy(*FILE, "path", "statement").agg(whole.alias("text"), F.min("line").alias("line"), F.min("byte").alias("byte"), F.min_by("starts_line", "seq").alias("starts_line"))
-    found = found.withColumn("said", bare(F.col("text"))).withColumn("bare", F.regexp_replace("said", r"[\s;]+$", "")).where("bare <> ''")
+    found = found.where(F.col("text").rlike(rf"[^\s;{any_of(_IN_COMMENT)}]")).withColumn("said", bare(F.col("text"))).withColumn("bare", F.regexp_replace("said", r"[\s;]+$", ""))
     return found.select(*FILE, "path", "statement", "text", "said", "line", (F.col("line") + breaks(first_of(F.col("text"), F.col("bare")))).alias("end_line"), "byte",
                         (F.col("byte") + byte_length(F.col("text"))).alias("end_byte"),
                         F.when(F.col("starts_line"), F.length(F.regexp_extract("text", r"^([ \t]*)", 1))).alias("indent"))
@@ -138,7 +152,8 @@ def above(rows: DataFrame, order: str, levels: Column, level: Column, carried: C
 # Java and scripts: blocks in braces ----------------------------------------------------------------------------------
 
 # Braces that hold no statements: after ( , = : [ ? | & < they are values, parameters or types, after import names.
-_VALUE_BRACES = r"(?<=[(,=:\[?|&<]\s{0,20}|\b(?:import|export|type)\s{0,20})\{([^{};]*)\}"
+# What stands before is looked at behind the brace, so once for each brace and not for each character.
+_VALUE_BRACES = r"\{(?<=(?:[(,=:\[?|&<]\s{0,20}|\b(?:import|export|type)\s{0,20})\{)([^{};]*)\}"
 
 
 def brace_pieces(files: DataFrame, pattern: str) -> DataFrame:
