@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..session import cut_lineage
 from . import source_code as code
 from .source_code import FILE, LITERAL
@@ -62,6 +63,8 @@ def python(files: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     rows = code.python_statements(files) if statements is None else statements
     bare = F.col("said")
     rows = rows.withColumn("word", F.regexp_extract(bare, HEAD, 1)).withColumn("name", F.regexp_extract(bare, HEAD, 2)).withColumn("mark", bare.rlike(r"^\s*@"))
+    # Only decorators and heads are read from here on, so no other text goes through the sweeps.
+    rows = rows.withColumn("text", F.when(F.col("mark"), F.col("text"))).withColumn("said", F.when(F.col("word") != "", F.col("said")))
     ordered = Window.partitionBy(*FILE).orderBy("statement")
     # Decorators and the head they stand before share the count of other statements before them.
     run = F.coalesce(F.sum(F.when(F.col("mark"), 0).otherwise(1)).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -145,7 +148,7 @@ def django_routes(statements: DataFrame) -> DataFrame:
 
 # Java ----------------------------------------------------------------------------------------------------------------
 
-_JAVA_TYPE = r"^([\s\S]*?)(?<![.\w$])(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)"
+_JAVA_TYPE = r"^([\s\S]*?)(?=[ceir])(?<![.\w$])(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)"
 _JAVA_METHOD = r"([A-Za-z_$][\w$]*)\s*\((?:[^(){};]|\([^()]*\))*\)\s*(?:throws\s+[\w.$,\s]+)?$"
 _JAVA_MAPPING = rf"@(Get|Post|Put|Patch|Delete|Request)Mapping\b(?:\s*\(\s*(?:(?:value|path)\s*=\s*)?[\[\uE27B]?\s*({LITERAL}))?"
 _NOT_NAMES = ["if", "for", "while", "switch", "catch", "synchronized", "try", "do", "else", "return", "new"]
@@ -159,7 +162,8 @@ def java(files: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
     before those of its methods. Value braces in annotations are no blocks.
     """
     found = code.blocks(code.brace_pieces(files.where("language = 'java'"), code.JAVA_TEXT) if pieces is None else pieces)
-    types = found.where(F.col("bare").rlike(_JAVA_TYPE)).withColumn("prefix", F.regexp_extract("bare", _JAVA_TYPE, 1)).withColumn("skipped", code.first_of(F.col("head"), F.col("prefix")))
+    found = cut_lineage(found.withColumn("is_type", F.col("bare").rlike(_JAVA_TYPE)))
+    types = found.where("is_type").withColumn("prefix", F.regexp_extract("bare", _JAVA_TYPE, 1)).withColumn("skipped", code.first_of(F.col("head"), F.col("prefix")))
     mapping = rf"^[\s\S]*{_JAVA_MAPPING}"
     base = F.regexp_extract("prefix", mapping, 2)
     stereotypes = F.filter(F.array(*[F.when(F.col("prefix").rlike(rf"@{s}\b"), F.lit(f"spring:{s.lower()}")) for s in STEREOTYPES]), lambda t: t.isNotNull())
@@ -171,7 +175,7 @@ def java(files: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
         .withColumn("symbol_id", _symbol())
 
     plain = F.trim(F.regexp_replace("bare", r"\s+", " "))
-    heads = found.where(~F.col("bare").rlike(_JAVA_TYPE) & plain.rlike(_JAVA_METHOD) & ~plain.rlike(r"(?:=|\bnew)\s*(?:new\s+)?[\w.<>$]+\s*\([^()]*\)$"))
+    heads = found.where(~F.col("is_type") & plain.rlike(_JAVA_METHOD) & ~plain.rlike(r"(?:=|\bnew)\s*(?:new\s+)?[\w.<>$]+\s*\([^()]*\)$"))
     heads = heads.withColumn("name", F.regexp_extract(plain, _JAVA_METHOD, 1)).where(~F.col("name").isin(_NOT_NAMES)).withColumn("lead", F.regexp_extract("bare", LEADING, 1))
     heads = heads.withColumn("skipped", code.first_of(F.col("head"), F.col("lead"))).withColumn("mapped", F.regexp_extract("bare", mapping, 1)).withColumn("route", F.regexp_extract("bare", mapping, 2))
     homes = types.select(*FILE, F.col("place").alias("parent"), F.col("name").alias("owner"), F.col("symbol_id").alias("owner_id"), "base")
@@ -193,7 +197,7 @@ def java(files: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
 _NAME = r"[A-Za-z_$][\w$]*"
 _MARKS = r"((?:export\s+|default\s+|declare\s+|abstract\s+|async\s+)*)"
 _PARAMS = r"(?:<[^{};]*>\s*)?\((?:[^(){};]|\((?:[^(){};]|\([^(){};]*\))*\))*\)(?:\s*:[^{};=]+)?\s*"
-_BEGINS = r"^([\s\S]*?)(?<![\w$.])"
+_BEGINS = r"^([\s\S]*?)(?=[a-z])(?<![\w$.])"
 # What the end of a block's head may declare: group 1 what stands before, 2 the marks, 3 the name.
 _SCRIPT_HEADS = {
     "function": rf"{_BEGINS}{_MARKS}function\s*\*?\s*({_NAME})?\s*{_PARAMS}$",
@@ -209,7 +213,13 @@ _DECORATORS = rf"^(\s*)(?:@[\w$.]+(?:\((?:[^(){{}}]|\([^(){{}}]*\))*\))?\s*)+"
 _ONE_LINERS = rf"(?m)^[ \t]*((?:export\s+|declare\s+)*)(type|const|let|var)\s+({_NAME})(?=\s*[=:<;])[^\n]*"
 
 
-def scripts(files: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
+def script_texts(files: DataFrame) -> DataFrame:
+    """Bare text (``said``) of script files, written once: a comment or a run of blanks is one blank, so places do not count."""
+    own = files.where(F.col("language").isin(code.SCRIPTS) & F.col("content").rlike("import|export"))
+    return cut_lineage(own.select(*FILE, code.squeezed(code.shield(F.col("content"), code.SCRIPT_TEXT)).alias("said")))
+
+
+def scripts(files: DataFrame, pieces: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Functions, classes, interfaces, enums, type aliases, methods, and variables at the top of script files.
 
     Functions count wherever a block declares them, methods directly in a class; arrow functions go by the name they are
@@ -217,10 +227,13 @@ def scripts(files: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
     """
     own = files.where(F.col("language").isin(code.SCRIPTS))
     pieces = code.brace_pieces(own, code.SCRIPT_TEXT) if pieces is None else pieces
-    blocks = code.blocks(pieces)
-    heads = blocks.withColumn("form", F.coalesce(*[F.when(F.col("bare").rlike(form), F.lit(kind)) for kind, form in _SCRIPT_HEADS.items()]))
-    part = lambda n: F.coalesce(*[F.when(F.col("form") == kind, F.regexp_extract("bare", form, n)) for kind, form in _SCRIPT_HEADS.items()])
-    named = heads.where("form IS NOT NULL").withColumn("prefix", part(1)).withColumn("marks", part(2)).withColumn("name", part(3))
+    # No form begins with white space, and comments are white space: what leads is passed over before the forms are tried.
+    lead, rest = F.regexp_extract("bare", LEADING, 1), F.regexp_replace("bare", r"^\s+", "")
+    form = let(rest, lambda text: F.coalesce(*[F.when(text.rlike(form), F.lit(kind)) for kind, form in _SCRIPT_HEADS.items()]))
+    blocks = cut_lineage(code.blocks(pieces).withColumn("form", form))
+    heads = blocks
+    part = lambda n: let(rest, lambda text: F.coalesce(*[F.when(F.col("form") == kind, F.regexp_extract(text, form, n)) for kind, form in _SCRIPT_HEADS.items()]))
+    named = heads.where("form IS NOT NULL").withColumn("prefix", F.concat(lead, part(1))).withColumn("marks", part(2)).withColumn("name", part(3))
     named = named.withColumn("kind", F.when(F.col("form") == "arrow", "function").otherwise(F.col("form"))).withColumn("name", F.when(F.col("name") == "", "default").otherwise(F.col("name")))
     classes = named.where("form = 'class'").withColumn("start_byte", F.col("byte") + code.byte_length(code.first_of(F.col("head"), F.col("prefix")))).withColumn("symbol_id", _symbol())
     classes = classes.select(*FILE, F.col("seq").alias("parent"), F.col("name").alias("owner"), F.col("symbol_id").alias("owner_id"))
@@ -259,8 +272,8 @@ def scripts(files: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
         F.coalesce("block.end_byte", F.col("byte") + code.byte_length(reached)).alias("end_byte"), F.regexp_replace("hit.text", r"\{$", "").alias("text"), *nobody)
 
     found = found.unionByName(lines).withColumn("symbol_id", _symbol())
-    said = code.bare(code.shield(F.col("content"), code.SCRIPT_TEXT))
-    listed = own.select(*FILE, said.alias("said")).where(F.col("said").rlike(r"\bexport\b")).select(*FILE, F.explode(F.concat(
+    texts = script_texts(files) if texts is None else texts
+    listed = texts.where(F.col("said").rlike(r"\bexport\b")).select(*FILE, F.explode(F.concat(
         F.flatten(F.transform(F.regexp_extract_all("said", F.lit(r"\bexport\s+(?:type\s+)?\{([^{}]*)\}(?!\s*from\b)"), F.lit(1)),
                               lambda x: F.transform(F.split(x, ","), lambda n: F.regexp_extract(n, rf"^\s*(?:type\s+)?({_NAME})", 1)))),
         F.regexp_extract_all("said", F.lit(rf"\bexport\s+default\s+({_NAME})\s*(?:;|\n|$)"), F.lit(1)))).alias("name")).distinct().withColumn("listed", F.lit(True))
@@ -274,7 +287,8 @@ def script_tagged(files: DataFrame, pieces: DataFrame | None = None) -> DataFram
     """Script declarations with tags: React components, handlers of route files and api pages, Express registrations."""
     own = files.where(F.col("language").isin(code.SCRIPTS))
     pieces = code.brace_pieces(own, code.SCRIPT_TEXT) if pieces is None else pieces
-    declared = cut_lineage(scripts(files, pieces))
+    texts = script_texts(files)
+    declared = cut_lineage(scripts(files, pieces, texts))
     # Markup inside a function whose name begins with a capital makes it a component.
     markup = pieces.where(F.col("path").rlike(r"(?i)\.[jt]sx$|\.js$") & F.col("said").rlike(r"(?:\breturn|\(|=>|&&|\?|:)\s*<(?:[A-Za-z][\w.$]*|(?=>))"))
     drawn = code.enclosing(markup.select(*FILE, F.col("seq").alias("at")), spans_of(declared.where("kind = 'function'"))).where("span IS NOT NULL")
@@ -285,8 +299,7 @@ def script_tagged(files: DataFrame, pieces: DataFrame | None = None) -> DataFram
     rules = F.array(F.when(F.coalesce("draws", F.lit(False)) & (F.col("kind") == "function") & F.col("name").rlike("^[A-Z]"), F.lit("react-component")), F.when(file_route | api_page, F.lit("api-handler")),
                     F.when(file_route, F.concat(F.lit("http:"), "name")))
 
-    said = code.bare(code.shield(F.col("content"), code.SCRIPT_TEXT))
-    texts = own.select(*FILE, said.alias("said")).where(F.col("said").rlike(r"\bimport\b"))
+    texts = texts.where(F.col("said").rlike(r"\bimport\b"))
     clause = rf"\bimport\s+([^;]*?)\s+from\s+({LITERAL})"
     from_express = F.filter(F.arrays_zip(F.regexp_extract_all("said", F.lit(clause), F.lit(1)).alias("names"), F.regexp_extract_all("said", F.lit(clause), F.lit(2)).alias("source")),
                             lambda c: code.unquoted(c["source"]) == "express")
@@ -318,9 +331,18 @@ def spans_of(declared: DataFrame) -> DataFrame:
     return declared.select(*FILE, "level", F.col("place").alias("opened"), F.col("end_place").alias("closed"), "symbol_id", "name", "kind")
 
 
-_USES = {"python": r"(?<![\w.])[A-Za-z_]\w*(?:\s*\()?", "java": r"(?<![\w$.])[A-Za-z_$][\w$]*(?:\s*\()?",
+_USES = {"python": r"(?=[A-Za-z_])(?<![\w.])[A-Za-z_]\w*(?:\s*\()?", "java": r"(?=[A-Za-z_$])(?<![\w$.])[A-Za-z_$][\w$]*(?:\s*\()?",
          # An import clause is one match, so the names in it are no uses.
-         "script": rf"(?<![\w$.])(?:import|export)\b(?:\s+type\b)?[^;=()]*?\bfrom\s*{LITERAL}|(?<![\w$.]){_NAME}(?:\s*(?:<[\w$\s,.\[\]]*>)?\()?"}
+         "script": rf"(?=[A-Za-z_$])(?<![\w$.])(?:(?:import|export)\b(?:\s+type\b)?[^;=()]*?\bfrom\s*{LITERAL}|{_NAME}(?:\s*(?:<[\w$\s,.\[\]]*>)?\()?)"}
+_DECLARES = r"\b(?:def|class|interface|enum|record|function\s*\*?|type|const|let|var)\s+$"
+_NEAR = 64
+
+
+def _declared(said: Column, at: Column) -> Column:
+    """Whether the word behind the first ``at`` characters is the name of a declaration. The characters nearest to it tell,
+    if more of them than a keyword has stand before the blanks and stars between the two."""
+    before = lambda size: F.substring(said, at - size + 1, size)
+    return let(before(F.least(at, F.lit(_NEAR))), lambda near: F.when(near.rlike(r"^[\s\S]{10,}[^\s*][\s*]*$"), near.rlike(_DECLARES)).otherwise(before(at).rlike(_DECLARES)))
 
 
 def uses(parts: code.Parts, names: DataFrame, declared: DataFrame) -> DataFrame:
@@ -338,9 +360,7 @@ def uses(parts: code.Parts, names: DataFrame, declared: DataFrame) -> DataFrame:
     spread = reduce(DataFrame.unionByName, rows).join(known, FILE)
     hits = F.coalesce(*[F.when(F.col("form") == form, code.matches_with_places(F.col("said"), pattern)) for form, pattern in _USES.items()])
     word = lambda h: F.regexp_extract(h["text"], r"^([\w$]+)", 1)
-    declares = r"\b(?:def|class|interface|enum|record|function\s*\*?|type|const|let|var)\s+$"
-    hits = F.filter(hits, lambda h: F.array_contains("known", word(h)) & ~h["text"].rlike(r"\bfrom\s*\W")
-                    & ~F.substring("said", F.lit(1), h["at"]).rlike(declares))
+    hits = F.filter(hits, lambda h: F.array_contains("known", word(h)) & ~h["text"].rlike(r"\bfrom\s*\W") & ~_declared(F.col("said"), h["at"]))
     spread = spread.withColumn("hit", F.explode(hits))
     found = spread.select(*FILE, "at", word(F.col("hit")).alias("name"), (F.col("line") + code.breaks(F.substring("raw", F.lit(1), F.col("hit.at")))).alias("line_no"),
                           F.col("hit.text").endswith("(").alias("called"), F.col("hit.at").alias("column"))
