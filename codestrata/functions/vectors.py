@@ -1,7 +1,13 @@
 """Vector expressions on array columns."""
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
+from . import text
 from .binding import let
 
 DIMENSIONS = 64
@@ -20,14 +26,25 @@ def unit(v: Column) -> Column:
     return let(norm(v), lambda length: F.transform(v, lambda x: x.cast("double") / length))
 
 
-def term_bucket(term: Column, dimensions: int = DIMENSIONS) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long"), F.lit(dimensions)).cast("int")
+def hashed_counts(value: Column, dimensions: int = DIMENSIONS) -> Column:
+    """Feature-hash the word parts of a text into a count vector inside the row, so no shuffle is needed; null for null.
+
+    A part's bucket comes from the first 32 bits of its digest.
+    """
+    def buckets(parts: list[bytes]) -> list[int]:
+        return [int.from_bytes(md5(part).digest()[:4], "big") % dimensions for part in parts]
 
+    def counts(texts: pd.Series) -> pd.Series:
+        known = text.RunValues(buckets)
 
-def hashed_counts(terms: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Feature-hash a term array into a count vector inside the row, so no shuffle is needed."""
-    return let(F.transform(terms, lambda t: term_bucket(t, dimensions)), lambda buckets: F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double")))
+        def vector(said: str) -> np.ndarray:
+            total = [0.0] * dimensions
+            for run, n in text.runs(said.encode()).items():
+                for bucket in known[run]:
+                    total[bucket] += n
+            return np.array(total)
+        return pd.Series([None if said is None else vector(said) for said in texts], dtype=object)
+    return F.pandas_udf(counts, ArrayType(DoubleType()))(value)
 
 
 def vector_problem(v: Column, dimensions: int) -> Column:
