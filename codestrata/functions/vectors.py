@@ -44,7 +44,8 @@ def hashed_counts(value: Column, dimensions: int = DIMENSIONS) -> Column:
                     total[bucket] += n
             return np.array(total)
         return pd.Series([None if said is None else vector(said) for said in texts], dtype=object)
-    return F.pandas_udf(counts, ArrayType(DoubleType()))(value)
+    # A filter on the vectors would count every text a second time below it, if it could be moved there.
+    return F.pandas_udf(counts, ArrayType(DoubleType())).asNondeterministic()(value)
 
 
 def vector_problem(v: Column, dimensions: int) -> Column:
